@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthmark.operators.skew import latest_by, top_rows
+from hearthmark.operators.skew import asof_last, latest_by, top_rows
 
 
 def latest_prices(prices: DataFrame, since: Column | None = None) -> DataFrame:
@@ -45,11 +45,7 @@ def with_main_photo(listings: DataFrame, photos: DataFrame) -> DataFrame:
 
 def price_as_of(subjects: DataFrame, prices: DataFrame, at: str = "at") -> DataFrame:
     """Price in force at ``at`` for each (id, at) of ``subjects``; NULL before the first price."""
-    s = subjects.select("id", at).distinct()
-    p = prices.select(F.col("id").alias("_pid"), "seen_at", "price")
-    hit = (s.join(p, (s.id == p._pid) & (p.seen_at <= s[at]))
-           .groupBy("id", at).agg(F.max_by("price", F.struct("seen_at", "price")).alias("price_at")))
-    return subjects.join(hit, ["id", at], "left")
+    return asof_last(subjects, prices, ["id"], at, "seen_at", "price", name="price_at")
 
 
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -245,13 +245,14 @@ def similar_area_profile(subjects: DataFrame, listings: DataFrame, radius: float
 
 
 def scrape_health(sources: DataFrame, runs: DataFrame, as_of: str, days: int = 7) -> DataFrame:
-    """Runs, items and success rate per source and day over the last days."""
+    """Runs, items and mean success rate per source and day; a run that asked for nothing counts as 0 %."""
     recent = runs.where(F.col("started_at") >= ts(as_of) - F.expr(f"INTERVAL {days} DAYS"))
-    return (recent.join(sources.select(F.col("id").alias("source_id"), "name"), "source_id")
-            .groupBy("name", F.to_date("started_at").alias("run_date"))
-            .agg(F.count(F.lit(1)).alias("runs"), F.sum("items_ok").alias("items_ok"), F.sum("items_failed").alias("items_failed"))
-            .withColumn("success_rate", F.col("items_ok") * 100.0
-                        / F.nullif(F.col("items_ok") + F.col("items_failed"), F.lit(0))))
+    rate = F.when(F.col("requested") > 0, F.col("collected") * 100.0 / F.col("requested")).otherwise(0.0)
+    return (recent.join(F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))), "source_id")
+            .groupBy("source", F.to_date("started_at").alias("run_date"))
+            .agg(F.count(F.lit(1)).alias("runs_count"), F.sum("collected").alias("total_collected"),
+                 F.sum("failed").alias("total_failed"), F.avg(rate).alias("avg_success_rate"),
+                 F.sum("cost").alias("total_cost")))
 
 
 def locality_stats(listings: DataFrame, prices: DataFrame, patterns: Mapping[str, str], every_point: bool = True) -> DataFrame:

@@ -67,6 +67,28 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Col
     return out.select(*df.columns, (F.col("_pos") + F.col("_before")).alias(rank))
 
 
+def asof_last(left: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, fact_at: str, value: str,
+              order: Sequence[str] = (), grain: str = "month", name: str = "value_at") -> DataFrame:
+    """``left`` beside the newest fact value at or before ``at`` per key.
+
+    Facts and subjects are interleaved in time and scanned once; nothing is paired up.
+    """
+    keys = list(keys)
+    f = facts.select(*keys, F.col(fact_at).alias("_t"), F.struct(F.col(fact_at), *order, value).alias("_f"))
+    s = left.select(*keys, F.col(at).alias("_t")).distinct()
+    both = f.unionByName(s, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(grain, "_t"))
+    cell = [*keys, "_bucket"]
+    # RANGE frame: facts at the very instant count as known
+    w = Window.partitionBy(*cell).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
+    asked = both.withColumn("_in", F.max("_f").over(w)).where(F.col("_f").isNull()).drop("_f")
+    tails = both.groupBy(*cell).agg(F.max("_f").alias("_tail"))
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carry = tails.select(*cell, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+    known = null_safe_join(asked, carry, cell, "left").select(
+        *keys, F.col("_t").alias(at), F.coalesce("_in", "_carry")[value].alias(name))
+    return null_safe_join(left, known, [*keys, at], "left")
+
+
 # Sub-buckets per power of two in the first quantile pass.
 QUANTILE_STEPS = 4096
 

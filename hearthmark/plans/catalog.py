@@ -1,6 +1,8 @@
 """Imports every query module so that the registry is complete."""
 
 from hearthmark.plans import (  # noqa: F401
+    q_lifecycle,
     q_market,
+    q_search,
 )
 from hearthmark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -303,14 +303,15 @@ RUNS_AS_OF = "2001-08-01 00:00:00"
 
 
 @query("scrape_health", f"""
-    SELECT s.name, CAST(o_orderdate AS DATE) AS run_date, count(*) AS runs, CAST(sum(o_custkey % 50) AS BIGINT) AS items_ok,
-           CAST(sum(o_custkey % 7) AS BIGINT) AS items_failed,
-           round(sum(o_custkey % 50) * 100.0 / nullif(sum(o_custkey % 50) + sum(o_custkey % 7), 0), 6) AS success_rate
+    SELECT s.name AS source, CAST(o_orderdate AS DATE) AS run_date, count(*) AS runs_count, CAST(sum(o_custkey % 50) AS BIGINT) AS total_collected,
+           CAST(sum(o_custkey % 7) AS BIGINT) AS total_failed, CAST(sum(o_custkey % 3) AS BIGINT) AS total_cost,
+           round(avg(CASE WHEN (o_custkey % 50) + (o_custkey % 7) > 0 THEN (o_custkey % 50) * 100.0 / ((o_custkey % 50) + (o_custkey % 7)) ELSE 0 END), 6) AS avg_success_rate
     FROM orders JOIN product_sources s ON s.id = o_orderkey % 10
     WHERE o_orderdate >= TIMESTAMP '{RUNS_AS_OF}' - INTERVAL 7 DAY GROUP BY s.name, CAST(o_orderdate AS DATE)""")
 def _(t):
+    ok, bad = F.col("o_custkey") % 50, F.col("o_custkey") % 7
     runs = t.orders.select((F.col("o_orderkey") % 10).cast("int").alias("source_id"), F.col("o_orderdate").alias("started_at"),
-                           (F.col("o_custkey") % 50).alias("items_ok"), (F.col("o_custkey") % 7).alias("items_failed"))
+                           (ok + bad).alias("requested"), ok.alias("collected"), bad.alias("failed"), (F.col("o_custkey") % 3).alias("cost"))
     return r(market.scrape_health(t.product_sources, runs, RUNS_AS_OF), 6)
 
 
