@@ -120,21 +120,17 @@ def filter_any_substring(df: DataFrame, col: str, needles: Sequence[str]) -> Dat
     return df.where(reduce(lambda a, b: a | b, [F.lower(col).contains(n.lower()) for n in needles], F.lit(False)))
 
 
-def search_address(listings: DataFrame, queries: DataFrame, min_hits: int = 1) -> DataFrame:
+def search_address(listings: DataFrame, queries: Sequence[Mapping[str, str]], min_hits: int = 1) -> DataFrame:
     """Addresses matching each query, and for queries with too few hits the broader pattern.
 
-    ``queries``: query_id, pattern, broad_pattern (ILIKE patterns; a small user table, checked
-    below).  Addresses are reduced to distinct values with their counts and newest listing first,
+    ``queries``: query_id, pattern, broad_pattern (ILIKE patterns).  Addresses are reduced to distinct values with their counts and newest listing first,
     so the pattern work grows with the number of addresses, not of listings.
     """
     addr = listings.groupBy("address").agg(
         F.count(F.lit(1)).alias("listings"), F.max_by("id", F.struct("last_seen", "id")).alias("newest_id"))
-    pats = [r.asDict() for r in queries.limit(1001).collect()]
-    if len(pats) > 1000:
-        raise ValueError("more than 1000 search patterns in one call")
 
     def hits(field: str) -> DataFrame:
-        found = F.array_compact(F.array(*[F.when(F.col("address").ilike(p[field]), F.lit(p["query_id"])) for p in pats]))
+        found = F.array_compact(F.array(*[F.when(F.col("address").ilike(p[field]), F.lit(p["query_id"])) for p in queries]))
         return addr.withColumn("query_id", F.explode(found))
 
     exact = hits("pattern").withColumn("broad", F.lit(False))

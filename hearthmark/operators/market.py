@@ -15,7 +15,8 @@ CONDITION_FACTORS = {5: 1.10, 4: 1.05, 3: 1.00, 2: 0.90, 1: 0.80}
 
 
 def ts(value: str | Column) -> Column:
-    return F.to_timestamp(F.lit(value)) if isinstance(value, str) else value
+    """Instant literal without zone: it reaches the scan as a pushed filter for either timestamp type."""
+    return F.lit(value).cast("timestamp_ntz") if isinstance(value, str) else value
 
 
 def ppsm(price: Column, area: Column) -> Column:
@@ -93,7 +94,7 @@ def district_stats_live(listings: DataFrame, prices: DataFrame, districts: DataF
 def multidim_aggregates(listings: DataFrame, prices: DataFrame, as_of: str, max_age_days: int = 90,
                         min_listings: int = 3, segment: str = "segment_id") -> DataFrame:
     """District x segment price statistics with a sample-size confidence."""
-    recent = listings.where((F.col("last_seen") >= F.date_sub(ts(as_of), max_age_days).cast("timestamp"))
+    recent = listings.where((F.col("last_seen") >= F.date_sub(ts(as_of), max_age_days))
                             & F.col("district_id").isNotNull() & F.col(segment).isNotNull())
     rows = _priced(recent, prices, "left")
     keys = ["district_id", segment]
@@ -273,7 +274,7 @@ def stats_by_region(listings: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def arrivals(listings: DataFrame, grain: str = "day", at: str = "first_seen") -> DataFrame:
-    return listings.groupBy(F.date_trunc(grain, at).alias("period")).agg(F.count(F.lit(1)).alias("arrivals"))
+    return listings.groupBy(F.date_trunc(grain, at).cast("timestamp_ntz").alias("period")).agg(F.count(F.lit(1)).alias("arrivals"))
 
 
 def rating_summary(ratings: DataFrame) -> DataFrame:

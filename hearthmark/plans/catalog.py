@@ -3,6 +3,8 @@
 from hearthmark.plans import (  # noqa: F401
     q_lifecycle,
     q_market,
+    q_pricepaid,
     q_search,
+    q_trade,
 )
 from hearthmark.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from hearthmark.operators import merge, price_history
+from hearthmark.operators.market import ts
 from hearthmark.plans.q_market import r
 from hearthmark.plans.registry import query, snippet
 from hearthmark.sources.tables import AS_OF
@@ -20,23 +21,23 @@ snippet("batch_listings", f"""
 
 
 def cur_listings(t):
-    return t.listings.where((F.col("first_seen") < F.to_timestamp(F.lit(SPLIT))) & (F.col("id") % 5 != 0)).select(
+    return t.listings.where((F.col("first_seen") < ts(SPLIT)) & (F.col("id") % 5 != 0)).select(
         "id", "url", "rooms", "area_total", "address", "house_year", "first_seen", F.col("first_seen").alias("last_seen"),
         (F.col("id") % 3 == 0).alias("is_active"))
 
 
 def batch_listings(t):
-    return t.listings.where((F.col("last_seen") >= F.to_timestamp(F.lit(SPLIT))) & (F.col("id") % 3 != 1)).select(
+    return t.listings.where((F.col("last_seen") >= ts(SPLIT)) & (F.col("id") % 3 != 1)).select(
         "id", F.concat("url", F.lit("#b")).alias("url"), F.when(F.col("id") % 4 != 0, F.col("rooms")).alias("rooms"),
         (F.col("area_total") + 1).alias("area_total"), "address", F.when(F.col("id") % 2 == 0, F.col("house_year") + 1).alias("house_year"))
 
 
 def old_prices(t):
-    return t.listing_prices.where(F.col("seen_at") < F.to_timestamp(F.lit(SPLIT)))
+    return t.listing_prices.where(F.col("seen_at") < ts(SPLIT))
 
 
 def new_prices(t):
-    return t.listing_prices.where(F.col("seen_at") >= F.to_timestamp(F.lit(SPLIT)))
+    return t.listing_prices.where(F.col("seen_at") >= ts(SPLIT))
 
 
 @query("merge_listings", f"""
@@ -81,7 +82,7 @@ def _(t):
 @query("append_new_facts", """
     SELECT id, seen_at, min(price) AS price FROM listing_prices WHERE id % 3 <> 0 OR seen_at >= TIMESTAMP '2001-01-01' GROUP BY id, seen_at""")
 def _(t):
-    stored = t.listing_prices.where("id % 3 = 0 AND seen_at < TIMESTAMP '2001-01-01'")
+    stored = t.listing_prices.where("id % 3 = 0 AND seen_at < TIMESTAMP_NTZ '2001-01-01'")
     twice = t.listing_prices.unionByName(t.listing_prices.withColumn("price", F.col("price") + 1))
     return merge.append_new(stored, twice, ["id", "seen_at"], ["price"])
 

@@ -81,8 +81,8 @@ def _(t):
     SELECT * FROM e WHERE query_id IN (SELECT query_id FROM ok)
     UNION ALL SELECT query_id, a.*, true FROM a JOIN q ON address ILIKE broad_pattern WHERE query_id NOT IN (SELECT query_id FROM ok)""")
 def _(t):
-    q = t.spark.createDataFrame([("q1", "%street 7, 1_", "%street 7,%"), ("q2", "%street 99,%", "%street 9,%")],
-                                "query_id string, pattern string, broad_pattern string")
+    q = [dict(query_id="q1", pattern="%street 7, 1_", broad_pattern="%street 7,%"),
+         dict(query_id="q2", pattern="%street 99,%", broad_pattern="%street 9,%")]
     return filters.search_address(t.listings, q)
 
 
