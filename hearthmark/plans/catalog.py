@@ -6,5 +6,6 @@ from hearthmark.plans import (  # noqa: F401
     q_pricepaid,
     q_search,
     q_trade,
+    q_valuation,
 )
 from hearthmark.plans.registry import ORACLES, QUERIES  # noqa: F401
