@@ -61,7 +61,7 @@ def find_candidates(subjects: DataFrame, points: DataFrame, rules: CompRules = C
                 | ((cls >= 0) & (cls == r - 1) & (lo >= a - slack)))
 
     subjects = subjects.where(_known(F.col("lat")) & _known(F.col("lon")))
-    return nearest(subjects, points, 3 * rules.k, rooms_ok & not_self, sure, ["rooms", "area_total"], rules.box)
+    return nearest(subjects, points, 3 * rules.k, rooms_ok & not_self, sure, ["rooms", "area_total"], rules.box, F.col("rooms"))
 
 
 def same_class() -> Column:

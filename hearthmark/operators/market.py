@@ -193,7 +193,7 @@ def underpriced(listings: DataFrame, prices: DataFrame, ratings: DataFrame, min_
     rated = rated_listings(listings, prices, ratings)
     gain = F.col("adjusted_price") - F.col("current_price")
     return (rated.where((F.col("condition_score") >= min_score) & (F.col("price_per_sqm") < bar.scalar()))
-            .withColumn("potential_value", gain).withColumn("underpriced_percent", gain / F.col("current_price") * 100))
+            .withColumn("potential_value", gain).withColumn("underpriced_percent", gain / F.nullif("current_price", F.lit(0.0)) * 100))
 
 
 def room_distribution(listings: DataFrame) -> DataFrame:

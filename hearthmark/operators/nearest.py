@@ -27,9 +27,15 @@ class Box:
 
 # Cell size is halved per level; a search at level j needs the counts of level j + 2.
 SEARCH_LEVELS = (0, 2, 4, 6, 8)
-# Beyond this latitude the lon/lat ratio breaks the reach argument: search the whole box.
-MAX_LEVEL_LAT = 64.0
-AREA_BIN, AREA_BINS, ROOM_CLASSES = 5.0, 64, 11
+# Width over height of a cell in km.  Inside these bounds a 3 x 3 block of search cells reaches
+# every point that can beat the ones counted two levels down; outside, the whole box is searched.
+SHAPE_BOUNDS = (0.6, 1.7)
+# Close to the date line neighbours may lie across it: search the whole box there, too.
+DATE_LINE = 175.0
+# For nearest points at any distance: the whole globe as the box, and cells of at most about two
+# degrees, where distances are still as good as flat.
+GLOBE, GLOBE_LEVELS = Box(260.0, 364.0), (0, 7, 9, 11, 13)
+AREA_BIN, AREA_BINS, CLASSES = 5.0, 64, 11
 
 
 def _size(extent: float, level: int | Column) -> Column:
@@ -49,38 +55,44 @@ def collapse_piles(points: DataFrame, attrs: Sequence[str], keep: int, key: str
     return points.withColumn("_pile", F.row_number().over(w)).where(F.col("_pile") <= keep).drop("_pile")
 
 
-def _block_histograms(points: DataFrame, box: Box) -> DataFrame:
-    """Per (level, cell): how many points of each (rooms, area bin) the 3 x 3 block holds."""
-    levels = F.array(*[F.lit(j + 2) for j in SEARCH_LEVELS if j > 0])
-    rooms = F.coalesce(F.col("rooms"), F.lit(-1)) if "rooms" in points.columns else F.lit(-1)
-    p = points.select("lat", "lon", rooms.cast("int").alias("_r"), F.floor(F.col("area_total") / AREA_BIN).cast("int").alias("_b"))
-    p = p.where((F.col("_r") < ROOM_CLASSES) & F.col("_b").between(0, AREA_BINS - 1))
-    own = (p.withColumn("level", F.explode(levels)).select("level", "_r", "_b", *_cells(box, F.col("level"), "lat", "lon"))
+def _counted(levels: Sequence[int]) -> Column:
+    return F.array(*[F.lit(j + 2) for j in levels if j > 0])
+
+
+def _block_histograms(points: DataFrame, box: Box, cls: Column, levels: Sequence[int]) -> DataFrame:
+    """Per (level, cell): how many points of each (class, area bin) the 3 x 3 block holds."""
+    area = F.col("area_total") if "area_total" in points.columns else F.lit(0.0)
+    p = points.select("lat", "lon", F.coalesce(cls.cast("int"), F.lit(-1)).alias("_r"), F.floor(area / AREA_BIN).cast("int").alias("_b"))
+    p = p.where(F.col("_r").between(-1, CLASSES - 1) & F.col("_b").between(0, AREA_BINS - 1))
+    own = (p.withColumn("level", F.explode(_counted(levels))).select("level", "_r", "_b", *_cells(box, F.col("level"), "lat", "lon"))
            .groupBy("level", "cy", "cx", "_r", "_b").agg(F.count(F.lit(1)).alias("_n")))
     near = (own.withColumn("_c", F.explode(block(F.col("cy"), F.col("cx"))))
             .groupBy("level", F.col("_c.cy").alias("cy"), F.col("_c.cx").alias("cx"), "_r", "_b").agg(F.sum("_n").alias("_n")))
-    # at most (ROOM_CLASSES + 1) * AREA_BINS entries per cell
+    # at most (CLASSES + 1) * AREA_BINS entries per cell
     return near.groupBy("level", "cy", "cx").agg(F.collect_list(F.struct("_r", "_b", "_n")).alias("_hist"))
 
 
 def nearest(subjects: DataFrame, points: DataFrame, n: int, eligible: Column,
-            sure: Callable[[Column, Column, Column], Column], attrs: Sequence[str], box: Box = Box()) -> DataFrame:
+            sure: Callable[[Column, Column, Column], Column], attrs: Sequence[str], box: Box = Box(),
+            cls: Column | None = None, levels: Sequence[int] = SEARCH_LEVELS) -> DataFrame:
     """The ``n`` nearest eligible points per subject inside the box, by (distance, id).
 
-    subjects: subject_id, lat, lon, ...; points: id, lat, lon, area_total, [rooms], ....
+    subjects: subject_id, lat, lon, ...; points: id, lat, lon, [area_total], ....
+    ``cls``: small integer class of a point (0..10), e.g. its room count.
     ``eligible``: condition over subject columns and point columns prefixed ``c_``; besides
     subject values it may use only ``c_id`` inequality and the point columns in ``attrs``.
-    ``sure(rooms, lo, hi)``: true only if every point with that room count (-1 = unknown) and an
-    area in [lo, hi) is eligible for the subject; it merely picks the cell size.
+    ``sure(class, lo, hi)``: true only if every point of that class (-1 = none) with an area
+    in [lo, hi) is eligible for the subject; it merely picks the cell size.
     Point columns come out prefixed ``c_``, with ``distance_km`` and ``rank``.
     """
     need = n + 1  # one spare: the subject itself may be excluded
     pts = collapse_piles(points, attrs, need)
     s = subjects.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
-    hist = _block_histograms(pts, box).withColumnRenamed("level", "_lv")
-    levels = F.array(*[F.lit(j + 2) for j in SEARCH_LEVELS if j > 0])
-    look = s.where(F.abs("lat") <= MAX_LEVEL_LAT).withColumn("_lv", F.explode(levels))
+    hist = _block_histograms(pts, box, F.lit(-1) if cls is None else cls, levels).withColumnRenamed("level", "_lv")
+    shape = F.cos(F.radians("lat")) * (box.lon / box.lat)
+    plain = shape.between(*SHAPE_BOUNDS) & (F.abs("lon") <= DATE_LINE)
+    look = s.where(plain).withColumn("_lv", F.explode(_counted(levels)))
     look = look.select("*", *_cells(box, F.col("_lv"), "lat", "lon")).join(hist, ["_lv", "cy", "cx"])
     lo = lambda e: e["_b"] * AREA_BIN
     fits = F.aggregate(F.filter("_hist", lambda e: F.coalesce(sure(e["_r"], lo(e), lo(e) + AREA_BIN), F.lit(False))),
@@ -92,7 +104,7 @@ def nearest(subjects: DataFrame, points: DataFrame, n: int, eligible: Column,
              .withColumns({"cy": F.col("_c.cy"), "cx": F.col("_c.cx")}).drop("_c"))
 
     c = pts.select(*[F.col(x).alias(f"c_{x}") for x in pts.columns])
-    c = c.withColumn("_level", F.explode(F.array(*[F.lit(j) for j in SEARCH_LEVELS])))
+    c = c.withColumn("_level", F.explode(F.array(*[F.lit(j) for j in levels])))
     c = c.select("*", *_cells(box, F.col("_level"), "c_lat", "c_lon"))
     pairs = asked.join(c, ["_level", "cy", "cx"]).where(
         (F.abs(F.col("c_lat") - F.col("lat")) <= box.lat) & (F.abs(F.col("c_lon") - F.col("lon")) <= box.lon) & eligible)

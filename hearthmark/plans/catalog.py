@@ -3,6 +3,7 @@
 from hearthmark.plans import (  # noqa: F401
     q_lifecycle,
     q_market,
+    q_places,
     q_pricepaid,
     q_search,
     q_trade,
