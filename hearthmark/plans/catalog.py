@@ -6,6 +6,7 @@ from hearthmark.plans import (  # noqa: F401
     q_places,
     q_pricepaid,
     q_search,
+    q_text,
     q_trade,
     q_valuation,
 )
