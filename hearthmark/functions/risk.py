@@ -109,18 +109,21 @@ def tag_risks(df: DataFrame, text: str, pack: RiskPack = RUSSIAN) -> DataFrame:
 
 def risk_matches(df: DataFrame, key: str, text: str, pack: RiskPack = RUSSIAN) -> DataFrame:
     """One row per match: type, pattern, matched text and its 0-based position in the lower-cased text."""
-    low = F.lower(text)
-    rules = F.array(*[F.struct(F.lit(r.kind).alias("type"), F.lit(p).alias("pattern")) for r in pack.rules for p in r.patterns])
+    low = F.col("_t")
     every = any_of([p for r in pack.rules for p in r.patterns], pack.flags)
-    hits = df.where((F.length(text) >= pack.min_length) & low.rlike(every)).select(key, low.alias("_t"), F.explode(rules).alias("_r"))
-    full = F.concat(F.lit(pack.flags), F.col("_r.pattern"))
-    hits = hits.where(F.col("_t").rlike(full)).withColumns({
-        "_m": F.regexp_extract_all("_t", full, F.lit(0)), "_gaps": F.split("_t", full, -1)})
+
+    def hit(kind: str, p: str) -> Column:
+        full = pack.flags + p
+        return F.when(low.rlike(full), F.struct(
+            F.lit(kind).alias("type"), F.lit(p).alias("pattern"), F.regexp_extract_all(low, F.lit(full), F.lit(0)).alias("m"), F.split(low, full, -1).alias("gaps")))
+
+    found = F.array_compact(F.array(*[hit(r.kind, p) for r in pack.rules for p in r.patterns]))
+    hits = (df.where(F.length(text) >= pack.min_length).select(key, F.lower(text).alias("_t")).where(low.rlike(every))
+            .select(key, F.explode(found).alias("_h")).select(key, "_h.*"))
     # a match starts after all gaps up to it and all matches before it
-    start = lambda i: (F.aggregate(F.slice("_gaps", 1, i + 1), F.lit(0), lambda a, s: a + F.length(s))
-                       + F.aggregate(F.slice("_m", 1, i), F.lit(0), lambda a, s: a + F.length(s)))
-    found = F.transform("_m", lambda m, i: F.struct(m.alias("text"), start(i).alias("position")))
-    return hits.select(key, "_r.type", "_r.pattern", F.inline(found))
+    start = lambda i: (F.aggregate(F.slice("gaps", 1, i + 1), F.lit(0), lambda a, s: a + F.length(s))
+                       + F.aggregate(F.slice("m", 1, i), F.lit(0), lambda a, s: a + F.length(s)))
+    return hits.select(key, "type", "pattern", F.inline(F.transform("m", lambda m, i: F.struct(m.alias("text"), start(i).alias("position")))))
 
 
 def risk_summary(risks: Column, confidence: Column, has_risk: Column, positive: Column) -> Column:
