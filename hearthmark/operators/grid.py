@@ -71,10 +71,10 @@ def grid_global(listings: DataFrame, prices: DataFrame, as_of: str, rules: GridR
     """One row: mean and median price per m2 of everything seen lately."""
     rows = with_latest_price(listings.where("area_total > 0").where(
         F.col("last_seen") >= F.date_sub(ts(as_of), rules.global_days)), prices, "left").where("current_price > 0")
-    rows = rows.select(ppsm(F.col("current_price"), F.col("area_total")).alias("v"), F.lit(0).alias("_k"))
-    head = rows.groupBy("_k").agg(F.avg("v").alias("avg_price_per_sqm"), F.count(F.lit(1)).alias("sample_size"))
-    q = exact_quantiles(rows, ["_k"], "v", [0.5], ["median_price_per_sqm"]).drop("n")
-    return head.join(q, "_k").select(*PRICE, "sample_size", F.lit(10).cast("long").alias("confidence"), F.lit(None).cast("int").alias("segment_id"))
+    rows = rows.select(ppsm(F.col("current_price"), F.col("area_total")).alias("v"))
+    head = rows.agg(F.avg("v").alias("avg_price_per_sqm"), F.count(F.lit(1)).alias("sample_size")).where("sample_size > 0")
+    q = exact_quantiles(rows, [], "v", [0.5], ["median_price_per_sqm"]).drop("n")
+    return head.withColumn("median_price_per_sqm", q.scalar()).select(*PRICE, "sample_size", F.lit(10).cast("long").alias("confidence"), F.lit(None).cast("int").alias("segment_id"))
 
 
 OUT = [*PRICE, "sample_size", "confidence", "segment_id"]

@@ -53,9 +53,9 @@ def price_over_time(df: DataFrame, cond: Column) -> DataFrame:
 
 def price_stats(df: DataFrame, cond: Column, as_of: str, months: int = 6) -> DataFrame:
     rows = df.where(cond & (F.col("date") > months_back(as_of, months)))
-    head = rows.agg(exact_avg("price").alias("avg"), F.count(F.lit(1)).alias("sold")).withColumn("_k", F.lit(0))
-    q = exact_quantiles(rows.withColumn("_k", F.lit(0)), ["_k"], "price", [0.5, 0.95, 0.99], ["median", "p95", "p99"]).drop("n")
-    return head.join(q, "_k", "left").drop("_k")
+    head = rows.agg(exact_avg("price").alias("avg"), F.count(F.lit(1)).alias("sold"))
+    q = exact_quantiles(rows, [], "price", [0.5, 0.95, 0.99], array="q").select("q")
+    return head.withColumn("_q", q.scalar()).select("avg", "sold", *[F.get("_q", F.lit(i)).alias(n) for i, n in enumerate(("median", "p95", "p99"))])
 
 
 def yearly_averages(df: DataFrame, cond: Column) -> DataFrame:
@@ -81,11 +81,11 @@ def price_increase(df: DataFrame, cond: Column, years: Sequence[int] = (10, 5, 3
 
 def price_rank(df: DataFrame, cond: Column, as_of: str, months: int = 6) -> DataFrame:
     """Percentile the area's average falls into: first of 100 quantiles above it, minus one."""
-    rows = df.where(F.col("date") > months_back(as_of, months)).withColumn("_k", F.lit(0))
-    q = exact_quantiles(rows, ["_k"], "price", [i / 100 for i in range(100)], array="quantiles").drop("n")
-    head = rows.groupBy("_k").agg(_avg(cond).alias("filtered_avg"), _avg().alias("avg"))
+    rows = df.where(F.col("date") > months_back(as_of, months))
+    q = exact_quantiles(rows, [], "price", [i / 100 for i in range(100)], array="quantiles").drop("n")
+    head = rows.agg(_avg(cond).alias("filtered_avg"), _avg().alias("avg")).withColumn("quantiles", q.scalar())
     first = F.array_position(F.transform("quantiles", lambda x: F.coalesce(x > F.col("filtered_avg"), F.lit(False))), True) - 1
-    return head.join(q, "_k").select((first - 1).alias("quantile"), "filtered_avg", "avg")
+    return head.select((first - 1).alias("quantile"), "filtered_avg", "avg")
 
 
 def by_duration(df: DataFrame, cond: Column | None, mode: str = "filtered") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Known building types, height classes and their upper floor bounds.
@@ -41,20 +41,32 @@ def segment_key(listings: DataFrame) -> DataFrame:
 
 
 def build_segments(listings: DataFrame) -> DataFrame:
-    """Segment dimension: every observed combination and the common grid, with a stable id.
+    """Segment dimension: every observed combination and the common grid, with its id.
 
     At most (types + other) x heights x (rooms + 1) rows, whatever the size of ``listings``.
     """
     seen = segment_key(listings).select(*SEGMENT_KEYS).dropna().distinct()
-    combos = [(t, h, r) for t in COMMON_TYPES for h in HEIGHTS for r in range(1, MAX_ROOMS + 1)]
-    grid = listings.sparkSession.createDataFrame(combos, "building_type string, building_height string, rooms_count int")
-    both = seen.unionByName(grid).distinct()
-    return both.withColumn("segment_id", F.row_number().over(Window.orderBy(*SEGMENT_KEYS)))
+    grid = listings.sparkSession.range(1).select(F.explode(F.array(*[F.lit(t) for t in COMMON_TYPES])).alias("building_type"))
+    grid = grid.withColumn("building_height", F.explode(F.array(*[F.lit(h) for h in HEIGHTS])))
+    grid = grid.withColumn("rooms_count", F.explode(F.sequence(F.lit(1), F.lit(MAX_ROOMS))))
+    return seen.unionByName(grid).distinct().withColumn("segment_id", segment_id())
 
 
-def assign_segment(listings: DataFrame, segments: DataFrame) -> DataFrame:
-    """Listings beside ``segment_id``; the dimension is bounded, so it is broadcast."""
+def segment_id() -> Column:
+    """Id spelled from the three keys: it never changes when new combinations turn up."""
+    kind = F.array_position(F.array(*[F.lit(t) for t in (*BUILDING_TYPES, "other", "unknown")]), F.col("building_type"))
+    height = F.array_position(F.array(*[F.lit(h) for h in HEIGHTS]), F.col("building_height"))
+    return (kind * 100 + height * 10 + F.col("rooms_count")).cast("int")
+
+
+def assign_segment(listings: DataFrame, segments: DataFrame | None = None) -> DataFrame:
+    """Listings beside ``segment_id``, NULL where a key is unknown.
+
+    With ``segments`` only its rows count; the dimension has at most some hundred rows, so it is broadcast.
+    """
     keyed = segment_key(listings)
+    if segments is None:
+        return keyed.withColumn("segment_id", segment_id())
     return keyed.join(F.broadcast(segments.select(*SEGMENT_KEYS, "segment_id")), SEGMENT_KEYS, "left")
 
 

@@ -42,7 +42,7 @@ snippet("segmented", """
            CASE WHEN total_floors <= 5 THEN 'low' WHEN total_floors <= 10 THEN 'medium' WHEN total_floors IS NOT NULL THEN 'high' END AS seg_height,
            CASE WHEN rooms IS NOT NULL THEN least(rooms, 5) END AS seg_rooms FROM all_priced""")
 snippet("property_segments", """
-    SELECT *, row_number() OVER (ORDER BY building_type, building_height, rooms_count) AS segment_id FROM (
+    SELECT *, CAST(list_position(['panel', 'brick', 'monolithic', 'block', 'wood', 'other'], building_type) * 100 + list_position(['low', 'medium', 'high'], building_height) * 10 + rooms_count AS INT) AS segment_id FROM (
         SELECT DISTINCT seg_type AS building_type, seg_height AS building_height, seg_rooms AS rooms_count FROM segmented
         WHERE seg_type IS NOT NULL AND seg_height IS NOT NULL AND seg_rooms IS NOT NULL
         UNION
@@ -54,7 +54,7 @@ snippet("segment_of", """
 
 
 def segmented(t):
-    return segments.assign_segment(t.listings, segments.build_segments(t.listings))
+    return segments.assign_segment(t.listings)
 
 
 @query("latest_price_inner", """
@@ -360,7 +360,8 @@ def _(t):
 
 @query("segment_assignment", "SELECT id, seg_height AS building_height, seg_type AS building_type, segment_id FROM segment_of")
 def _(t):
-    return segmented(t).select("id", "building_height", "building_type", "segment_id")
+    s = segments.assign_segment(t.listings, segments.build_segments(t.listings))
+    return s.select("id", "building_height", "building_type", "segment_id")
 
 
 @query("segment_summary", """

@@ -21,6 +21,9 @@ def build_session(app: str = "hearthmark", master: str | None = None, **conf: st
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # small rows may be expensive ones (cell joins, JSON): do not merge them into one task,
+        # and leave shuffles to the planner so that AQE can still split skewed partitions
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
