@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from hearthmark.operators.skew import asof_last, latest_by, top_rows
 
 
-def latest_prices(prices: DataFrame, since: Column | None = None) -> DataFrame:
-    """Newest price per id; equal instants are settled by the higher price."""
+def latest_prices(prices: DataFrame, since: Column | None = None, unique: bool = True) -> DataFrame:
+    """Newest price per id.
+
+    (id, seen_at) is the key of the price facts, so plain ``max_by`` is deterministic and runs as a
+    hash aggregate; pass ``unique=False`` for facts with repeated instants (the higher price wins,
+    at the cost of a sort aggregate).
+    """
     p = prices if since is None else prices.where(F.col("seen_at") >= since)
+    if unique:
+        return p.groupBy("id").agg(F.max_by("price", "seen_at").alias("price"), F.max("seen_at").alias("seen_at"))
     return latest_by(p, ["id"], ["seen_at", "price"], ["price", "seen_at"])
 
 

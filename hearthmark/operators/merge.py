@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthmark.operators.latest import latest_prices
 from hearthmark.operators.market import ts
-from hearthmark.operators.skew import lagged, latest_by, null_safe_join
+from hearthmark.operators.skew import lagged, null_safe_join
 
 # Detail columns of a listing that a later NULL must not erase.
 LISTING_DETAILS = (
@@ -107,7 +108,7 @@ def append_price_changes(prices: DataFrame, batch: DataFrame, grain: str = "mont
 
     Points at or before the newest stored instant of the id are ignored: facts only grow.
     """
-    stored = latest_by(prices, ["id"], ["seen_at", "price"], ["seen_at", "price"])
+    stored = latest_prices(prices)
     s = stored.select("id", F.col("seen_at").alias("_at"), F.col("price").alias("_price"))
     fresh = batch.select("id", "seen_at", "price").join(s, "id", "left").where(
         F.col("_at").isNull() | (F.col("seen_at") > F.col("_at")))
@@ -121,7 +122,7 @@ def append_new(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], or
     rest = [c for c in incoming.columns if c not in keys]
     one = (incoming.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
            .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*incoming.columns))
-    return one.join(existing.select(*keys).distinct(), list(keys), "left_anti")
+    return one.join(existing.select(*keys), list(keys), "left_anti")
 
 
 def upsert_snapshot(existing: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -147,10 +148,9 @@ def mark_inactive(products: DataFrame, as_of: str, days: int = 7, seen: str = "l
 
 def price_change_rollup(prices: DataFrame, grain: str = "month") -> DataFrame:
     """Initial and last price, number of changes and percent change per id."""
-    steps = lagged(prices, ["id"], "seen_at", ["price"], ["price"], grain)
-    order = F.struct("seen_at", "price")
+    steps = lagged(prices, ["id"], "seen_at", ["price"], (), grain)
     agg = steps.groupBy("id").agg(
-        F.min_by("price", order).alias("initial_price"), F.max_by("price", order).alias("price"),
+        F.min_by("price", "seen_at").alias("initial_price"), F.max_by("price", "seen_at").alias("price"),
         F.count_if(F.col("prev_price") != F.col("price")).alias("price_change_count"))
     return agg.withColumn("price_change_pct", F.when(
         F.col("initial_price") > 0, (F.col("price") - F.col("initial_price")) / F.col("initial_price") * 100).otherwise(0.0))

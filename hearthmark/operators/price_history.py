@@ -14,7 +14,7 @@ from hearthmark.operators.skew import lagged
 
 def price_drops(listings: DataFrame, prices: DataFrame, threshold: float = 0.05) -> DataFrame:
     """Points of active listings at least ``threshold`` below the previous point."""
-    steps = lagged(prices, ["id"], "seen_at", ["price"], ["price"])
+    steps = lagged(prices, ["id"], "seen_at", ["price"])
     change = (F.col("price") - F.col("prev_price")) / F.nullif("prev_price", F.lit(0.0))
     drops = steps.where(change <= -threshold).withColumn("change_percent", change * 100)
     active = listings.where("is_active").select("id", "url", "address", "rooms", "area_total")
@@ -23,7 +23,7 @@ def price_drops(listings: DataFrame, prices: DataFrame, threshold: float = 0.05)
 
 def price_timeline(offers: DataFrame) -> DataFrame:
     """Offers beside the previous price and the change in percent; NULL for the first."""
-    steps = lagged(offers, ["product_id"], "collected_at", ["price_minor"], ["price_minor"])
+    steps = lagged(offers, ["product_id"], "collected_at", ["price_minor"])
     change = (F.col("price_minor") - F.col("prev_price_minor")) / F.nullif("prev_price_minor", F.lit(0)) * 100
     return steps.withColumn("price_change_percent", change)
 

@@ -48,7 +48,10 @@ def lagged(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], o
     b = df.withColumn("_bucket", F.date_trunc(grain, F.col(ts)))
     cell = [*keys, "_bucket"]
     inner = b.withColumn("_in", F.lag(F.struct(*values)).over(Window.partitionBy(*cell).orderBy(*order)))
-    tails = b.groupBy(*cell).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"))
+    if len(order) == 1:  # instants are unique per key: a plain hash aggregate will do
+        tails = b.groupBy(*cell).agg(F.struct(*[F.max_by(v, ts).alias(v) for v in values]).alias("_tail"))
+    else:
+        tails = b.groupBy(*cell).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"))
     carry = tails.select(*cell, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
     out = null_safe_join(inner, carry, cell, "left")
     prev = F.coalesce(F.col("_in"), F.col("_carry"))
