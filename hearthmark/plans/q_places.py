@@ -34,11 +34,11 @@ def zones(t):
 
 
 @query("points_in_radius", f"""
-    SELECT a.id AS subject_id, count(b.id) AS points, round(min({hav('a', 'b')}) * 1000, 2) AS nearest_m FROM listings a
+    SELECT a.id AS subject_id, count(b.id) AS points, round(min({hav('a', 'b')}) * 1000, 3) AS nearest_m FROM listings a
     JOIN listings b ON {hav('a', 'b')} <= 1.5 GROUP BY a.id""")
 def _(t):
     out = geo.within_radius(t.listings.select(F.col("id").alias("subject_id"), "lat", "lon"), t.listings.select("lat", "lon"), 1500)
-    return r(out.select("subject_id", "points", "nearest_m"), 2)
+    return r(out.select("subject_id", "points", "nearest_m"), 3)
 
 
 @query("search_box", "SELECT id FROM listings WHERE lat BETWEEN 55.75 - 0.05 AND 55.75 + 0.05 AND lon BETWEEN 37.6 - 0.07 AND 37.6 + 0.07")
@@ -57,10 +57,10 @@ snippet("zone_centres", "SELECT *, (3 * s + 2 * n) / 5 AS lat, (3 * w + 2 * e) /
 
 
 @query("district_by_nearest", f"""
-    SELECT id, arg_min(district_id, (d, -level, district_id)) AS district_id, arg_min(level, (d, -level, district_id)) AS level, round(min(d) * 1000, 1) AS distance_m
+    SELECT id, arg_min(district_id, (d, -level, district_id)) AS district_id, arg_min(level, (d, -level, district_id)) AS level, round(min(d) * 1000, 3) AS distance_m
     FROM (SELECT l.id, z.district_id, z.level, {hav('l', 'z')} AS d FROM listings l CROSS JOIN zone_centres z WHERE z.level >= 2) GROUP BY id HAVING min(d) < 5""")
 def _(t):
-    return r(geo.assign_by_nearest(t.listings, zones(t), max_m=5000, min_level=2), 1)
+    return r(geo.assign_by_nearest(t.listings, zones(t), max_m=5000, min_level=2), 3)
 
 
 @query("district_by_nearest_any", f"""
@@ -181,10 +181,10 @@ def _(t):
                  AND {hav('s', 'd')} <= 2) WHERE rn <= 60),
          m AS (SELECT *, area >= 20 AND NOT (CASE WHEN ty >= 2000 THEN cy < 1990 WHEN ty < 1990 THEN cy >= 2000 ELSE false END) AND (a = 0 OR area / a BETWEEN 0.5 AND 1.5) AS ok FROM p),
          n AS (SELECT *, count(*) OVER (PARTITION BY subject_id) AS n, count(*) FILTER (WHERE ok) OVER (PARTITION BY subject_id) AS n_ok FROM m)
-    SELECT subject_id, deal_id, deal_price, area, deal_date, round(km * 1000, 2) AS distance_m, rank FROM (
+    SELECT subject_id, deal_id, deal_price, area, deal_date, round(km * 1000, 3) AS distance_m, rank FROM (
         SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY km, deal_id) AS rank FROM n WHERE ok OR (n_ok < 3 AND n >= 3)) WHERE rank <= 20""")
 def _(t):
-    return r(geo.nearby_deals(subjects(t), t.deals, AS_OF), 2, "distance_m")
+    return r(geo.nearby_deals(subjects(t), t.deals, AS_OF), 3, "distance_m")
 
 
 # --- duplicates ------------------------------------------------------------------------

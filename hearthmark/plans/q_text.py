@@ -328,7 +328,12 @@ def _(t):
     return pages.extract_from_html(t.pages).select("page_id", "offer_id", F.length("html").cast("long").alias("html_length"))
 
 
-@query("page_plain_length")
+PLAIN = r"regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g')"
+for _a, _b in pages.ENTITIES:
+    PLAIN = f"replace({PLAIN}, '{_a}', '{_b}')"
+
+
+@query("page_plain_length", f"SELECT page_id, CAST(length(trim(regexp_replace({PLAIN}, '\\s+', ' ', 'g'))) AS INT) AS chars FROM pages")
 def _(t):
     return t.pages.select("page_id", F.length(pages.plain_text(F.col("html"))).alias("chars"))
 

@@ -78,7 +78,12 @@ def main():
     from hearthmark.plans.catalog import ORACLES, QUERIES
     from hearthmark.session import build_session
     folder = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = build_session("compare", "local[8]")
+    if os.environ.get("PLAIN"):  # a session that sets nothing of ours
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]").config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+                 .config("spark.driver.memory", "12g").getOrCreate())
+    else:
+        spark = build_session("compare", "local[8]")
     con = duck(folder)
     pats = sys.argv[1:]
     fails = 0
