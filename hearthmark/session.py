@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import re
+import shutil
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -39,12 +42,32 @@ def build_session(app: str = "hearthmark", master: str | None = None, **conf: st
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: the one ``spark.checkpoint.dir`` names.
+
+    Only a single-process session (tests, a laptop) may do without the setting; it gets a folder of
+    its own, which goes when the process ends. On a cluster a missing setting is an error.
+    """
+    named = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors share (master is {master})")
+    own = tempfile.mkdtemp(prefix="hearthmark-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(own)
+    return own
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+    """Reliable checkpoint in the shared folder, written at once.
 
-    Only where the session names none (tests, a laptop) a folder of our own is set.
+    The frame is kept while it is written, so that its source is evaluated once and not again for the files.
     """
-    spark = df.sparkSession
-    if not spark.conf.get(CHECKPOINT_KEY, None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint(eager=False)
+    shared_folder(df.sparkSession)
+    df.persist(StorageLevel.DISK_ONLY)
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        df.unpersist()
