@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthmark.llm.common import BLANKS, split_words, text_or_empty
 
-# Frequent function words of English, French, German and Spanish.
+# Frequent function words of English, French, German and Spanish, as they stand inside a sentence.
 STOP_WORDS = ("the of and to in is that for with was be at by from this or on as it an he are not "
               "le la les de des du et un une en est que qui pour dans par sur pas au ce il avec plus "
               "der die das und zu den von mit ist im auf nicht ein eine des dem für sich auch als "
@@ -47,9 +48,8 @@ RULES = (
 
 def _window_hashes(hashes: str) -> Column:
     """Hash of each run of WINDOW words, from the hashes of the words."""
-    last = F.size(hashes) - WINDOW
-    run = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(hashes), i + k) for k in range(WINDOW)]))
-    return F.when(last >= 0, run).otherwise(F.array().cast("array<bigint>"))
+    all_at = F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(F.col(hashes), i + k) for k in range(1, WINDOW)]))
+    return F.slice(all_at, 1, F.greatest(F.size(hashes) - WINDOW + 1, F.lit(0)))
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -68,12 +68,15 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         F.char_length(F.array_join("__words", "")).cast("long").alias("word_chars"),
         F.regexp_count(t, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         F.size("__lines").cast("long").alias("n_lines"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("__words", lambda w: F.lower(w).isin(*STOP_WORDS))).cast("long").alias("n_stop_words"))
+        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"))
+    # the hashes of the words are there already, and a set of longs is quicker to look into than one of strings
+    stops = [xxhash.xxh64_intdigest(w, 42) for w in sorted(set(STOP_WORDS))]
+    stops = [h - (h >> 63 << 64) for h in stops]
+    d = d.withColumn("n_stop_words", F.size(F.filter("__hashes", lambda h: h.isin(*stops))).cast("long"))
     done = ["row", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stop_words"]
     d = d.select(*done, "__words", _window_hashes("__hashes").alias("__windows"))
     # Only texts with two equal window hashes go on to the exact comparison; neighbours in hash order are compared word by word.
-    in_order = F.array_sort(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    in_order = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     none = F.array().cast("array<struct<h:bigint,i:int>>")
     d = d.select(*done, "__words", F.when(F.size(F.array_distinct("__windows")) < F.size("__windows"), in_order).otherwise(none).alias("__order"))
 
@@ -82,7 +85,7 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.coalesce(equal, F.lit(False))
 
     twice = F.filter("__order", lambda x, k: same(x, F.get(F.col("__order"), k - 1)) | same(x, F.get(F.col("__order"), k + 1)))
-    d = d.select(*done, F.array_sort(F.transform(twice, lambda x: x["i"])).alias("__starts"))
+    d = d.select(*done, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("__starts"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
     covered = F.aggregate("__starts", start,
                           lambda a, p: F.struct((a["n"] + p + WINDOW - F.greatest(p, a["end"])).alias("n"), (p + WINDOW).alias("end")),
@@ -130,7 +133,7 @@ def oracle_sql() -> str:
     m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
                  CAST(len(regexp_extract_all(t, '{SYMBOLS}')) AS BIGINT) AS n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
                  CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-                 CAST(len(list_filter(ws, lambda x: lower(x) IN ({words}))) AS BIGINT) AS n_stop_words
+                 CAST(len(list_filter(ws, lambda x: x IN ({words}))) AS BIGINT) AS n_stop_words
           FROM w LEFT JOIN r ON r.doc_id IS NOT DISTINCT FROM w.doc_id)
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_stop_words,
            NOT ({plain['base']}) AS base_failed, ({plain['base']}) AND ({plain['own']}) AS kept FROM m"""
