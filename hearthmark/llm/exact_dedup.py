@@ -169,7 +169,8 @@ def classes(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
     span = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     border = 0 if span.lo is None else int(span.lo + (span.hi - span.lo + 1) * history_share)
     early = F.coalesce(F.col("doc_id") < border, F.lit(False))
-    answer = decided(rows.where(early), rows.where(~early)).withColumnRenamed("digest", "of")
+    # written first: as a plain scan its side of the join is dealt out anew, and the planner can split a crowded digest
+    answer = cut_lineage(decided(rows.where(early), rows.where(~early))).withColumnRenamed("digest", "of")
     out = rows.join(answer, F.col("digest") == F.col("of"))
     return out.select("doc_id", "keep_id", F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
                       F.lower(F.hex("digest")).alias("text_sha256"))
