@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthmark.llm import exact_dedup, mixing, quality, sentencepiece_codec, simhash, token_files
+from hearthmark.llm import exact_dedup, html_text, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substring_dedup, token_files
 from hearthmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +28,21 @@ def query(name: str, sql: str | None = None, source: str = "documents"):
     return wrap
 
 
+@query("op1_substring_dedup")
+def op1(documents: DataFrame) -> DataFrame:
+    return substring_dedup.removed(documents)
+
+
 @query("op2_simhash_neardup")
 def op2(documents: DataFrame) -> DataFrame:
     return simhash.classes(documents)
 
 
+@query("op3_license_scan", licenses.oracle_sql())
+def op3(documents: DataFrame) -> DataFrame:
+    return licenses.scanned(documents)
+
+
 @query("op4_source_mix", mixing.oracle_sql())
 def op4(documents: DataFrame) -> DataFrame:
     return mixing.mix(documents)
@@ -53,6 +63,16 @@ def op7(documents: DataFrame) -> DataFrame:
     return exact_dedup.classes(documents)
 
 
+@query("op8_pii")
+def op8(documents: DataFrame) -> DataFrame:
+    return pii.marked(documents)
+
+
+@query("op9_html_text", source="pages")
+def op9(pages: DataFrame) -> DataFrame:
+    return html_text.extracted(pages)
+
+
 @query("op10_sentencepiece")
 def op10(documents: DataFrame) -> DataFrame:
     return sentencepiece_codec.encoded(documents, PIECE_MODEL)

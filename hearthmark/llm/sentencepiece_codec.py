@@ -151,7 +151,7 @@ class Codec:
         """Pieces without the blank that the model puts (or finds) in front of each."""
         if not text:
             return []
-        if not self.cuts or MARK in text:
+        if not self.cuts or MARK in text or text.endswith(" "):
             return None
         pieces = text.split(" ")
         if "" in pieces:
