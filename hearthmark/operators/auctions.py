@@ -26,9 +26,9 @@ def with_comparison(lots: DataFrame, comparison: DataFrame) -> DataFrame:
 
 
 def active_lots(lots: DataFrame, platforms: DataFrame, comparison: DataFrame) -> DataFrame:
-    """Open lots beside platform name and comparison (platforms are few: broadcast)."""
+    """Open lots beside platform name and comparison."""
     p = platforms.select(F.col("id").alias("platform_id"), F.col("name").alias("platform_name"))
-    return with_comparison(lots.where(is_open()), comparison).join(F.broadcast(p), "platform_id", "left")
+    return with_comparison(lots.where(is_open()), comparison).join(p, "platform_id", "left")
 
 
 @dataclass(frozen=True)
@@ -127,4 +127,4 @@ def winning_bids(bids: DataFrame) -> DataFrame:
 
 def daily_scrape_stats(stats: DataFrame, platforms: DataFrame) -> DataFrame:
     p = platforms.select(F.col("id").alias("platform_id"), "source_type", F.col("name").alias("platform_name"))
-    return stats.join(F.broadcast(p), "platform_id")
+    return stats.join(p, "platform_id")

@@ -37,10 +37,14 @@ def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, on: Sequenc
     """
     deg = radius_m / 1000.0 / KM_PER_DEG * 1.001
     reach = F.lit(deg) / F.cos(F.radians(F.least(F.abs("lat") + deg, F.lit(89.0))))
-    asked = (left.where("lat IS NOT NULL AND lon IS NOT NULL")
+    # close to a pole a circle may hold all longitudes; over the date line it is asked for on both sides
+    polar = F.abs("lat") + deg >= 89.0
+    sides = F.when(~polar & (F.abs("lon") + reach > 180.0), F.array(F.col("lon"), F.col("lon") - F.signum("lon") * 360.0)).otherwise(F.array("lon"))
+    west, east = (F.when(polar, F.lit(end)).otherwise(F.col("_at") + side) for end, side in ((-180.0, -reach), (180.0, reach)))
+    asked = (left.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_at", F.explode(sides))
              .withColumn("_cy", F.explode(F.sequence(cell(F.col("lat") - deg, deg), cell(F.col("lat") + deg, deg))))
              .withColumn("_w", _row_width(F.col("_cy"), deg))
-             .withColumn("_cx", F.explode(F.sequence(cell(F.col("lon") - reach, F.col("_w")), cell(F.col("lon") + reach, F.col("_w"))))).drop("_w"))
+             .withColumn("_cx", F.explode(F.sequence(cell(west, F.col("_w")), cell(east, F.col("_w"))))).drop("_w", "_at"))
     c = right.where("lat IS NOT NULL AND lon IS NOT NULL").select(
         *[F.col(x).alias(f"c_{x}") for x in right.columns if x not in on], *on)
     c = c.withColumn("_cy", cell(F.col("c_lat"), deg)).withColumn("_cx", cell(F.col("c_lon"), _row_width(F.col("_cy"), deg)))
@@ -118,7 +122,7 @@ def assign_by_nearest(points: DataFrame, districts: DataFrame, max_m: float | No
     c = c.select(F.struct((-F.col("level")).alias("l"), "district_id").alias("id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
     p = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(key).alias("subject_id"), "lat", "lon")
     box, levels = (GLOBE, GLOBE_LEVELS) if max_m is None else (_meters_box(max_m), SEARCH_LEVELS)
-    found = nearest(p, c, 1, F.lit(True), lambda cls, lo, hi: F.lit(True), [], box, levels=levels)
+    found = nearest(p, c, 1, F.lit(True), lambda cls, lo, hi: F.lit(True), [], box, levels=levels, round_box=max_m is not None)
     if max_m is not None:
         found = found.where(F.col("distance_km") * 1000 < max_m)
     return found.select(F.col("subject_id").alias(key), F.col("c_id.district_id").alias("district_id"),
@@ -211,7 +215,7 @@ def link_hierarchy(districts: DataFrame) -> DataFrame:
 # --- imputation from neighbours ------------------------------------------------------
 
 def _meters_box(m: float) -> Box:
-    """Box that holds a circle of ``m`` metres up to 64 degrees of latitude."""
+    """Box for searches by radius: its width suits 64 degrees of latitude, and ``round_box`` widens it beyond."""
     lat = m / 1000.0 / KM_PER_DEG * 1.001
     return Box(lat, lat * 2.29)
 
@@ -237,7 +241,7 @@ def building_type_sources(detected: DataFrame, listings: DataFrame, n: int = 3)
     want = F.array_position(F.array(*[F.lit(t) for t in BUILDING_TYPES]), F.col("detected_type")) - 1
     pts = listings.where("building_type IS NOT NULL").select("id", "lat", "lon", "building_type", "url")
     hits = nearest(detected.where("detected_type IS NOT NULL"), pts, 5, F.col("c_building_type") == F.col("detected_type"),
-                   lambda cls, lo, hi: (cls >= 0) & (cls == want), ["building_type"], _meters_box(500), idx)
+                   lambda cls, lo, hi: (cls >= 0) & (cls == want), ["building_type"], _meters_box(500), idx, round_box=True)
     hits = hits.where((F.col("distance_km") * 1000 <= F.col("radius_m")) & F.col("c_url").isNotNull()).drop("rank")
     return top_rows(hits, ["subject_id"], [F.asc("distance_km"), F.asc("c_id")], n).select(
         "subject_id", "rank", F.col("c_id").alias("id"), F.col("c_url").alias("url"), F.floor(F.col("distance_km") * 1000).alias("distance_m"))
@@ -250,7 +254,7 @@ def impute_building_info(subjects: DataFrame, listings: DataFrame, rings: tuple[
     """
     pts = listings.where("total_floors IS NOT NULL OR house_year IS NOT NULL").select("id", "lat", "lon", "total_floors", "house_year", "building_type")
     # piles keep n rows each: which of them come first is settled by id alone
-    near = nearest(subjects, pts, n, F.lit(True), lambda cls, lo, hi: F.lit(True), [], _meters_box(rings[-1]))
+    near = nearest(subjects, pts, n, F.lit(True), lambda cls, lo, hi: F.lit(True), [], _meters_box(rings[-1]), round_box=True)
     d = F.col("distance_km") * 1000
     ring = F.when(d <= rings[0], rings[0])
     for x in rings[1:]:
@@ -302,7 +306,7 @@ def nearby_deals(subjects: DataFrame, deals: DataFrame, as_of: str, radius_m: fl
     cut = ts(as_of) - F.expr(f"INTERVAL {max_age_days} DAYS")
     pts = deals.where((F.col("deal_price") > 0) & (F.col("area") > 0) & (F.col("deal_date") >= cut)).select(
         "id", "lat", "lon", "area", "year_build", "deal_price", "deal_date")
-    near = nearest(subjects, pts, 3 * limit, F.lit(True), lambda cls, lo, hi: F.lit(True), [], _meters_box(radius_m))
+    near = nearest(subjects, pts, 3 * limit, F.lit(True), lambda cls, lo, hi: F.lit(True), [], _meters_box(radius_m), round_box=True)
     near = near.where(F.col("distance_km") * 1000 <= radius_m)
     ty, cy, a = F.col("building_year"), F.col("c_year_build"), F.col("area_total")
     era_bad = F.coalesce((ty != 0) & (cy != 0) & F.when(ty >= 2000, cy < 1990).when(ty < 1990, cy >= 2000).otherwise(F.lit(False)), F.lit(False))

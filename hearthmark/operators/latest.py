@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from hearthmark.operators.skew import asof_last, latest_by, top_rows
 
 
-def latest_prices(prices: DataFrame, since: Column | None = None, unique: bool = True) -> DataFrame:
+def latest_prices(prices: DataFrame, since: Column | None = None, unique: bool = False) -> DataFrame:
     """Newest price per id.
 
-    (id, seen_at) is the key of the price facts, so plain ``max_by`` is deterministic and runs as a
-    hash aggregate; pass ``unique=False`` for facts with repeated instants (the higher price wins,
-    at the cost of a sort aggregate).
+    Of prices at one instant the higher wins. Pass ``unique=True`` where (id, seen_at) is a key of the facts:
+    then plain ``max_by`` is deterministic and runs as a hash aggregate.
     """
     p = prices if since is None else prices.where(F.col("seen_at") >= since)
     if unique:

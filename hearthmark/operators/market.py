@@ -249,7 +249,7 @@ def scrape_health(sources: DataFrame, runs: DataFrame, as_of: str, days: int = 7
     """Runs, items and mean success rate per source and day; a run that asked for nothing counts as 0 %."""
     recent = runs.where(F.col("started_at") >= ts(as_of) - F.expr(f"INTERVAL {days} DAYS"))
     rate = F.when(F.col("requested") > 0, F.col("collected") * 100.0 / F.col("requested")).otherwise(0.0)
-    return (recent.join(F.broadcast(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))), "source_id")
+    return (recent.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("source")), "source_id")
             .groupBy("source", F.to_date("started_at").alias("run_date"))
             .agg(F.count(F.lit(1)).alias("runs_count"), F.sum("collected").alias("total_collected"),
                  F.sum("failed").alias("total_failed"), F.avg(rate).alias("avg_success_rate"),

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from hearthmark.operators.latest import latest_prices
 from hearthmark.operators.market import ts
@@ -21,16 +22,30 @@ LOT_KEEP = ("address", "address_normalized", "lat", "lon", "area_total", "rooms"
 LOT_OVERWRITE = ("source_url", "lot_number", "title", "description", "current_price", "auction_date", "status", "photos", "raw_data")
 
 
+def last_rows(batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """One row per key, the last along ``order``; equal ones, and batches without order, by the row's own values.
+
+    Keys of the join that follows are the keys here, so this adds no shuffle to it.
+    """
+    rest = [c for c in batch.columns if c not in keys]
+    if not rest:
+        return batch.distinct()
+    plain = [f.name for f in batch.schema if f.name in rest and f.name not in order and isinstance(f.dataType, AtomicType)]
+    last = F.max_by(F.struct(*rest), F.struct(*order, *plain)) if order or plain else F.any_value(F.struct(*rest))
+    return batch.groupBy(*keys).agg(last.alias("_last")).select(*[F.col(c) if c in keys else F.col(f"_last.{c}").alias(c) for c in batch.columns])
+
+
 def merge(current: DataFrame, batch: DataFrame, keys: Sequence[str], overwrite: Sequence[str] = (),
           keep: Sequence[str] = (), set_on_touch: Mapping[str, Column] | None = None,
-          set_on_insert: Mapping[str, Column] | None = None) -> DataFrame:
+          set_on_insert: Mapping[str, Column] | None = None, order: Sequence[str] = ()) -> DataFrame:
     """New snapshot of ``current`` after ``batch``: one full outer join, one policy per column.
 
     overwrite: the batch value wins, NULL included; keep: the batch value wins unless NULL;
     set_on_touch: for rows in the batch; set_on_insert: only for keys new to the table.
     Columns under no policy keep the current value (the batch value on insert).
-    ``batch`` must hold one row per key.
+    A key that ``batch`` repeats counts once, with its last row along ``order``.
     """
+    batch = last_rows(batch, keys, order)
     touch, insert = dict(set_on_touch or {}), dict(set_on_insert or {})
     c = current.select(*keys, F.struct(*[x for x in current.columns if x not in keys]).alias("_c"), F.lit(True).alias("_old"))
     b = batch.select(*keys, F.struct(*[x for x in batch.columns if x not in keys]).alias("_b"), F.lit(True).alias("_new"))
@@ -66,16 +81,18 @@ def merge_listings(current: DataFrame, batch: DataFrame, as_of: str) -> DataFram
                  set_on_touch={"last_seen": now, "is_active": F.lit(True)}, set_on_insert={"first_seen": now})
 
 
-def patch_details(current: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
-    """Fill columns from ``patch`` where it has a value; unknown ids in ``patch`` are ignored."""
+def patch_details(current: DataFrame, patch: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
+    """Fill columns from ``patch`` where it has a value; unknown ids are ignored, of repeated ids the last row counts."""
+    patch = last_rows(patch, [key], order)
     cols = [c for c in patch.columns if c != key]
     p = patch.select(key, F.struct(*cols).alias("_p"))
     j = current.join(p, key, "left")
     return j.select(*[F.coalesce(F.col("_p")[c], F.col(c)).alias(c) if c in cols else F.col(c) for c in current.columns])
 
 
-def overwrite_columns(current: DataFrame, patch: DataFrame, key: str = "id") -> DataFrame:
-    """Replace columns from ``patch`` for its ids, NULL included."""
+def overwrite_columns(current: DataFrame, patch: DataFrame, key: str = "id", order: Sequence[str] = ()) -> DataFrame:
+    """Replace columns from ``patch`` for its ids, NULL included; of repeated ids the last row counts."""
+    patch = last_rows(patch, [key], order)
     cols = [c for c in patch.columns if c != key]
     p = patch.select(key, F.struct(*cols).alias("_p"), F.lit(True).alias("_hit"))
     j = current.join(p, key, "left")
@@ -159,7 +176,7 @@ def price_change_rollup(prices: DataFrame, grain: str = "month") -> DataFrame:
 def merge_lots(current: DataFrame, batch: DataFrame, platforms: DataFrame, as_of: str) -> DataFrame:
     """Auction lots after a batch; a lot without platform gets the first one of its source type."""
     default = platforms.groupBy("source_type").agg(F.min("id").alias("_default"))
-    b = (batch.join(F.broadcast(default), "source_type", "left")
+    b = (batch.join(default, "source_type", "left")
          .withColumn("platform_id", F.coalesce("platform_id", "_default")).drop("_default"))
     return merge(current, b, ["platform_id", "external_id"], overwrite=LOT_OVERWRITE, keep=LOT_KEEP,
                  set_on_touch={"last_seen_at": ts(as_of)}, set_on_insert={"first_seen_at": ts(as_of)})
@@ -175,10 +192,10 @@ def derive_lot_columns(lots: DataFrame, as_of: str) -> DataFrame:
 def versioned_history(events: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: str,
                       grain: str = "month") -> DataFrame:
     """Type-2 history: one row per run of equal tracked values, [valid_from, valid_to)."""
-    fp = F.xxhash64(*tracked)
-    rows = events.select(*keys, at, *tracked).withColumn("_fp", fp)
+    # values are compared as they are, NULL like any other
+    rows = events.select(*keys, at, *tracked).withColumn("_fp", F.struct(*tracked))
     first = lagged(rows, keys, at, ["_fp"], ["_fp"], grain)
-    starts = first.where(F.col("prev__fp").isNull() | (F.col("prev__fp") != F.col("_fp"))).drop("prev__fp")
+    starts = first.where(F.col("prev__fp").isNull() | ~F.col("prev__fp").eqNullSafe(F.col("_fp"))).drop("prev__fp")
     nxt = _lead(starts, keys, at, grain)
     return nxt.select(*keys, *tracked, F.col(at).alias("valid_from"), F.col("_next").alias("valid_to"),
                       F.col("_next").isNull().alias("is_current"))

@@ -30,7 +30,7 @@ SEARCH_LEVELS = (0, 2, 4, 6, 8)
 # Width over height of a cell in km.  Inside these bounds a 3 x 3 block of search cells reaches
 # every point that can beat the ones counted two levels down; outside, the whole box is searched.
 SHAPE_BOUNDS = (0.6, 1.7)
-# Close to the date line neighbours may lie across it: search the whole box there, too.
+# Close to the date line neighbours may lie across it: search the whole box there, on both sides.
 DATE_LINE = 175.0
 # For nearest points at any distance: the whole globe as the box, and cells of at most about two
 # degrees, where distances are still as good as flat.
@@ -74,9 +74,12 @@ def _block_histograms(points: DataFrame, box: Box, cls: Column, levels: Sequence
 
 def nearest(subjects: DataFrame, points: DataFrame, n: int, eligible: Column,
             sure: Callable[[Column, Column, Column], Column], attrs: Sequence[str], box: Box = Box(),
-            cls: Column | None = None, levels: Sequence[int] = SEARCH_LEVELS) -> DataFrame:
+            cls: Column | None = None, levels: Sequence[int] = SEARCH_LEVELS, round_box: bool = False) -> DataFrame:
     """The ``n`` nearest eligible points per subject inside the box, by (distance, id).
 
+    With ``round_box`` the box must hold a circle of radius ``box.lat`` degrees: its width follows the latitude of the
+    subject, up to the whole parallel. Longitudes are compared the short way round, so boxes reach over the date line.
+
     subjects: subject_id, lat, lon, ...; points: id, lat, lon, [area_total], ....
     ``cls``: small integer class of a point (0..10), e.g. its room count.
     ``eligible``: condition over subject columns and point columns prefixed ``c_``; besides
@@ -88,6 +91,12 @@ def nearest(subjects: DataFrame, points: DataFrame, n: int, eligible: Column,
     need = n + 1  # one spare: the subject itself may be excluded
     pts = collapse_piles(points, attrs, need)
     s = subjects.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    if round_box:
+        near_pole = F.abs("lat") + box.lat >= 89.0
+        width = F.when(near_pole, 180.0).otherwise(F.lit(box.lat) / F.cos(F.radians(F.abs("lat") + box.lat)))
+        s = s.withColumn("_reach", F.greatest(width, F.lit(box.lon)))
+    else:
+        s = s.withColumn("_reach", F.lit(box.lon))
 
     hist = _block_histograms(pts, box, F.lit(-1) if cls is None else cls, levels).withColumnRenamed("level", "_lv")
     shape = F.cos(F.radians("lat")) * (box.lon / box.lat)
@@ -99,16 +108,26 @@ def nearest(subjects: DataFrame, points: DataFrame, n: int, eligible: Column,
                        F.lit(0).cast("long"), lambda acc, e: acc + e["_n"])
     best = (look.where(fits >= need).groupBy("subject_id").agg((F.max("_lv") - 2).alias("_level")))
     placed = s.join(best, "subject_id", "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
-    asked = (placed.select("*", *_cells(box, F.col("_level"), "lat", "lon"))
-             .withColumn("_c", F.explode(block(F.col("cy"), F.col("cx"))))
-             .withColumns({"cy": F.col("_c.cy"), "cx": F.col("_c.cx")}).drop("_c"))
+    # a box over the date line is asked for on both sides; only searches of the whole box are that close to it
+    if box.lon < 180.0:
+        over = F.abs("lon") + F.col("_reach") > 180.0
+        placed = placed.withColumn("_at", F.explode(F.when(over, F.array(F.col("lon"), F.col("lon") - F.signum("lon") * 360.0)).otherwise(F.array("lon"))))
+    else:
+        placed = placed.withColumn("_at", F.col("lon"))
+    # at level 0 a round box may be several cells wide
+    step = F.when(F.col("_level") == 0, F.greatest(F.ceil(F.col("_reach") / _size(box.lon, 0)), F.lit(1))).otherwise(F.lit(1)).cast("long")
+    asked = (placed.select("*", *_cells(box, F.col("_level"), "lat", "_at"))
+             .withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
+             .withColumn("cx", F.explode(F.sequence(F.col("cx") - step, F.col("cx") + step))))
 
     c = pts.select(*[F.col(x).alias(f"c_{x}") for x in pts.columns])
     c = c.withColumn("_level", F.explode(F.array(*[F.lit(j) for j in levels])))
     c = c.select("*", *_cells(box, F.col("_level"), "c_lat", "c_lon"))
     pairs = asked.join(c, ["_level", "cy", "cx"]).where(
+        (F.abs(F.col("c_lat") - F.col("lat")) <= box.lat) & (F.abs(F.col("c_lon") - F.col("_at")) <= F.col("_reach"))
+        & (F.col("c_lon") - F.col("_at") > -180.0) & eligible if box.lon < 180.0 else
         (F.abs(F.col("c_lat") - F.col("lat")) <= box.lat) & (F.abs(F.col("c_lon") - F.col("lon")) <= box.lon) & eligible)
-    pairs = pairs.drop("_level", "cy", "cx").withColumn(
+    pairs = pairs.drop("_level", "cy", "cx", "_at", "_reach").withColumn(
         "distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")))
     w = Window.partitionBy("subject_id").orderBy("distance_km", "c_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

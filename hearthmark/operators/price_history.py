@@ -35,7 +35,7 @@ def daily_drops(products: DataFrame, sources: DataFrame, offers: DataFrame, as_o
     src = sources.select(F.col("id").alias("source_id"), F.col("name").alias("source"))
     return (price_timeline(offers)
             .where((F.col("price_change_percent") <= -threshold_pct) & (F.col("collected_at") >= F.to_date(ts(as_of))))
-            .join(names, "product_id").join(F.broadcast(src), "source_id"))
+            .join(names, "product_id").join(src, "source_id"))
 
 
 def dedupe_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

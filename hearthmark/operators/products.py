@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthmark.operators.market import ts
-from hearthmark.operators.merge import merge
+from hearthmark.operators.merge import last_rows, merge
 from hearthmark.operators.skew import latest_by
 
 
@@ -47,11 +49,12 @@ def next_batch(tasks: DataFrame, n: int) -> DataFrame:
             .orderBy(F.desc("priority"), F.asc("created_at"), "source", "external_id").limit(n))
 
 
-def transition(tasks: DataFrame, outcomes: DataFrame, as_of: str) -> DataFrame:
+def transition(tasks: DataFrame, outcomes: DataFrame, as_of: str, order: Sequence[str] = ()) -> DataFrame:
     """Apply one outcome per task: ok completes; a failure retries while allowed, else fails.
 
-    ``outcomes``: source, external_id, ok, retry, error.
+    ``outcomes``: source, external_id, ok, retry, error; of several for one task the last along ``order`` counts.
     """
+    outcomes = last_rows(outcomes, ["source", "external_id"], order)
     o = outcomes.select("source", "external_id", F.struct("ok", "retry", "error").alias("_o"))
     j = tasks.join(o, ["source", "external_id"], "left")
     hit, ok = F.col("_o").isNotNull(), F.col("_o.ok")

@@ -97,9 +97,11 @@ QUANTILE_STEPS = 4096
 
 
 def _value_bucket(v: Column) -> Column:
-    """Order-preserving bucket of a double: sign, then logarithmic steps of the magnitude."""
+    """Order-preserving bucket of a double: sign, then logarithmic steps of the magnitude; NaN is above all."""
+    top = 4096 * QUANTILE_STEPS
     mag = F.floor(F.log2(F.abs(v)) * QUANTILE_STEPS) + F.lit(1100 * QUANTILE_STEPS)
-    return F.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
+    endless = F.when(F.isnan(v), F.lit(2 * top)).when(v == float("inf"), F.lit(top)).when(v == float("-inf"), F.lit(-top))
+    return endless.when(v > 0, mag).when(v < 0, -mag).otherwise(F.lit(0)).cast("long")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],

@@ -90,10 +90,10 @@ def _(t):
 
 
 @query("key_rate_as_of", """
-    SELECT l.id, arg_max(p.price, p.seen_at) AS key_rate FROM auction_lots l LEFT JOIN (SELECT seen_at, max(price) AS price FROM listing_prices WHERE id % 1000 = 1 GROUP BY seen_at) p
+    SELECT l.id, arg_max(p.price, p.seen_at) AS key_rate FROM auction_lots l LEFT JOIN (SELECT seen_at, max(price) AS price FROM listing_prices GROUP BY seen_at) p
       ON p.seen_at <= l.auction_date GROUP BY l.id""")
 def _(t):
-    rates = t.listing_prices.where("id % 1000 = 1").groupBy(F.col("seen_at").alias("valid_from")).agg(F.max("price").alias("key_rate"))
+    rates = t.listing_prices.groupBy(F.col("seen_at").alias("valid_from")).agg(F.max("price").alias("key_rate"))
     return inv.with_key_rate(t.auction_lots.select("id", F.col("auction_date").alias("at")), rates).select("id", "key_rate")
 
 

@@ -138,16 +138,16 @@ def _(t):
 
 
 def platforms(t):
-    """Ten auction platforms over the four source types, from the first ten suppliers."""
+    """Auction platforms over the four source types, from the suppliers."""
     kinds = F.array(*[F.lit(x) for x in ("fssp", "bankrupt", "bank_pledge", "dgi_moscow")])
-    return t.supplier.where("s_suppkey < 10").select(
+    return t.supplier.select(
         F.col("s_suppkey").cast("int").alias("id"), F.element_at(kinds, (F.col("s_suppkey") % 4 + 1).cast("int")).alias("source_type"),
         F.concat(F.lit("Platform "), F.col("s_suppkey").cast("string")).alias("name"))
 
 
 snippet("auction_platforms", """
     SELECT CAST(s_suppkey AS INT) AS id, ['fssp', 'bankrupt', 'bank_pledge', 'dgi_moscow'][s_suppkey % 4 + 1] AS source_type,
-           concat('Platform ', CAST(s_suppkey AS VARCHAR)) AS name FROM supplier WHERE s_suppkey < 10""")
+           concat('Platform ', CAST(s_suppkey AS VARCHAR)) AS name FROM supplier""")
 
 
 @query("derived_lot_columns", f"""
@@ -257,3 +257,39 @@ def _(t):
 def _(t):
     l = t.listings.withColumn("original_listing_id", F.when(F.col("id") % 6 == 5, F.col("id") - 5))
     return r(price_history.exposure_stats(l, merge.price_change_rollup(t.listing_prices), AS_OF), 6, "price_change_pct")
+
+
+# --- batches that repeat ids, and versions of nullable columns --------------------------
+snippet("repeated_batch", """
+    SELECT b.* REPLACE (b.rooms + k AS rooms), k AS page FROM batch_listings b, range(0, 3) x(k) WHERE k = 0 OR id % 3 = 0""")
+
+
+def repeated_batch(t):
+    """The batch as read from result pages: every third listing stands on three pages, the last page counts."""
+    pages = F.when(F.col("id") % 3 == 0, F.array(*[F.lit(k).cast("long") for k in range(3)])).otherwise(F.array(F.lit(0).cast("long")))
+    return batch_listings(t).withColumn("page", F.explode(pages)).withColumn("rooms", (F.col("rooms") + F.col("page")).cast("int"))
+
+
+@query("merge_repeated_ids", """
+    SELECT coalesce(c.id, b.id) AS id, CASE WHEN b.id IS NULL THEN c.url ELSE b.url END AS url,
+           CAST(CASE WHEN b.id IS NULL THEN c.rooms ELSE b.rooms END AS INT) AS rooms
+    FROM cur_listings c FULL JOIN (SELECT * FROM repeated_batch QUALIFY row_number() OVER (PARTITION BY id ORDER BY page DESC) = 1) b ON b.id = c.id""")
+def _(t):
+    return merge.merge(cur_listings(t).select("id", "url", "rooms"), repeated_batch(t).select("id", "url", "rooms", "page"), ["id"], overwrite=["url", "rooms"], order=["page"])
+
+
+@query("patch_repeated_ids", """
+    SELECT c.id, CAST(coalesce(b.rooms, c.rooms) AS INT) AS rooms FROM cur_listings c
+    LEFT JOIN (SELECT * FROM repeated_batch QUALIFY row_number() OVER (PARTITION BY id ORDER BY page DESC) = 1) b ON b.id = c.id""")
+def _(t):
+    return merge.patch_details(cur_listings(t).select("id", "rooms"), repeated_batch(t).select("id", "rooms", "page"), order=["page"])
+
+
+@query("versioned_history_nulls", """
+    SELECT id, a, b, valid_from, lead(valid_from) OVER w AS valid_to, lead(valid_from) OVER w IS NULL AS is_current FROM (
+        SELECT *, lag(valid_from) OVER v IS NULL OR lag(a) OVER v IS DISTINCT FROM a OR lag(b) OVER v IS DISTINCT FROM b AS fresh FROM (
+            SELECT product_id AS id, collected_at AS valid_from, CASE WHEN in_stock THEN 'x' END AS a, CASE WHEN price_minor % 2 = 0 THEN 'x' END AS b FROM product_offers)
+        WINDOW v AS (PARTITION BY id ORDER BY valid_from)) WHERE fresh WINDOW w AS (PARTITION BY id ORDER BY valid_from)""")
+def _(t):
+    ev = t.product_offers.select(F.col("product_id").alias("id"), "collected_at", F.when(F.col("in_stock"), "x").alias("a"), F.when(F.col("price_minor") % 2 == 0, "x").alias("b"))
+    return merge.versioned_history(ev, ["id"], ["a", "b"], "collected_at")

@@ -48,9 +48,9 @@ def _(t):
 
 @query("district_by_polygon", """
     SELECT l.id, arg_max(z.district_id, (z.level, -z.district_id)) AS district_id, max(z.level) AS level FROM listings l
-    JOIN zones z ON l.lat >= z.s AND l.lat < z.n AND l.lon >= z.w AND l.lon < z.e WHERE z.district_id <> 7 GROUP BY l.id""")
+    JOIN zones z ON l.lat >= z.s AND l.lat < z.n AND l.lon >= z.w AND l.lon < z.e GROUP BY l.id""")
 def _(t):
-    return geo.assign_by_polygon(t.listings, zones(t).where("district_id <> 7"))
+    return geo.assign_by_polygon(t.listings, zones(t))
 
 
 snippet("zone_centres", "SELECT *, (3 * s + 2 * n) / 5 AS lat, (3 * w + 2 * e) / 5 AS lon FROM zones")
@@ -65,21 +65,21 @@ def _(t):
 
 @query("district_by_nearest_any", f"""
     SELECT id, arg_min(district_id, (d, -level, district_id)) AS district_id FROM (
-        SELECT l.id, z.district_id, z.level, {hav('l', 'z')} AS d FROM listings l CROSS JOIN zone_centres z WHERE z.district_id % 10 = 3) GROUP BY id""")
+        SELECT l.id, z.district_id, z.level, {hav('l', 'z')} AS d FROM listings l CROSS JOIN zone_centres z) GROUP BY id""")
 def _(t):
-    return geo.assign_by_nearest(t.listings, zones(t).where("district_id % 10 = 3")).select("id", "district_id")
+    return geo.assign_by_nearest(t.listings, zones(t)).select("id", "district_id")
 
 
 # Addresses that name the zone (or none), some listings without coordinates.
 snippet("addressed", f"""
-    SELECT id, CASE WHEN id % 7 <> 0 THEN lat END AS lat, CASE WHEN id % 7 <> 0 THEN lon END AS lon,
+    SELECT id, CASE WHEN id % 7 <> 0 THEN lat + CASE WHEN id % 11 = 5 THEN 3 ELSE 0 END END AS lat, CASE WHEN id % 7 <> 0 THEN lon END AS lon,
            CASE WHEN id % 3 = 0 THEN NULL ELSE concat('Зона', translate(CAST(id % 25 AS VARCHAR), '0123456789', '{LETTERS}')) END AS zone_name FROM listings""")
 
 
 def addressed(t):
     i = F.col("id")
     zone = F.concat(F.lit("Москва, р-н Зона"), F.translate((i % 25).cast("string"), "0123456789", LETTERS), F.lit(", улица Первая, 5"))
-    return t.listings.select("id", F.when(i % 7 != 0, F.col("lat")).alias("lat"), F.when(i % 7 != 0, F.col("lon")).alias("lon"),
+    return t.listings.select("id", F.when(i % 7 != 0, F.col("lat") + F.when(i % 11 == 5, 3).otherwise(0)).alias("lat"), F.when(i % 7 != 0, F.col("lon")).alias("lon"),
                              F.when(i % 3 != 0, zone).otherwise("Москва, Town Road, 5").alias("address"))
 
 
@@ -91,13 +91,13 @@ def _(t):
 @query("district_cascade", f"""
     SELECT a.id, coalesce(p.district_id, x.district_id, n.district_id) AS district_id,
            CASE WHEN p.district_id IS NOT NULL THEN 'polygon' WHEN x.district_id IS NOT NULL THEN 'text' WHEN n.district_id IS NOT NULL THEN 'nearest' END AS method
-    FROM addressed a LEFT JOIN (SELECT a.id, any_value(z.district_id) AS district_id FROM addressed a JOIN zones z ON z.level = 2 AND z.district_id < 15
+    FROM addressed a LEFT JOIN (SELECT a.id, any_value(z.district_id) AS district_id FROM addressed a JOIN zones z ON z.level = 2
             AND a.lat >= z.s AND a.lat < z.n AND a.lon >= z.w AND a.lon < z.e GROUP BY a.id) p ON p.id = a.id
-    LEFT JOIN zones x ON x.name = a.zone_name AND x.district_id < 15
+    LEFT JOIN zones x ON x.name = a.zone_name AND x.level = 2
     LEFT JOIN (SELECT a.id, arg_min(z.district_id, ({hav('a', 'z')}, z.district_id)) AS district_id FROM addressed a CROSS JOIN zone_centres z
-            WHERE z.level = 2 AND z.district_id < 15 AND a.lat IS NOT NULL GROUP BY a.id) n ON n.id = a.id""")
+            WHERE z.level = 2 AND a.lat IS NOT NULL GROUP BY a.id) n ON n.id = a.id""")
 def _(t):
-    return geo.assign_districts(addressed(t), zones(t).where("level = 2 AND district_id < 15"))
+    return geo.assign_districts(addressed(t), zones(t).where("level = 2"))
 
 
 @query("zone_centroids", "SELECT district_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM zone_centres")
@@ -319,3 +319,38 @@ def _(t):
 def _(t):
     cls = F.col("quality") + F.col("toxic") + 1
     return t.labels.select("doc_id", cls.alias("cls"), loc.renovation_coef(cls).alias("coef"))
+
+
+# --- the same market at 69 degrees north, on both sides of the date line -----------------
+EAST = "CASE WHEN {0} + 142.3 >= 180 THEN {0} + 142.3 - 360 ELSE {0} + 142.3 END"
+snippet("moved", f"SELECT * REPLACE (lat + 13.5 AS lat, {EAST.format('lon')} AS lon) FROM listings")
+snippet("moved_centres", f"SELECT * REPLACE (lat + 13.5 AS lat, {EAST.format('lon')} AS lon) FROM zone_centres")
+
+
+def moved(df, lat="lat", lon="lon"):
+    return df.withColumns({lat: F.col(lat) + 13.5, lon: F.expr(EAST.format(lon))})
+
+
+@query("points_in_radius_moved", f"""
+    SELECT a.id AS subject_id, count(b.id) AS points, round(min({hav('a', 'b')}) * 1000, 3) AS nearest_m FROM moved a
+    JOIN moved b ON abs(a.lat - b.lat) < 0.02 AND {hav('a', 'b')} <= 1.5 GROUP BY a.id""")
+def _(t):
+    m = moved(t.listings)
+    return r(geo.within_radius(m.select(F.col("id").alias("subject_id"), "lat", "lon"), m.select("lat", "lon"), 1500).select("subject_id", "points", "nearest_m"), 3)
+
+
+@query("district_by_nearest_moved", f"""
+    SELECT id, arg_min(district_id, (d, -level, district_id)) AS district_id, round(min(d) * 1000, 3) AS distance_m
+    FROM (SELECT l.id, z.district_id, z.level, {hav('l', 'z')} AS d FROM moved l CROSS JOIN moved_centres z) GROUP BY id HAVING min(d) < 9""")
+def _(t):
+    out = geo.assign_by_nearest(moved(t.listings), moved(zones(t), "center_lat", "center_lon"), max_m=9000)
+    return r(out.select("id", "district_id", "distance_m"), 3)
+
+
+@query("nearest_sources_moved", f"""
+    SELECT a.id AS subject_id, least(count(*), 10) AS sources_count FROM moved a JOIN moved b ON abs(a.lat - b.lat) < 0.002 AND {hav('a', 'b')} * 1000 <= 150
+    JOIN (SELECT a.id, min(CASE WHEN {hav('a', 'b')} * 1000 <= 10 THEN 10 WHEN {hav('a', 'b')} * 1000 <= 50 THEN 50 ELSE 150 END) AS ring FROM moved a
+          JOIN moved b ON abs(a.lat - b.lat) < 0.002 AND {hav('a', 'b')} * 1000 <= 150 GROUP BY a.id) f ON f.id = a.id AND {hav('a', 'b')} * 1000 <= f.ring
+    GROUP BY a.id""")
+def _(t):
+    return geo.impute_building_info(moved(subjects(t)), moved(t.listings)).select("subject_id", "sources_count")

@@ -15,13 +15,33 @@ def offers(t):
                       (F.col("user_id") % 4).cast("int").alias("rooms"), "event_id")
 
 
-@query("stream_price_changes", """
+PRICE_CHANGES = """
     SELECT id, seen_at, price, old_price, CASE WHEN rn = 1 THEN 'NEW' ELSE 'PRICE_CHANGE' END AS change FROM (
         SELECT user_id AS id, ts AS seen_at, value AS price, lag(value) OVER w AS old_price, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value))
-    WHERE rn = 1 OR old_price <> price""")
+    WHERE rn = 1 OR old_price <> price"""
+
+
+def standing_changes(written):
+    """Events that hold after all batches."""
+    return stream.last_state(written, ["id", "seen_at", "price"]).where("change IS NOT NULL").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+
+
+@query("stream_price_changes", PRICE_CHANGES)
+def _(t):
+    return standing_changes(stream.run_available(stream.price_changes(offers(t).select("id", "seen_at", "price"))))
+
+
+@query("stream_price_changes_late", PRICE_CHANGES)
 def _(t):
-    out = stream.run_available(stream.price_changes(offers(t).select("id", "seen_at", "price")))
-    return out.drop("batch").withColumn("seen_at", F.col("seen_at").cast("timestamp_ntz"))
+    """The same events in several batches, every third one a batch late."""
+    folder = stream.work_folder(t.spark)
+    e = t.events.select(F.col("user_id").alias("id"), F.col("ts").alias("seen_at"), F.col("value").alias("price"))
+    late = F.pmod(F.xxhash64("id", "seen_at"), F.lit(3)) == 0
+    for k, part in enumerate((e.where(~late), e.where(late))):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in/part={k}")
+    raw = t.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{folder}/in")
+    # the delay covers the whole table: what comes a batch late is never too late
+    return standing_changes(stream.run_available(stream.price_changes(raw, "100000 days"), folder=folder))
 
 
 @query("stream_hourly_counters", "SELECT date_trunc('hour', ts) AS hour, count(*) AS arrivals FROM events GROUP BY 1")

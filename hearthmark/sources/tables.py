@@ -68,7 +68,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT p_partkey AS id, CAST(p_partkey % 10 AS INT) AS source_id, p_name AS name, p_brand AS brand,
                p_type AS category, p_partkey % 9 <> 0 AS is_active FROM part"""),
     "product_sources": (("supplier",), """
-        SELECT CAST(s_suppkey AS INT) AS id, s_name AS name FROM supplier WHERE s_suppkey < 10"""),
+        SELECT CAST(s_suppkey AS INT) AS id, s_name AS name FROM supplier"""),
     "deals": (("lineitem", "listings"), """
         SELECT l_partkey * 100000 + CAST(datediff(CAST(l_shipdate AS DATE), DATE '1995-01-01') AS BIGINT) AS id,
                l_shipdate AS deal_date, max(l_extendedprice) AS deal_price,

@@ -7,7 +7,6 @@ never doubles its output.
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,46 +16,62 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hearthmark.operators.monitor import good_deals
 from hearthmark.operators.skew import latest_by
-from hearthmark.session import CHECKPOINT_KEY
+from hearthmark.session import shared_folder
 
 CHANGE_SCHEMA = "id long, seen_at timestamp, price double, old_price double, change string"
-STATE_SCHEMA = "last_at timestamp, last_price double"
+STATE_SCHEMA = "last_at timestamp, last_price double, open_at array<timestamp>, open_price array<double>"
 
 
-def price_changes(offers: DataFrame, watermark: str = "1 day", ttl: str = "90 days") -> DataFrame:
-    """NEW / PRICE_CHANGE events of a stream of (id, seen_at, price).
+def _events(before: float | None, points: list[tuple]) -> dict[tuple, tuple]:
+    """(old price, NEW or PRICE_CHANGE) of the points that change something; ``points`` are in order."""
+    found = {}
+    for at, price in points:
+        if before is None or price != before:
+            found[at, price] = (before, "NEW" if before is None else "PRICE_CHANGE")
+        before = price
+    return found
 
-    Exact repeats are dropped first.  State per id is the newest instant and price; a point at or
-    before it changes nothing, and an id not seen for ``ttl`` is forgotten (and would be NEW again).
+
+def price_changes(offers: DataFrame, watermark: str = "1 day", ttl: str | None = None) -> DataFrame:
+    """NEW / PRICE_CHANGE events of a stream of (id, seen_at, price), keyed by those three.
+
+    A point may arrive late, as long as it is younger than the watermark: then the events that it alters are sent again,
+    and one that no longer holds is sent with a NULL change. So the last row per key (``last_state``) does not depend on
+    how the input was cut into batches. State per id: the newest point the watermark has passed, and the points after it.
+    Exact repeats are dropped first. With ``ttl`` an id not seen for so long is forgotten, and would be NEW again.
     """
-    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    ttl_ms = None if ttl is None else int(pd.Timedelta(ttl).total_seconds() * 1000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["seen_at", "price"])
-        known = state.exists
-        last_at, last_price = state.get if known else (None, None)
-        if known:
-            rows = rows[rows.seen_at > last_at]
-        if rows.empty:
-            return
-        before = rows.price.shift(1)
-        if known:
-            before.iloc[0] = last_price
-        first = pd.Series(False, index=rows.index)
-        first.iloc[0] = not known
-        change = first | (before != rows.price)
-        out = rows.assign(old_price=before, change=first.map({True: "NEW", False: "PRICE_CHANGE"}))[change]
-        newest = rows.iloc[-1]
-        state.update((newest.seen_at, float(newest.price)))
-        state.setTimeoutTimestamp(max(int(newest.seen_at.timestamp() * 1000), state.getCurrentWatermarkMs() + 1) + ttl_ms)
-        yield out[["id", "seen_at", "price", "old_price", "change"]]
+        last_at, last_price, open_at, open_price = state.get if state.exists else (None, None, [], [])
+        known = [(pd.Timestamp(t), p) for t, p in zip(open_at, open_price)]
+        told = _events(last_price, known)
+        points = set(known)
+        for rows in batches:
+            points.update(zip(rows.seen_at, rows.price))
+        points = sorted(points)
+        events = _events(last_price, points)
+        news = [(t, p, *events.get((t, p), (None, None))) for t, p in points if events.get((t, p)) != told.get((t, p))]
+        passed = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        settled = [x for x in points if x[0] <= passed]
+        if settled:
+            last_at, last_price = settled[-1]
+        rest = points[len(settled):]
+        state.update((last_at, last_price, [t.to_pydatetime() for t, _ in rest], [float(p) for _, p in rest]))
+        if ttl_ms is not None:
+            newest = int((points[-1][0] if points else pd.Timestamp(last_at)).timestamp() * 1000)
+            state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs() + 1) + ttl_ms)
+        if news:
+            out = pd.DataFrame(news, columns=["seen_at", "price", "old_price", "change"])
+            yield out.assign(id=key[0], old_price=out.old_price.astype(float))[["id", "seen_at", "price", "old_price", "change"]]
 
     clean = (offers.select("id", F.col("seen_at").cast("timestamp").alias("seen_at"), "price").withWatermark("seen_at", watermark)
              .dropDuplicatesWithinWatermark(["id", "seen_at", "price"]))
-    return clean.groupBy("id").applyInPandasWithState(step, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.EventTimeTimeout)
+    timeout = GroupStateTimeout.NoTimeout if ttl is None else GroupStateTimeout.EventTimeTimeout
+    return clean.groupBy("id").applyInPandasWithState(step, CHANGE_SCHEMA, STATE_SCHEMA, "append", timeout)
 
 
 def hourly_counters(offers: DataFrame, watermark: str = "2 hours") -> DataFrame:
@@ -72,11 +87,8 @@ def enrich(offers: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """New folder for one query: below the cluster's checkpoint folder if one is named."""
-    base = spark.conf.get(CHECKPOINT_KEY, None)
-    if base:
-        return f"{base.rstrip('/')}/stream-{os.urandom(6).hex()}"
-    return tempfile.mkdtemp(prefix="run-", dir=os.environ.get("TMPDIR", "/tmp"))
+    """New folder for one query, below the folder that all executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/stream-{os.urandom(6).hex()}"
 
 
 def run_available(df: DataFrame, mode: str = "append", folder: str | None = None) -> DataFrame:
