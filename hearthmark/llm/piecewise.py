@@ -6,11 +6,12 @@ depends on it). The ids of a text are the ids of its pieces in order, exactly th
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 700_000
 
 
 class PieceEncoder:
@@ -20,11 +21,12 @@ class PieceEncoder:
                  encode_whole: Callable[[list[str]], list[list[int]]] | None = None, limit: int = CACHE_PIECES):
         self.encode_new, self.cut, self.dtype, self.limit = encode_new, cut, np.dtype(dtype), limit
         self.encode_whole = encode_whole or encode_new
+        self.code = self.dtype.char   # the same letter in the array module; both are little-endian where Spark runs
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
         for piece, ids in zip(pieces, self.encode_new(pieces)):
-            self.known[piece] = np.array(ids, self.dtype).tobytes()
+            self.known[piece] = array(self.code, ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed integers of ``dtype``."""
@@ -35,7 +37,7 @@ class PieceEncoder:
         new = {p for pieces in cut if pieces is not None for p in pieces}
         new.difference_update(self.known)
         if new:
-            self._learn(sorted(new))
+            self._learn(list(new))
         of_whole = iter(self.encode_whole(whole) if whole else ())
         get = self.known.__getitem__
         return [np.array(next(of_whole), self.dtype).tobytes() if pieces is None else b"".join(map(get, pieces)) for pieces in cut]
