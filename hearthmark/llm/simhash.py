@@ -25,9 +25,12 @@ SHINGLE = 4
 BITS = 4          # most differing bits of a link
 VIEWS = 4
 SAMPLE = 16_384   # fingerprints on which the trees are fitted, at most
-SHARD = 8_192     # owners of a shard aimed at
-MAX_DEPTH = 12
-BLOCK = 1_024     # rows of a block
+SHARD = 262_144   # owners of a shard aimed at; the trees get deeper only as the input asks for it, as each level adds visits
+LEAST_SHARDS = 16
+MAX_DEPTH = 12    # of the trees that deal out shards
+BLOCK = 1 << 20   # rows of a block
+LEAF = 64         # owners of a leaf inside a shard
+TILE = 1_024      # rows compared with as many at once
 SEED = 42
 
 
@@ -150,7 +153,7 @@ def links_within(fps: np.ndarray, own: np.ndarray, block: np.ndarray, pair: int,
     if not len(owners):
         return fps[:0], fps[:0]
     cut = cut_of(fps, view, views)
-    tree = VantageTree(cut[owners], 64)
+    tree = VantageTree(cut[owners], LEAF, 64)
     sits = np.empty(len(owners), np.int64)
     rows, leaf = tree.reach(cut[owners], 0)
     sits[rows] = leaf
@@ -159,13 +162,13 @@ def links_within(fps: np.ndarray, own: np.ndarray, block: np.ndarray, pair: int,
     bounds, held = np.searchsorted(leaf[by_leaf], np.arange(tree.leaves + 1)), np.searchsorted(sits[of_leaf], np.arange(tree.leaves + 1))
     for k in range(tree.leaves):
         members, guests = owners[of_leaf[held[k]:held[k + 1]]], rows[by_leaf[bounds[k]:bounds[k + 1]]]
-        for at in range(0, len(guests), 2_048):
-            some = guests[at:at + 2_048]
-            near = np.bitwise_count(fps[members][:, None] ^ fps[some][None, :]) <= bits
-            i, j = np.nonzero(near)
-            a, b = members[i], some[j]
-            new = (a != b) & ((low == high) | (block[a] != block[b]))
-            join(label, a[new], b[new])
+        for at in range(0, len(members), TILE):
+            for to in range(0, len(guests), TILE):
+                some, others = members[at:at + TILE], guests[to:to + TILE]
+                i, j = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[others][None, :]) <= bits)
+                a, b = some[i], others[j]
+                new = (a != b) & ((low == high) | (block[a] != block[b]))
+                join(label, a[new], b[new])
     settle(label)
     linked = label != np.arange(len(fps))
     return fps[linked], fps[label[linked]]
@@ -201,7 +204,7 @@ def near_links(distinct: DataFrame, bits: int = BITS, views: int = VIEWS) -> Dat
     # the only rows that reach the driver: a bounded sample, evenly by hash
     picked = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE)
     sample = np.array([r.fp for r in picked.collect()], np.int64).view(np.uint64)
-    shards = max(8, 1 << int(np.ceil(np.log2(max(1, total / SHARD)))))
+    shards = max(LEAST_SHARDS, 1 << int(np.ceil(np.log2(max(1, total / SHARD)))))
     trees = [VantageTree(cut_of(sample, v, views), max(1, len(sample) // shards)) for v in range(views)]
 
     def routed(blocks: dict[int, int]) -> DataFrame:
