@@ -167,13 +167,13 @@ def oracle_sql() -> str:
     WITH d AS (SELECT doc_id, {low} AS t FROM documents),
     w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
     names AS ({names}), sets AS ({sets}),
-    at AS (SELECT doc_id, label, unnest(list_filter(range(1, len(ws) - len(p) + 2), lambda i: ws[i:i + len(p) - 1] = p)) - 1 AS i FROM w, names),
-    base AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word FROM at GROUP BY doc_id),
+    hits AS (SELECT doc_id, label, unnest(list_filter(range(1, len(ws) - len(p) + 2), lambda i: ws[i:i + len(p) - 1] = p)) - 1 AS i FROM w, names),
+    base AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word FROM hits GROUP BY doc_id),
     lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS ls FROM w),
     met AS (SELECT doc_id, label, len(list_intersect(ls, ts)) / len(ts) AS share FROM lines, sets WHERE len(list_intersect(ls, ts)) >= ceil({THRESHOLD} * len(ts) - 1e-9)),
     best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id),
-    bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM at) GROUP BY doc_id),
-    al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM at UNION SELECT doc_id, label FROM met) GROUP BY doc_id)
+    bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM hits) GROUP BY doc_id),
+    al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM met) GROUP BY doc_id)
     SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, base.first_word, base.last_word,
            coalesce(bl.s, '') AS base_labels, coalesce(al.s, '') AS labels,
            CAST(greatest(CASE WHEN base.n > 0 THEN 1 ELSE 0 END, coalesce(best.share, 0)) AS DOUBLE) AS score

@@ -101,7 +101,11 @@ def passes(rules: tuple[Rule, ...]) -> Column:
 
 def judged(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:
     """``measured`` with base_failed and kept (false if a base rule failed, else whether all ``rules`` hold)."""
-    return measured(docs, text).withColumn("base_failed", ~passes(base)).withColumn("kept", ~F.col("base_failed") & passes(rules))
+    # The partition id makes no difference to the value, but keeps filters above the measures: pushed below them, a filter
+    # would repeat every measure in itself, level by level, and the plan would grow without end.
+    here = F.spark_partition_id() >= 0
+    failed = ~passes(base)
+    return measured(docs, text).select("*", (failed & here).alias("base_failed"), (~failed & passes(rules) & here).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, base: tuple[Rule, ...] = BASE_RULES, text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 """Registered queries on whole small tables, and every operator on awkward rows."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -16,7 +17,7 @@ import corpus_pipeline
 from hearthmark.llm import exact_dedup, html_text, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substring_dedup, token_files
 from hearthmark.llm.queries import BYTE_BPE, ORACLES, PIECE_MODEL, QUERIES
 
-SF = os_sf = __import__("os").environ.get("SF_DIR", "/root/testdata/sf0.001")
+SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 BLANK = "[\x20\x09-\x0d]+"
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
 PASSAGE = " ".join(f"p{k}" for k in range(60))
@@ -211,7 +212,7 @@ def test_sentencepiece(spark, docs, none):
 
 def plain_pipeline(spark):
     """The pipeline's rows by the operators' definitions, for the stages that filter; the mix by its query."""
-    kept = {r.doc_id for r in QUERIES["op5_quality_rules"](spark, SF).where("kept").collect()}
+    kept = {r.doc_id for r in QUERIES["op5_quality_rules"](spark, SF).collect() if r.kept}
     rows = [r for r in table(spark) if r["doc_id"] in kept]
     best = {}
     for r in rows:
