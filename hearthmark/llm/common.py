@@ -41,12 +41,12 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, slice_bytes: int | None = None) -> DataFrame:
     """Apply ``fn`` to every Arrow batch; a batch holds a bounded number of rows and is all that is in memory."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield from slices(batch, fn)
+                yield from slices(batch, fn, slice_bytes or SLICE_BYTES)
     return df.mapInArrow(run, schema)
 
 
@@ -54,8 +54,8 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
 SLICE_BYTES = int(os.environ.get("HEARTHMARK_SLICE_BYTES", 8 << 20))
 
 
-def slices(batch: pa.RecordBatch, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = max(1, min(batch.num_rows, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+def slices(batch: pa.RecordBatch, fn: Callable[[pa.RecordBatch], pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    rows = max(1, min(batch.num_rows, batch.num_rows * size // max(1, batch.nbytes)))
     for at in range(0, batch.num_rows, rows):
         yield fn(batch.slice(at, rows))
 

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from hearthmark.llm.common import cut_lineage, map_batches, text_or_empty
 
 WINDOW = 35
-SEED_WORDS = 18
+SEED_WORDS = 10
 MAX_PASSAGES = 512     # distinct passages of an anchor in one automaton; beyond, its windows are dealt out by hash
+SHARDS_PER_PARTITION = 8
+SLICE = 2 << 20        # bytes of text hashed at once in a worker
 NULL_ID = -(1 << 63)
 SPLITS = 4_096         # shards of such an anchor
 _BASE = 0xD6E8FEB86659FD93
@@ -36,19 +38,30 @@ _MIX = 0x9E3779B97F4A7C15
 
 # --- hashes of words and runs of words ---
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < 400_000:
-            self[word] = h
-        return h
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 
-_WORDS = _Words()
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts in order, and the number of words of each text; no step is per word.
 
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+    A hash is a polynomial of the bytes of a word (bytes count from 1, so that none is lost), stirred at the end.
+    """
+    raw = [(t or "").encode() for t in texts]
+    data = np.frombuffer(b"\n".join([*raw, b""]), np.uint8)
+    blank = _BLANK[data]
+    starts = np.flatnonzero(~blank & np.concatenate([[True], blank[:-1]]))
+    ends = np.cumsum([len(r) + 1 for r in raw])
+    sizes = np.diff(np.searchsorted(starts, ends), prepend=0)
+    if not len(starts):
+        return np.empty(0, np.uint64), sizes
+    spans = np.diff(starts, append=len(data))
+    local = np.arange(starts[0], len(data)) - np.repeat(starts, spans)
+    powers = np.cumprod(np.full(spans.max(), _BASE, np.uint64))
+    terms = (data[starts[0]:].astype(np.uint64) + np.uint64(1)) * powers[local]
+    terms[blank[starts[0]:]] = 0
+    x = np.add.reduceat(terms, starts - starts[0]) * np.uint64(_MIX)
+    return x ^ (x >> np.uint64(32)), sizes
 
 
 def run_hashes(a: np.ndarray, length: int) -> np.ndarray:
@@ -71,36 +84,39 @@ def run_hashes(a: np.ndarray, length: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_PLACE = (1 << 32) - 1   # bits of a value that give way to its place
+
+
 def last_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """Index of the smallest value in each run of ``width``, the last one of equals, by doubling."""
-    at = np.arange(len(values))
+    """Index of the smallest value in each run of ``width``, the last one of equals, by doubling.
+
+    Values are compared by their upper 32 bits; the choice depends on nothing but the run itself.
+    """
+    least = (values | np.uint64(_PLACE)) - np.arange(len(values), dtype=np.uint64)
     size = 1
     while size < width:
         step = min(size, width - size)
-        left, right = at[:len(at) - step], at[step:]
-        at = np.where(values[right] <= values[left], right, left)
+        least = np.minimum(least[:len(least) - step], least[step:])
         size += step
-    return at
+    return (np.uint64(_PLACE) - (least & np.uint64(_PLACE))).astype(np.int64)
 
 
 def gram_words(window: int) -> int:
     """Words of a token of the automata: windows are a few tokens long."""
-    return max(1, window - 7)
+    return max(1, window - 3)
 
 
 def passages(texts: list[str], window: int, with_tokens: bool):
     """Passages of all texts: row of the text, anchor hash, first window, number of windows, and the tokens they span."""
-    words = [(t or "").encode().split() for t in texts]
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    flat = word_hashes([w for ws in words for w in ws])
+    flat, sizes = word_hashes(texts)
     starts = np.cumsum(sizes) - sizes
     seed = min(SEED_WORDS, window)
     if len(flat) < window:
         none = np.empty(0, np.int64)
-        return words, none, np.empty(0, np.uint64), none, none, []
+        return none, np.empty(0, np.uint64), none, none, (np.empty(0, np.uint64), none, 0)
     seeds = run_hashes(flat, seed)
     owner = last_minimum(seeds, window - seed + 1)
-    row = np.repeat(np.arange(len(words)), np.maximum(0, sizes - window + 1))
+    row = np.repeat(np.arange(len(sizes)), np.maximum(0, sizes - window + 1))
     per = np.maximum(0, sizes - window + 1)
     first = np.repeat(np.cumsum(per) - per, per)
     local = np.arange(len(row)) - first
@@ -110,13 +126,13 @@ def passages(texts: list[str], window: int, with_tokens: bool):
     new[1:] = (mine[1:] != mine[:-1]) | (row[1:] != row[:-1])
     heads = np.flatnonzero(new)
     counts = np.diff(np.append(heads, len(row)))
-    spans = []
+    spans = ()
     if with_tokens:
         gram = gram_words(window)
         grams = run_hashes(flat, gram)
         extra = window - gram
         spans = (grams, at[heads], extra)
-    return words, row[heads], seeds[mine[heads]], local[heads], counts, spans
+    return row[heads], seeds[mine[heads]], local[heads], counts, spans
 
 
 # --- suffix automaton ---
@@ -208,16 +224,16 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, row, anchor, *_ = passages(batch.column(2).to_pylist(), window, False)
+        row, anchor, *_ = passages(batch.column(2).to_pylist(), window, False)
         pick = pa.array(row)
         return pa.RecordBatch.from_arrays([batch.column(0).take(pick), batch.column(1).take(pick), _signed(anchor)], [*KEYS, "anchor"])
-    return map_batches(docs.select(*KEYS, "text"), run, "doc_id long, text_hash long, anchor long")
+    return map_batches(docs.select(*KEYS, "text"), run, "doc_id long, text_hash long, anchor long", SLICE)
 
 
 def _passages(chosen: DataFrame, window: int) -> DataFrame:
     """Passages of ``chosen`` (keys, text, anchors) that have one of the document's ``anchors``."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, row, anchor, lo, n, (grams, at, extra) = passages(batch.column(2).to_pylist(), window, True)
+        row, anchor, lo, n, (grams, at, extra) = passages(batch.column(2).to_pylist(), window, True)
         lists = batch.column(3)
         owners = np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets)))
         wanted = np.asarray(lists.values)[lists.offsets[0].as_py():lists.offsets[-1].as_py()]
@@ -227,15 +243,15 @@ def _passages(chosen: DataFrame, window: int) -> DataFrame:
         pick = pa.array(row[keep])
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pick), batch.column(1).take(pick), _signed(anchor[keep]), pa.array(lo[keep].astype(np.int32)),
-             pa.array(data, pa.binary()), pa.array([hashlib.md5(d).digest() for d in data], pa.binary())],
-            [*KEYS, "anchor", "lo", "tokens", "passage"])
-    return map_batches(chosen.select(*KEYS, "text", "anchors"), run, "doc_id long, text_hash long, anchor long, lo int, tokens binary, passage binary")
+             pa.array(data, pa.binary())],
+            [*KEYS, "anchor", "lo", "tokens"])
+    return map_batches(chosen.select(*KEYS, "text", "anchors"), run, "doc_id long, text_hash long, anchor long, lo int, tokens binary", SLICE)
 
 
 def _shards(distinct: DataFrame, length: int, most: int) -> DataFrame:
     """Rows (anchor, split, passage, first window, tokens, copies): whole passages, or single windows of crowded anchors."""
     # the sum keeps the columns of both uses of ``distinct`` alike, so that it is shuffled once
-    sizes = distinct.groupBy("anchor").agg(F.count("passage").alias("n"), F.sum("copies").alias("copies"))
+    sizes = distinct.groupBy("anchor").agg(F.count("tokens").alias("n"), F.sum("copies").alias("copies"))
     crowded = sizes.where((F.col("n") > most) & (F.col("copies") > most)).select(F.col("anchor").alias("crowded"))
     d = distinct.join(crowded, F.col("anchor") == F.col("crowded"), "left")
 
@@ -254,24 +270,32 @@ def _shards(distinct: DataFrame, length: int, most: int) -> DataFrame:
     return map_batches(d, run, "anchor long, split int, passage binary, first int, tokens binary, copies long")
 
 
-def _answers(shards: DataFrame, length: int) -> DataFrame:
-    """Rows (passage, first window, one byte a window: 1 if repeated) with a repeat."""
+def _answers(rows: DataFrame, length: int) -> DataFrame:
+    """Rows (passage, first window, one byte a window: 1 if repeated) with a repeat; a shard holds many anchors, one after the other."""
     def run(t: pa.Table) -> pa.Table:
-        sequences = [np.frombuffer(x, np.uint64).tolist() for x in t["tokens"].to_pylist()]
-        flags = [bytes(f) for f in repeats(sequences, t["copies"].to_pylist(), length)]
-        keep = pa.array([b"\1" in f for f in flags])
+        t = t.sort_by([("anchor", "ascending"), ("split", "ascending")])
+        keys = np.rec.fromarrays([t["anchor"].to_numpy(), t["split"].to_numpy()])
+        bounds = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), t.num_rows] if t.num_rows else [0]
+        tokens, copies = t["tokens"].to_pylist(), t["copies"].to_pylist()
+        flags = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            sequences = [np.frombuffer(x, np.uint64).tolist() for x in tokens[a:b]]
+            flags += map(bytes, repeats(sequences, copies[a:b], length))
+        keep = pa.array([b"\1" in f for f in flags], pa.bool_())
         return pa.table({"passage": t["passage"], "first": t["first"], "flags": pa.array(flags, pa.binary())}).filter(keep)
-    return shards.groupBy("anchor", "split").applyInArrow(run, "passage binary, first int, flags binary")
+    shards = SHARDS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.pmod(F.xxhash64("anchor", "split"), F.lit(shards)).cast("int")
+    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "passage binary, first int, flags binary")
 
 
 def covered(n_words: int, ranges: list[tuple[int, bytes]], window: int) -> np.ndarray:
     """Words that lie in a window whose flag is set; ``ranges``: (first window, flags)."""
-    starts = np.zeros(n_words + 1, np.int64)
+    hit = np.zeros(n_words + 1, np.int64)
     for first, flags in ranges:
-        hit = first + np.flatnonzero(np.frombuffer(flags, np.uint8))
-        np.add.at(starts, hit, 1)
-        np.add.at(starts, hit + window, -1)
-    return np.cumsum(starts)[:-1] > 0
+        hit[first:first + len(flags)] |= np.frombuffer(flags, np.uint8)
+    open_windows = np.cumsum(hit)
+    open_windows[window:] -= np.cumsum(hit)[:-window]
+    return open_windows[:-1] > 0
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, most: int = MAX_PASSAGES) -> DataFrame:
@@ -285,9 +309,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most: int = MAX_PASS
     chosen = _beside(docs, mine, "inner")
     found = _passages(chosen, window)
     length = window - gram_words(window) + 1
-    distinct = found.groupBy("anchor", "tokens", "passage").agg(F.count("*").alias("copies"))
+    name = F.unhex(F.md5("tokens")).alias("passage")
+    distinct = found.groupBy("anchor", "tokens").agg(F.count("*").alias("copies")).select("*", name)
     answers = _answers(_shards(distinct, length, most), length).withColumnRenamed("passage", "of")
-    hits = found.select(*KEYS, "lo", "passage").join(answers, F.col("passage") == F.col("of"))
+    hits = found.select(*KEYS, "lo", name).join(answers, F.col("passage") == F.col("of"))
     return hits.groupBy(*KEYS).agg(F.collect_list(F.struct((F.col("lo") + F.col("first")).alias("first"), "flags")).alias("ranges"))
 
 
@@ -308,11 +333,14 @@ def removed(docs: DataFrame, window: int = WINDOW, most: int = MAX_PASSAGES, wit
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sizes, gone, shas, texts = [], [], [], []
-        for text, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+        lists = batch.column(2)
+        first, flags = (lists.values.field(k).to_pylist() for k in (0, 1))
+        bounds = lists.offsets.to_pylist()
+        for text, a, b in zip(batch.column(1).to_pylist(), bounds[:-1], bounds[1:]):
             words = text.encode().split()
             kept = words
-            if ranges:
-                mask = covered(len(words), [(r["first"], r["flags"]) for r in ranges], window)
+            if a < b:
+                mask = covered(len(words), list(zip(first[a:b], flags[a:b])), window)
                 kept = [w for w, m in zip(words, mask.tolist()) if not m]
             line = b" ".join(kept)
             sizes.append(len(words)), gone.append(len(words) - len(kept)), shas.append(hashlib.sha256(line).hexdigest())

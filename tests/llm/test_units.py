@@ -31,7 +31,8 @@ def test_passages_tile_all_windows_and_own_equal_windows_alike():
     window = 12
     shared = " ".join(str(rng.randint(0, 50)) for _ in range(30))
     texts = ["", None, "a b", shared, f"x y z {shared} q", "r " * 40, shared]
-    words, row, anchor, lo, n, (grams, at, extra) = substring_dedup.passages(texts, window, True)
+    row, anchor, lo, n, _ = substring_dedup.passages(texts, window, True)
+    words = [(t or "").encode().split() for t in texts]
     owner = {}
     for r, a, first, count in zip(row.tolist(), anchor.tolist(), lo.tolist(), n.tolist()):
         for k in range(first, first + count):
@@ -44,6 +45,18 @@ def test_passages_tile_all_windows_and_own_equal_windows_alike():
     assert len({a for r, a in zip(row.tolist(), anchor.tolist()) if r == 5}) == 1
 
 
+def test_word_hashes_are_those_of_words():
+    texts = ["a b\0 c", None, "", " \n", "b  a\tb\0\0 ", "é " * 5, "x" * 3000 + " c"]
+    hashes, sizes = substring_dedup.word_hashes(texts)
+    words = [(t or "").encode().split() for t in texts]
+    assert sizes.tolist() == [len(w) for w in words]
+    by_word = {}
+    for w, h in zip((w for ws in words for w in ws), hashes.tolist(), strict=True):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    assert substring_dedup.last_minimum(np.array([5, 3, 3, 9, 8, 1], np.uint64) << np.uint64(40), 3).tolist() == [2, 2, 2, 5]
+
+
 def test_minimal_perfect_hash_is_minimal_and_checks_members():
     rng = np.random.default_rng(3)
     keys = rng.integers(0, 256, (5000, 32), dtype=np.uint8)
