@@ -15,14 +15,17 @@ CACHE_PIECES = 700_000
 
 
 class PieceEncoder:
-    """``encode_new(pieces)`` gives the ids of pieces; ``cut(text)`` a list of pieces, or None for ``encode_whole`` to take the text."""
+    """``encode_new(pieces)`` gives the ids of texts or pieces; ``cut(text)`` a list of pieces, or None to take the text as it is.
+
+    ``memory`` is a kind of dict that makes the packed ids of a piece it lacks by itself; with a plain dict new pieces are
+    encoded together.
+    """
 
     def __init__(self, encode_new: Callable[[list[str]], list[list[int]]], cut: Callable[[str], list[str] | None], dtype: str,
-                 encode_whole: Callable[[list[str]], list[list[int]]] | None = None, limit: int = CACHE_PIECES):
-        self.encode_new, self.cut, self.dtype, self.limit = encode_new, cut, np.dtype(dtype), limit
-        self.encode_whole = encode_whole or encode_new
+                 memory: type[dict] = dict, limit: int = CACHE_PIECES):
+        self.encode_new, self.cut, self.dtype, self.memory, self.limit = encode_new, cut, np.dtype(dtype), memory, limit
         self.code = self.dtype.char   # the same letter in the array module; both are little-endian where Spark runs
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = memory()
 
     def _learn(self, pieces: list[str]) -> None:
         for piece, ids in zip(pieces, self.encode_new(pieces)):
@@ -31,13 +34,14 @@ class PieceEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as packed integers of ``dtype``."""
         if len(self.known) > self.limit:
-            self.known = {}
+            self.known = self.memory()
         cut = [self.cut(t) for t in texts]
         whole = [t for t, pieces in zip(texts, cut) if pieces is None]
-        new = {p for pieces in cut if pieces is not None for p in pieces}
-        new.difference_update(self.known)
-        if new:
-            self._learn(list(new))
-        of_whole = iter(self.encode_whole(whole) if whole else ())
+        if self.memory is dict:
+            new = {p for pieces in cut if pieces is not None for p in pieces}
+            new.difference_update(self.known)
+            if new:
+                self._learn(list(new))
+        of_whole = iter(self.encode_new(whole) if whole else ())
         get = self.known.__getitem__
         return [np.array(next(of_whole), self.dtype).tobytes() if pieces is None else b"".join(map(get, pieces)) for pieces in cut]

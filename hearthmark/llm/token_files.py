@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,33 +65,32 @@ def byte_level_encoder(path: str) -> PieceEncoder:
             spelling[b] = chr(256 + k)
         blank = spelling[32]
 
-        def ids_of(part: str) -> list[int]:
-            return [t.id for t in tokenize(part)]
-
-        signs = {c: ids_of(split(c)[0][0]) for c in ".,;:!?"}
-
-        def encode(pieces: list[str]) -> list[list[int]]:
-            stems: dict[str, list[int]] = {}
-            out = []
-            for p in pieces:
-                stem, last = (p[:-1], signs[p[-1]]) if p and p[-1] in signs else (p, [])
-                if not (stem[1:].isalpha() and (stem[0] == " " or stem[0].isalpha())):
-                    out.append([i for part, _ in split(p) for i in ids_of(part)])
-                    continue
-                ids = stems.get(stem)
-                if ids is None:
-                    if not stem.isascii():
-                        ids = ids_of("".join([spelling[b] for b in stem.encode()]))
-                    else:
-                        ids = ids_of(blank + stem[1:] if stem[0] == " " else stem)
-                    stems[stem] = ids
-                out.append(ids + last)
-            return out
+        dtype = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
+        code = np.dtype(dtype).char   # the same letter in the array module; both are little-endian where Spark runs
+
+        def packed(parts: list[str]) -> bytes:
+            return array(code, [t.id for part in parts for t in tokenize(part)]).tobytes()
+
+        signs = {c: packed([split(c)[0][0]]) for c in ".,;:!?"}
+
+        class Known(dict):
+            def __missing__(self, piece: str) -> bytes:
+                last = piece[-1:]
+                if last in signs and piece[:-1].lstrip(" ").isalpha() and piece[:2] != "  ":
+                    ids = self[piece[:-1]] + signs[last]
+                elif piece.isalpha() and piece.isascii():
+                    ids = packed([piece])
+                elif piece[:1] == " " and piece[1:].isalpha():
+                    ids = packed([blank + piece[1:] if piece.isascii() else "".join([spelling[b] for b in piece.encode()])])
+                else:
+                    ids = packed([part for part, _ in split(piece)])
+                self[piece] = ids
+                return ids
 
         def encode_whole(texts: list[str]) -> list[list[int]]:
             return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _ENCODERS[path] = PieceEncoder(encode, cut, "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4", encode_whole)
+        _ENCODERS[path] = PieceEncoder(encode_whole, cut, dtype, Known)
     return _ENCODERS[path]
 
 
