@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-CACHE_PIECES = 700_000
+CACHE_PIECES = 300_000
 
 
 class PieceEncoder:

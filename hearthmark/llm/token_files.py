@@ -28,6 +28,7 @@ from hearthmark.llm.common import SLICE_BYTES, cut_lineage, fresh_folder, text_o
 from hearthmark.llm.piecewise import PieceEncoder
 
 END_ID = 2
+PIECES = 500_000   # kept in a worker: some 100 MB
 NULL_ID = np.iinfo(np.int64).min
 MANIFEST = "part int, stem string, n_docs long, n_tokens long"
 
@@ -90,7 +91,7 @@ def byte_level_encoder(path: str) -> PieceEncoder:
         def encode_whole(texts: list[str]) -> list[list[int]]:
             return [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-        _ENCODERS[path] = PieceEncoder(encode_whole, cut, dtype, Known)
+        _ENCODERS[path] = PieceEncoder(encode_whole, cut, dtype, Known, PIECES)
     return _ENCODERS[path]
 
 
