@@ -304,7 +304,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most: int = MAX_PASS
     ``docs`` is the result of ``_keyed``.
     """
     anchors = _anchors(docs, window)
-    often = anchors.groupBy("anchor").count().where("count > 1").select("anchor")
+    # written first: as a plain scan its side of the join is dealt out anew, and the planner can split a crowded anchor
+    often = cut_lineage(anchors.groupBy("anchor").count().where("count > 1").select("anchor"))
     mine = cut_lineage(anchors.join(often, "anchor", "left_semi").groupBy(*KEYS).agg(F.collect_set("anchor").alias("anchors")))
     chosen = _beside(docs, mine, "inner")
     found = _passages(chosen, window)
