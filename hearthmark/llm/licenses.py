@@ -1,9 +1,11 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template meets a block if at least THRESHOLD of its distinct tokens stand in the block. Tokens are
-ordered by how many documents hold them, rare ones first. A block can only meet a template of t tokens, a of them
-needed, if it holds one of the template's t - a + 1 rarest tokens (prefix), at least a tokens of any template (length),
-and if behind the first common token both sides have enough tokens left (position). What passes is compared in full.
+A block is a run of consecutive tokens of the whole text, as long as the template and a quarter more (SLACK), so that it
+does not matter where lines break. A template meets a block if at least THRESHOLD of its distinct tokens stand in it.
+Tokens are ordered by how many documents hold them, rare ones first. A block can only meet a template of t tokens, a of
+them needed, if it holds one of the template's t - a + 1 rarest tokens (prefix), so only the surroundings of those are
+looked at; if they hold at least a of its tokens (length), and enough of them behind the first common one (position),
+a window slides over them and its tokens are compared in full.
 
 Templates are a short list that comes with the code, and its size is checked, so every task gets a copy of it.
 """
@@ -11,6 +13,7 @@ Templates are a short list that comes with the code, and its size is checked, so
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,6 +25,7 @@ from pyspark.sql import functions as F
 from hearthmark.llm.common import map_batches, text_or_empty
 
 THRESHOLD = 0.8
+SLACK = 0.25   # tokens that a block may have beyond those of the template, as a share of them
 MAX_TEMPLATE_TOKENS = 100_000   # of all templates together; more would need a shuffled join
 
 # Fixed phrases of the contract: their label holds wherever the words stand in a row.
@@ -63,6 +67,7 @@ class Ordered:
     ranks: list[tuple[int, ...]]
     needed: list[int]
     labels: list[str]
+    width: list[int]
     prefix: dict[int, list[tuple[int, int]]]
     prefix_words: frozenset[bytes]
 
@@ -79,7 +84,8 @@ def ordered(templates, frequency: dict[bytes, int], threshold: float = THRESHOLD
     for k, (r, a) in enumerate(zip(ranks, needed)):
         for i, x in enumerate(r[:len(r) - a + 1]):
             prefix[x].append((k, i))
-    return Ordered(rank, ranks, needed, [label for label, _ in templates], dict(prefix), frozenset(words[x] for x in prefix))
+    width = [math.ceil((1 + SLACK) * len(tokens(t.encode()))) for _, t in templates]
+    return Ordered(rank, ranks, needed, [label for label, _ in templates], width, dict(prefix), frozenset(words[x] for x in prefix))
 
 
 def block_matches(block: bytes, o: Ordered) -> list[tuple[int, float]]:
@@ -100,6 +106,49 @@ def block_matches(block: bytes, o: Ordered) -> list[tuple[int, float]]:
     return found
 
 
+def most_in_window(places: list[tuple[int, int]], width: int) -> int:
+    """Most distinct tokens in ``width`` places next to each other. ``places``: (place, token) in order."""
+    held: Counter[int] = Counter()
+    most = first = 0
+    for at, x in places:
+        held[x] += 1
+        while places[first][0] <= at - width:
+            gone = places[first][1]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            first += 1
+        most = max(most, len(held))
+    return most
+
+
+def text_matches(words: list[bytes], o: Ordered) -> list[tuple[int, float]]:
+    """(template, best containment) of every template that some block of the text meets."""
+    held = [(at, o.rank[w]) for at, w in enumerate(words) if w in o.rank]
+    spots = defaultdict(list)   # template -> places of its prefix tokens
+    for at, x in held:
+        for k, _ in o.prefix.get(x, ()):
+            spots[k].append(at)
+    found = []
+    for k, places in sorted(spots.items()):
+        r, a, width = o.ranks[k], o.needed[k], o.width[k]
+        mine, most, at = set(r), 0, 0
+        while at < len(places):
+            # surroundings of prefix tokens that lie close together
+            low = high = places[at]
+            while at < len(places) and places[at] < high + 2 * width:
+                high, at = places[at], at + 1
+            near = held[bisect_left(held, (low - width + 1,)):bisect_left(held, (high + width,))]
+            near = [(i, x) for i, x in near if x in mine]
+            common = {x for _, x in near}
+            if len(common) < a or len(r) - bisect_left(r, min(common)) < a:
+                continue
+            most = max(most, most_in_window(near, width))
+        if most >= a:
+            found.append((k, most / len(r)))
+    return found
+
+
 def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int, str]]:
     """(index of its first word, label) of all places of all phrases."""
     line = b" " + b" ".join(words) + b" "
@@ -131,16 +180,15 @@ def token_frequencies(docs: DataFrame, templates=TEMPLATES) -> dict[bytes, int]:
 def scanned(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, phrases: dict[str, str] = PHRASES) -> DataFrame:
     """Per document: doc_id, n_words, n_base (places of phrases), first_word, last_word, base_labels, labels, score.
 
-    labels adds those of the templates that a line meets. score: the best containment of a template met, 1 where a
+    labels adds those of the templates that a block meets. score: the best containment of a template met, 1 where a
     phrase stands, else 0. Null and empty texts have no words and no labels. Repeated rows get equal results.
     """
     o = ordered(templates, token_frequencies(docs, templates), threshold)
 
     def one(text: str) -> tuple:
-        raw = text.encode()
-        words = tokens(raw)
+        words = tokens(text.encode())
         places = phrase_places(words, phrases)
-        met = [] if o.prefix_words.isdisjoint(words) else [m for line in raw.split(b"\n") for m in block_matches(line, o)]
+        met = [] if o.prefix_words.isdisjoint(words) else text_matches(words, o)
         base = {label for _, label in places}
         labels = base.union(o.labels[k] for k, _ in met)
         starts = [at for at, _ in places]
@@ -158,7 +206,7 @@ def scanned(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD,
 
 
 def oracle_sql() -> str:
-    """Every line against every template, without filters."""
+    """Every line against every template, without filters: equal where no notice wraps and no line scatters its words."""
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     names = " UNION ALL ".join(f"SELECT {p.split()!r} AS p, '{label}' AS label" for p, label in PHRASES.items())

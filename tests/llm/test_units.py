@@ -210,3 +210,52 @@ def test_phrase_places():
     words = licenses.tokens(b"The MIT-License, CC BY cc by; mit\nlicense x")
     assert licenses.phrase_places(words, licenses.PHRASES) == [(3, "cc-by"), (5, "cc-by"), (1, "mit"), (7, "mit")]
     assert licenses.phrase_places([], licenses.PHRASES) == []
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction""",
+    "bsd": """# Redistribution and use in source and binary forms, with or without
+# modification, are permitted provided that the following conditions are met:""",
+    "mpl": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published""",
+}
+
+
+def plain_matches(words, o):
+    found = []
+    for k, (_, t) in enumerate(licenses.TEMPLATES):
+        ts = {w.encode() for w in t.split()}
+        most = max((len(ts & {*words[i:i + o.width[k]]}) for i in range(len(words))), default=0)
+        if most >= licenses.THRESHOLD * len(ts) - 1e-9:
+            found.append((k, most / len(ts)))
+    return found
+
+
+@pytest.mark.parametrize("label", sorted(WRAPPED))
+def test_wrapped_licenses_are_found(label):
+    o = licenses.ordered(licenses.TEMPLATES, {})
+    for text in (WRAPPED[label], WRAPPED[label].replace(" ", "\n"), "some words before\n" * 50 + WRAPPED[label] + "\nand behind" * 50):
+        assert label in {o.labels[k] for k, _ in licenses.text_matches(licenses.tokens(text.encode()), o)}
+
+
+def test_scattered_words_are_no_license():
+    o = licenses.ordered(licenses.TEMPLATES, {})
+    assert licenses.text_matches("the film was released last year and under pressure from fans the studio took a license".encode().split(), o) == []
+
+
+def test_license_windows_lose_nothing():
+    rng = random.Random(9)
+    vocabulary = sorted({w for _, t in licenses.TEMPLATES for w in t.split()}) + ["foo", "bar", "baz"] * 40
+    o = licenses.ordered(licenses.TEMPLATES, {w.encode(): rng.randint(0, 9) for w in vocabulary})
+    for _ in range(600):
+        ws = rng.choices(vocabulary, k=rng.randint(0, 40))
+        for _ in range(rng.randint(0, 3)):
+            ws += [w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.9] + rng.choices(vocabulary, k=rng.randint(0, 30))
+        words = [w.encode() for w in ws]
+        assert licenses.text_matches(words, o) == plain_matches(words, o)
