@@ -10,6 +10,7 @@ sidebars, forms, notices, adverts, comments, scripts) are left out by tag, role,
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -35,43 +36,50 @@ SIDE_ARTICLE_WORDS = frozenset("ad ads advert advertisement comment comments pro
 # An end tag of these closes what is still open inside; a start tag closes an open element of the same kind.
 CLOSES = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"]),
           "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]), "option": frozenset(["option"])}
+LIKELY, SURE = 1, 2   # marks of chrome: by a word or a form, which much text inside may disprove, or by tag or role
+MUCH = 0.5            # share of the page's text outside of sure chrome from which an element is no LIKELY chrome
 _UNFINISHED = re.compile("<[A-Za-z/!?]")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _is_chrome(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+def _is_chrome(tag: str, attrs: list[tuple[str, str | None]], in_article: int = 0) -> int:
+    """SURE for chrome by tag or role, LIKELY by a form or the words of class and id, else 0.
+
+    A section of an article is judged by whole names: 'related' is a list of links, 'related-work' may be a chapter.
+    """
     if tag in CHROME_TAGS:
-        return True
+        return LIKELY if tag == "form" else SURE
     if tag in ("body", "html"):
-        return False
+        return 0
     words = SIDE_ARTICLE_WORDS if tag in ("article", "main") else CHROME_WORDS
     for name, value in attrs:
         if name == "role" and (value or "").lower() in CHROME_ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name in ("class", "id") and value and not words.isdisjoint(p.lower() for p in _PARTS.findall(value)):
-            return True
-    return False
+            return SURE
+        if name in ("class", "id") and value and not words.isdisjoint(p.lower() for p in (value.split() if tag == "section" and in_article else _PARTS.findall(value))):
+            return LIKELY
+    return 0
 
 
 class Lines(HTMLParser):
-    """Lines of a page outside of chrome: text, tags, and the innermost article or main element that holds them (0: none)."""
+    """Lines of a page outside of sure chrome: text, tags, the innermost article or main element that holds them (0: none),
+    and the LIKELY marks they lie in. An article or main element ends the marks around it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
-        self.lines: list[tuple[str, int, int]] = []
+        self.open: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.text: list[str] = []
-        self.tags = self.articles = 0
+        self.tags = self.articles = self.marks = 0
 
     def _break(self) -> None:
         text = " ".join("".join(self.text).split())
         self.text = []
         if text:
-            self.lines.append((text, self.tags, self.open[-1][2] if self.open else 0))
+            self.lines.append((text, self.tags, *(self.open[-1][2:] if self.open else (0, ()))))
             self.tags = 0
 
     def _close(self, at: int) -> None:
-        if any(tag in BLOCK for tag, _, _ in self.open[at:]):
+        if any(tag in BLOCK for tag, *_ in self.open[at:]):
             self._break()
         del self.open[at:]
 
@@ -82,13 +90,18 @@ class Lines(HTMLParser):
             self._break()
         elif tag in ("br", "wbr"):
             self.text.append(" ")
-        hidden, article = (self.open[-1][1], self.open[-1][2]) if self.open else (False, 0)
+        hidden, article, marks = self.open[-1][1:] if self.open else (0, 0, ())
         self.tags += not hidden
         if tag not in VOID:
             if tag in ("article", "main"):
                 self.articles += 1
                 article = self.articles
-            self.open.append((tag, hidden or _is_chrome(tag, attrs), article))
+                marks = ()
+            kind = _is_chrome(tag, attrs, article)
+            if kind == LIKELY:
+                self.marks += 1
+                marks = (*marks, self.marks)
+            self.open.append((tag, hidden or kind == SURE, article, marks))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -129,6 +142,16 @@ def content_threshold(values: np.ndarray) -> float:
     return values.min()
 
 
+def outside_chrome(lines: list[tuple[str, int, int, tuple[int, ...]]]) -> list[tuple[str, int, int, tuple[int, ...]]]:
+    """Lines outside of LIKELY chrome; a mark around MUCH of the text counts for nothing."""
+    inside: Counter[int] = Counter()
+    for text, _, _, marks in lines:
+        for m in marks:
+            inside[m] += len(text)
+    least = MUCH * sum(len(text) for text, *_ in lines)
+    return [line for line in lines if all(inside[m] >= least for m in line[3])]
+
+
 def main_text(html: str) -> str:
     """Blocks of the main text in page order, joined by an empty line."""
     page = Lines()
@@ -136,17 +159,20 @@ def main_text(html: str) -> str:
     page.close()
     if not page.lines:
         return ""
-    sizes = np.array([len(text) for text, _, _ in page.lines], float)
-    ratio = np.log(smoothed(sizes / np.maximum(1, [tags for _, tags, _ in page.lines])))
+    lines = outside_chrome(page.lines)
+    if not lines:
+        return ""
+    sizes = np.array([len(text) for text, *_ in lines], float)
+    ratio = np.log(smoothed(sizes / np.maximum(1, [tags for _, tags, *_ in lines])))
     content = ratio >= content_threshold(ratio)
-    held = np.array([article for _, _, article in page.lines])
+    held = np.array([article for _, _, article, _ in lines])
     if held[content].any():
         # most text of the content lines: that article, and all articles that stand beside each other in a page of several
         inside = held > 0
         if sizes[content & inside].sum() >= sizes[content & ~inside].sum():
-            return "\n\n".join(page.lines[k][0] for k in np.flatnonzero(inside))
+            return "\n\n".join(lines[k][0] for k in np.flatnonzero(inside))
     at = np.flatnonzero(content)
-    return "\n\n".join(page.lines[k][0] for k in range(at[0], at[-1] + 1))
+    return "\n\n".join(lines[k][0] for k in range(at[0], at[-1] + 1))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -259,3 +259,19 @@ def test_license_windows_lose_nothing():
             ws += [w for w in rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.9] + rng.choices(vocabulary, k=rng.randint(0, 30))
         words = [w.encode() for w in ws]
         assert licenses.text_matches(words, o) == plain_matches(words, o)
+
+
+@pytest.mark.parametrize("head,tail", [("<div class='content has-sidebar'>", "</div>"), ("<form id='aspnetForm'>", "</form>"), ("<div class='ad'>", ""), ("<div id='menu-wrap'><form>", "</form></div>")])
+def test_wrappers_with_chrome_words_keep_their_article(head, tail):
+    paragraphs = [f"Paragraph {k} of the story has a good many words, so that it is the text of the page." for k in range(6)]
+    body = "<h1>A story</h1>" + "".join(f"<p>{p}</p>" for p in paragraphs)
+    want = ["A story", *paragraphs]
+    around = "<div class='sidebar'><p>Top ten lists</p></div>"
+    assert html_text.main_text(f"<html><body>{around}{head}<article>{body}</article>{tail}</body></html>").split("\n\n") == want
+    if tail:
+        assert html_text.main_text(f"<html><body>{around}{head}<div>{body}</div>{tail}</body></html>").split("\n\n") == want
+
+
+def test_a_section_named_related_inside_of_an_article_stays():
+    text = "<article><h1>T</h1><p>First paragraph of the paper with many words in it.</p><section id='related-work'><p>Others did this before in many ways.</p></section></article>"
+    assert "Others did this before" in html_text.main_text(text)
