@@ -7,7 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthmark.llm import exact_dedup, html_text, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substring_dedup, token_files
+from hearthmark.llm import (exact_dedup, fill_middle, html_text, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substring_dedup, token_files, url_rules,
+                            vector_codes)
 from hearthmark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,18 @@ def op9(pages: DataFrame) -> DataFrame:
 @query("op10_sentencepiece")
 def op10(documents: DataFrame) -> DataFrame:
     return sentencepiece_codec.encoded(documents, PIECE_MODEL)
+
+
+@query("op11_url_rules", url_rules.oracle_sql(), source="pages")
+def op11(pages: DataFrame) -> DataFrame:
+    return url_rules.judged(pages, url_rules.rules_table(pages.sparkSession))
+
+
+@query("op12_vector_codes", vector_codes.oracle_sql(), source="embeddings")
+def op12(embeddings: DataFrame) -> DataFrame:
+    return vector_codes.compressed(embeddings)
+
+
+@query("op13_fill_middle", fill_middle.oracle_sql())
+def op13(documents: DataFrame) -> DataFrame:
+    return fill_middle.report(documents)
