@@ -7,12 +7,15 @@ match, so every group is reduced to its oldest rows before anything is joined ba
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthmark.operators.bands import within
 from hearthmark.operators.market import ts
 from hearthmark.operators.merge import patch_details, upsert_snapshot
+from hearthmark.operators.skew import top_rows
 
 # Areas are compared in steps of 1/10000 m2.
 AREA_SCALE = 10_000
@@ -41,15 +44,12 @@ def _rows(listings: DataFrame) -> DataFrame:
 
 
 def _oldest_two(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per key the two oldest active rows (the second serves the oldest one itself) and the row count."""
-    ok = rows.where("is_active").dropna(subset=list(keys))
-    w = Window.partitionBy(*keys).orderBy("date", "id")
-    two = ok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= 2)
-    tops = two.groupBy(*keys).agg(F.min(F.struct("date", "id", "area_total")).alias("_a"),
-                                  F.max(F.when(F.col("_r") == 2, F.struct("date", "id", "area_total"))).alias("_b"))
-    return tops.join(ok.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")), list(keys))
+    """Per key the two oldest active rows; the second serves the oldest one itself."""
+    two = top_rows(rows.where("is_active").select(*keys, F.struct("date", "id", "area_total").alias("_row")), keys, [F.col("_row")], 2)
+    return two.groupBy(*keys).agg(F.min("_row").alias("_a"), F.max(F.when(F.col("rank") == 2, F.col("_row"))).alias("_b"))
 
 
+NEAR_KEYS = ["address", "rooms"]
 EXACT_KEYS = (("address", "area_total", "rooms"), ("description_hash", "address"), ("description_hash", "resolved_address"))
 
 
@@ -57,35 +57,45 @@ def _match(date: Column, near: bool, ident: Column, score: Column, reason: str)
     return F.struct(date.alias("date"), F.lit(near).alias("near"), ident.alias("id"), score.alias("score"), F.lit(reason).alias("reason"))
 
 
+def _oldest(matches: DataFrame) -> DataFrame:
+    return matches.groupBy("id").agg(F.min("match").alias("match"), F.first("own_date").alias("own_date")).select("id", "own_date", "match")
+
+
+def exact_matches(listings: DataFrame) -> DataFrame:
+    """(id, own_date, match) once for each rule that finds an exact original.
+
+    One equi-join per rule, on rows of the rule's keys alone; rows that lack a key stay out of its shuffle.
+    """
+    rows, found = _rows(listings), []
+    for keys in EXACT_KEYS:
+        asked = rows.dropna(subset=list(keys)).select("id", "own_date", *keys)
+        other = F.when(F.col("_a.id") != F.col("id"), F.col("_a")).otherwise(F.col("_b"))
+        hit = asked.join(_oldest_two(rows.dropna(subset=list(keys)), keys), list(keys)).select("id", "own_date", other.alias("_o")).where("_o IS NOT NULL")
+        found.append(hit.select("id", "own_date", _match(F.col("_o.date"), False, F.col("_o.id"), F.lit(1.0), "exact_match").alias("match")))
+    return reduce(DataFrame.unionByName, found)
+
+
 def exact_originals(listings: DataFrame) -> DataFrame:
     """Oldest other active listing that is an exact match: same address, area and rooms, or the
-    same description at the same (plain or resolved) address.  One equi-join per rule."""
-    rows = _rows(listings)
-    out, picks = rows, []
-    for i, keys in enumerate(EXACT_KEYS):
-        top = _oldest_two(rows, keys).select(*keys, F.struct("_a", "_b").alias(f"_k{i}"))
-        out = out.join(top, list(keys), "left")
-        a, b = F.col(f"_k{i}._a"), F.col(f"_k{i}._b")
-        picks.append(F.when(a["id"] != F.col("id"), a).otherwise(b))
-    best = F.least(*[F.when(p.isNotNull(), _match(p["date"], False, p["id"], F.lit(1.0), "exact_match")) for p in picks])
-    return out.select("id", "own_date", best.alias("match")).where("match IS NOT NULL")
+    same description at the same (plain or resolved) address."""
+    return _oldest(exact_matches(listings))
+
+
+def _scaled(listings: DataFrame) -> DataFrame:
+    """Rows with an area, address and rooms, and the area as a whole number ``_a``."""
+    return _rows(listings).dropna(subset=["area_total", *NEAR_KEYS]).withColumn("_a", F.round(F.col("area_total") * AREA_SCALE).cast("long"))
 
 
 def near_originals(listings: DataFrame, tol: float = 2.0) -> DataFrame:
     """Oldest active listing at the same address with the same rooms and another area within ``tol``.
 
-    Rows are first reduced to one per distinct area; the range windows run over those.
+    Rows are first reduced to one per distinct area; a band join finds the oldest on either side of each.
     """
-    rows = _rows(listings).where("area_total IS NOT NULL").withColumn("_a", F.round(F.col("area_total") * AREA_SCALE).cast("long"))
-    keys = ["address", "rooms"]
-    areas = rows.where("is_active").dropna(subset=keys).groupBy(*keys, "_a").agg(F.min(F.struct("date", "id", "area_total")).alias("_m"))
-    asked = rows.dropna(subset=keys).select(*keys, "_a").distinct()
-    cells = asked.join(areas, [*keys, "_a"], "left")
-    w = Window.partitionBy(*keys).orderBy("_a")
-    reach = round(tol * AREA_SCALE)
-    below, above = F.min("_m").over(w.rangeBetween(-reach, -1)), F.min("_m").over(w.rangeBetween(1, reach))
-    cells = cells.select(*keys, "_a", F.least(below, above).alias("_o")).where("_o IS NOT NULL")
-    j = rows.where("area_total <> 0").join(cells, [*keys, "_a"])
+    rows = _scaled(listings)
+    areas = rows.groupBy(*NEAR_KEYS, "_a").agg(F.min(F.when(F.col("is_active"), F.struct("date", "id", "area_total"))).alias("_m"))
+    cells = within(areas, NEAR_KEYS, "_a", round(tol * AREA_SCALE), {"_o": (F.min("_m"), F.min("_m"))})
+    cells = cells.select(*NEAR_KEYS, "_a", F.least("_o.below", "_o.above").alias("_o")).where("_o IS NOT NULL")
+    j = rows.where("area_total <> 0").select("id", "own_date", "area_total", *NEAR_KEYS, "_a").join(cells, [*NEAR_KEYS, "_a"])
     score = 1.0 - F.abs(F.col("_o.area_total") - F.col("area_total")) / 10.0
     return j.select("id", "own_date", _match(F.col("_o.date"), True, F.col("_o.id"), score, "similar_area").alias("match"))
 
@@ -95,23 +105,20 @@ def detect_reposts(listings: DataFrame, tol: float = 2.0) -> DataFrame:
 
     The oldest match wins; on equal dates an exact match beats a near one, then the smaller id.
     """
-    both = exact_originals(listings).unionByName(near_originals(listings, tol))
-    best = both.groupBy("id").agg(F.min("match").alias("m"), F.first("own_date").alias("own_date"))
-    return best.where(F.col("own_date") > F.col("m.date")).select(
-        "id", F.col("m.id").alias("original_listing_id"), F.col("m.score").alias("similarity_score"), F.col("m.reason").alias("match_reason"))
+    best = _oldest(exact_matches(listings).unionByName(near_originals(listings, tol)))
+    return best.where(F.col("own_date") > F.col("match.date")).select(
+        "id", F.col("match.id").alias("original_listing_id"), F.col("match.score").alias("similarity_score"), F.col("match.reason").alias("match_reason"))
 
 
 def match_counts(listings: DataFrame, tol: float = 2.0) -> DataFrame:
     """Exact (same address, area, rooms) and near matches of each listing, counted without pairing."""
-    rows = _rows(listings).where("area_total IS NOT NULL").withColumn("_a", F.round(F.col("area_total") * AREA_SCALE).cast("long"))
-    keys = ["address", "rooms"]
-    areas = rows.dropna(subset=keys).groupBy(*keys, "_a").agg(F.count_if("is_active").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_a")
-    reach = round(tol * AREA_SCALE)
-    near = F.coalesce(F.sum("_n").over(w.rangeBetween(-reach, -1)), F.lit(0)) + F.coalesce(F.sum("_n").over(w.rangeBetween(1, reach)), F.lit(0))
-    cells = areas.select(*keys, "_a", "_n", near.alias("_near"))
+    rows = _scaled(listings)
+    areas = rows.groupBy(*NEAR_KEYS, "_a").agg(F.count_if("is_active").alias("_n"))
+    cells = within(areas, NEAR_KEYS, "_a", round(tol * AREA_SCALE), {"_s": (F.sum("_n"), F.sum("_n"))})
+    near = F.coalesce("_s.below", F.lit(0)) + F.coalesce("_s.above", F.lit(0))
     self_n = F.when(F.col("is_active"), 1).otherwise(0)
-    return rows.join(cells, [*keys, "_a"]).select("id", (F.col("_n") - self_n).alias("exact_matches"), F.col("_near").alias("near_matches"))
+    return rows.select("id", "is_active", *NEAR_KEYS, "_a").join(cells.select(*NEAR_KEYS, "_a", "_n", near.alias("_near")), [*NEAR_KEYS, "_a"]).select(
+        "id", (F.col("_n") - self_n).alias("exact_matches"), F.col("_near").alias("near_matches"))
 
 
 def link_duplicates(links: DataFrame, listings: DataFrame, reposts: DataFrame, as_of: str) -> tuple[DataFrame, DataFrame]:

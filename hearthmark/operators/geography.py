@@ -9,46 +9,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthmark.functions.address import district_from_address, street_house_key
-from hearthmark.functions.geo import EARTH_KM, cell, haversine_km
+from hearthmark.functions.geo import cell, haversine_km
+from hearthmark.operators.cover import cover, holders
 from hearthmark.operators.market import ts
-from hearthmark.operators.nearest import GLOBE, GLOBE_LEVELS, SEARCH_LEVELS, Box, nearest
+from hearthmark.operators.nearest import Box, nearest
+from hearthmark.operators.radius import KM_PER_DEG, asked_cells, nearest_centre, radius_counts, radius_degrees, row_width
 from hearthmark.operators.segments import BUILDING_TYPES
 from hearthmark.operators.skew import top_rows
 from hearthmark.session import cut_lineage
 
-KM_PER_DEG = EARTH_KM * 3.141592653589793 / 180.0
 # Centre used for an outline without vertices (lat, lon).
 DEFAULT_CENTRE = (55.75, 37.62)
 
 
 # --- radius search -------------------------------------------------------------------
 
-def _row_width(row: Column, deg: float) -> Column:
-    """Width in degrees of longitude of the cells in a latitude row: at least ``deg`` on the ground."""
-    edge = F.least(F.greatest(F.abs(row), F.abs(row + 1)) * deg, F.lit(89.0))
-    return F.lit(deg) / F.cos(F.radians(edge))
-
-
 def radius_pairs(left: DataFrame, right: DataFrame, radius_m: float, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of rows within ``radius_m``, met on latitude-adapted grid cells.
 
-    Both sides carry lat and lon; right columns come out prefixed ``c_``.  Reduce both sides to
-    distinct places first: the pairs then grow with the number of places, not of rows.
+    Both sides carry lat and lon; right columns come out prefixed ``c_``.  For counts see ``radius.radius_counts``, which
+    lists no pairs inside of a crowded circle.
     """
-    deg = radius_m / 1000.0 / KM_PER_DEG * 1.001
-    reach = F.lit(deg) / F.cos(F.radians(F.least(F.abs("lat") + deg, F.lit(89.0))))
-    # close to a pole a circle may hold all longitudes; over the date line it is asked for on both sides
-    polar = F.abs("lat") + deg >= 89.0
-    sides = F.when(~polar & (F.abs("lon") + reach > 180.0), F.array(F.col("lon"), F.col("lon") - F.signum("lon") * 360.0)).otherwise(F.array("lon"))
-    west, east = (F.when(polar, F.lit(end)).otherwise(F.col("_at") + side) for end, side in ((-180.0, -reach), (180.0, reach)))
-    asked = (left.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_at", F.explode(sides))
-             .withColumn("_cy", F.explode(F.sequence(cell(F.col("lat") - deg, deg), cell(F.col("lat") + deg, deg))))
-             .withColumn("_w", _row_width(F.col("_cy"), deg))
-             .withColumn("_cx", F.explode(F.sequence(cell(west, F.col("_w")), cell(east, F.col("_w"))))).drop("_w", "_at"))
+    deg = radius_degrees(radius_m)
     c = right.where("lat IS NOT NULL AND lon IS NOT NULL").select(
         *[F.col(x).alias(f"c_{x}") for x in right.columns if x not in on], *on)
-    c = c.withColumn("_cy", cell(F.col("c_lat"), deg)).withColumn("_cx", cell(F.col("c_lon"), _row_width(F.col("_cy"), deg)))
-    pairs = asked.join(c, ["_cy", "_cx", *on]).drop("_cy", "_cx")
+    c = c.withColumn("_cy", cell(F.col("c_lat"), deg)).withColumn("_cx", cell(F.col("c_lon"), row_width(F.col("_cy"), deg)))
+    pairs = asked_cells(left, deg).join(c, ["_cy", "_cx", *on]).drop("_cy", "_cx")
     return (pairs.withColumn("distance_m", haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) * 1000)
             .where(F.col("distance_m") <= radius_m))
 
@@ -64,10 +50,12 @@ def places(df: DataFrame) -> DataFrame:
 
 def within_radius(subjects: DataFrame, points: DataFrame, radius_m: float) -> DataFrame:
     """Per subject: points within the radius and the distance to the nearest."""
-    spots = points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
-    hit = radius_pairs(places(subjects), spots, radius_m).groupBy("lat", "lon").agg(
-        F.sum("c_n").alias("points"), F.min("distance_m").alias("nearest_m"))
-    return subjects.join(hit, ["lat", "lon"], "left").withColumn("points", F.coalesce("points", F.lit(0)))
+    spots = points.where("lat IS NOT NULL AND lon IS NOT NULL").groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n"))
+    asked = places(subjects)
+    counts = radius_counts(asked, spots, radius_m).select("lat", "lon", F.col("n").alias("points"))
+    one = nearest_centre(counts, spots.select(F.struct("lat", "lon").alias("id"), "lat", "lon")).select(
+        "lat", "lon", (F.col("distance_km") * 1000).alias("nearest_m"))
+    return subjects.join(counts.join(one, ["lat", "lon"], "left"), ["lat", "lon"], "left").withColumn("points", F.coalesce("points", F.lit(0)))
 
 
 # --- polygons ------------------------------------------------------------------------
@@ -88,23 +76,12 @@ def contains(outline: Column, lat: Column, lon: Column) -> Column:
         poly, F.lit(0), lambda acc, ring: acc + _crossings(ring, lat, lon)) % 2 == 1)
 
 
-def _bbox(outline: Column) -> list[Column]:
-    pts = F.flatten(F.flatten(outline))
-    lat, lon = F.transform(pts, lambda p: p["lat"]), F.transform(pts, lambda p: p["lon"])
-    return [F.array_min(lat).alias("_s"), F.array_max(lat).alias("_n"), F.array_min(lon).alias("_w"), F.array_max(lon).alias("_e")]
-
-
-def polygon_matches(points: DataFrame, districts: DataFrame, key: str = "id", grid_deg: float = 0.05) -> DataFrame:
-    """All (point, district) containments: districts are laid out on the grid cells of their
-    bounding box, points meet them by cell, and only then the outline is tested."""
-    d = districts.where("outline IS NOT NULL").select("district_id", "level", "outline", *_bbox(F.col("outline")))
-    d = (d.withColumn("_cy", F.explode(F.sequence(cell(F.col("_s"), grid_deg), cell(F.col("_n"), grid_deg))))
-         .withColumn("_cx", F.explode(F.sequence(cell(F.col("_w"), grid_deg), cell(F.col("_e"), grid_deg)))))
-    p = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(key, "lat", "lon").withColumns(
-        {"_cy": cell(F.col("lat"), grid_deg), "_cx": cell(F.col("lon"), grid_deg)})
-    return (p.join(d, ["_cy", "_cx"])
-            .where(F.col("lat").between(F.col("_s"), F.col("_n")) & F.col("lon").between(F.col("_w"), F.col("_e")))
-            .where(contains(F.col("outline"), F.col("lat"), F.col("lon"))).select(key, "district_id", "level"))
+def polygon_matches(points: DataFrame, districts: DataFrame, key: str = "id") -> DataFrame:
+    """All (point, district) containments: points meet the cells that cover the outlines, and only those in a border cell
+    meet edges, the ones of their row."""
+    covered = cover(districts.select(F.col("district_id").alias("outline_id"), "outline"))
+    levels = districts.select(F.col("district_id").alias("outline_id"), "level")
+    return holders(points, key, covered).join(levels, "outline_id").select(key, F.col("outline_id").alias("district_id"), "level")
 
 
 def assign_by_polygon(points: DataFrame, districts: DataFrame, key: str = "id") -> DataFrame:
@@ -121,9 +98,11 @@ def assign_by_nearest(points: DataFrame, districts: DataFrame, max_m: float | No
     # ids ordered so that the tie rule of the search (smallest id) prefers granular districts
     c = c.select(F.struct((-F.col("level")).alias("l"), "district_id").alias("id"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon"))
     p = points.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col(key).alias("subject_id"), "lat", "lon")
-    box, levels = (GLOBE, GLOBE_LEVELS) if max_m is None else (_meters_box(max_m), SEARCH_LEVELS)
-    found = nearest(p, c, 1, F.lit(True), lambda cls, lo, hi: F.lit(True), [], box, levels=levels, round_box=max_m is not None)
-    if max_m is not None:
+    if max_m is None:
+        spots = nearest_centre(p.select("lat", "lon").distinct(), c)
+        found = p.join(spots, ["lat", "lon"]).select("subject_id", F.col("id").alias("c_id"), "distance_km")
+    else:
+        found = nearest(p, c, 1, F.lit(True), lambda cls, lo, hi: F.lit(True), [], _meters_box(max_m), round_box=True)
         found = found.where(F.col("distance_km") * 1000 < max_m)
     return found.select(F.col("subject_id").alias(key), F.col("c_id.district_id").alias("district_id"),
                         (-F.col("c_id.l")).alias("level"), (F.col("distance_km") * 1000).alias("distance_m"))
@@ -225,8 +204,10 @@ def impute_building_type(subjects: DataFrame, listings: DataFrame, radii: tuple[
     near, far = radii
     spots = (listings.where("building_type IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
              .groupBy("lat", "lon", "building_type").agg(F.count(F.lit(1)).alias("n")))
-    per = radius_pairs(places(subjects), spots, far).groupBy("lat", "lon", F.col("c_building_type").alias("t")).agg(
-        F.sum("c_n").alias("n_far"), F.sum(F.when(F.col("distance_m") <= near, F.col("c_n"))).alias("n_near"))
+    asked = places(subjects)
+    wide, close = (radius_counts(asked, spots, m, ["building_type"]).select("lat", "lon", F.col("building_type").alias("t"), F.col("n").alias(name))
+                   for m, name in ((far, "n_far"), (near, "n_near")))
+    per = wide.join(close, ["lat", "lon", "t"], "left")
     pick = per.groupBy("lat", "lon").agg(
         F.min_by("t", F.when(F.col("n_near").isNotNull(), F.struct(-F.col("n_near"), F.col("t")))).alias("_near"),
         F.min_by("t", F.struct(-F.col("n_far"), F.col("t"))).alias("_far"))

@@ -91,13 +91,44 @@ def _(t):
 @query("district_cascade", f"""
     SELECT a.id, coalesce(p.district_id, x.district_id, n.district_id) AS district_id,
            CASE WHEN p.district_id IS NOT NULL THEN 'polygon' WHEN x.district_id IS NOT NULL THEN 'text' WHEN n.district_id IS NOT NULL THEN 'nearest' END AS method
-    FROM addressed a LEFT JOIN (SELECT a.id, any_value(z.district_id) AS district_id FROM addressed a JOIN zones z ON z.level = 2
-            AND a.lat >= z.s AND a.lat < z.n AND a.lon >= z.w AND a.lon < z.e GROUP BY a.id) p ON p.id = a.id
-    LEFT JOIN zones x ON x.name = a.zone_name AND x.level = 2
-    LEFT JOIN (SELECT a.id, arg_min(z.district_id, ({hav('a', 'z')}, z.district_id)) AS district_id FROM addressed a CROSS JOIN zone_centres z
-            WHERE z.level = 2 AND a.lat IS NOT NULL GROUP BY a.id) n ON n.id = a.id""")
+    FROM addressed a LEFT JOIN (SELECT a.id, arg_max(z.district_id, (z.level, -z.district_id)) AS district_id FROM addressed a JOIN zones z
+            ON a.lat >= z.s AND a.lat < z.n AND a.lon >= z.w AND a.lon < z.e GROUP BY a.id) p ON p.id = a.id
+    LEFT JOIN zones x ON x.name = a.zone_name
+    LEFT JOIN (SELECT a.id, arg_min(z.district_id, ({hav('a', 'z')}, -z.level, z.district_id)) AS district_id FROM addressed a CROSS JOIN zone_centres z
+            WHERE a.lat IS NOT NULL GROUP BY a.id) n ON n.id = a.id""")
 def _(t):
-    return geo.assign_districts(addressed(t), zones(t).where("level = 2"))
+    return geo.assign_districts(addressed(t), zones(t))
+
+
+# Outlines that are no boxes: a star of 24 vertices around each zone of level 2, with a square hole.
+snippet("star_edges", """
+    SELECT n_nationkey AS district_id, CASE WHEN k < 24 THEN 0 ELSE 1 END AS ring, y + r * reach * sin(a) AS y1, x + r * reach * cos(a) AS x1, y + r2 * reach * sin(a2) AS y2, x + r2 * reach * cos(a2) AS x2
+    FROM (SELECT *, 55.55 + (n_nationkey // 5) * 0.1 AS y, 37.38 + (n_nationkey % 5) * 0.16 AS x, 0.04 + n_nationkey * 0.004 AS reach FROM nation) z,
+         (SELECT k, CASE WHEN k < 24 THEN 1 - 0.4 * (k % 2) ELSE 0.2 END AS r, CASE WHEN k < 24 THEN 1 - 0.4 * ((k + 1) % 24 % 2) ELSE 0.2 END AS r2,
+                 CASE WHEN k < 24 THEN 2 * pi() * k / 24 ELSE 2 * pi() * (k - 24) / 4 END AS a, CASE WHEN k < 24 THEN 2 * pi() * ((k + 1) % 24) / 24 ELSE 2 * pi() * ((k - 23) % 4) / 4 END AS a2
+          FROM (SELECT unnest(range(28)) AS k)) v""")
+
+
+def stars(t):
+    k = F.col("n_nationkey")
+
+    def closed(n, inner):
+        def vertex(i):
+            i = i % n
+            out = F.when(F.lit(n == 24), 1 - F.lit(inner) * (i % 2)).otherwise(F.lit(inner))
+            a = 2 * F.pi() * i / n
+            reach = 0.04 + k * 0.004
+            return F.struct((37.38 + (k % 5) * 0.16 + out * reach * F.cos(a)).alias("lon"), (55.55 + F.expr("n_nationkey div 5") * 0.1 + out * reach * F.sin(a)).alias("lat"))
+        return F.transform(F.sequence(F.lit(0), F.lit(n)), vertex)
+    return t.nation.select(k.alias("district_id"), F.lit(2).alias("level"), F.array(F.array(closed(24, 0.4), closed(4, 0.2))).alias("outline"))
+
+
+@query("district_by_outline", """
+    SELECT id, district_id FROM (SELECT l.id, e.district_id, count(*) AS n FROM listings l JOIN star_edges e ON (y1 > l.lat) <> (y2 > l.lat) AND l.lon < (x2 - x1) * (l.lat - y1) / (y2 - y1) + x1
+        GROUP BY 1, 2) WHERE n % 2 = 1""")
+def _(t):
+    """Every zone a listing lies in: stars overlap, so it may be several."""
+    return geo.polygon_matches(t.listings, stars(t)).select("id", "district_id")
 
 
 @query("zone_centroids", "SELECT district_id, round(lat, 6) AS lat, round(lon, 6) AS lon FROM zone_centres")
