@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthmark.operators.skew import asof_last
+from hearthmark.operators.skew import not_above
+
+
+# Rates that every row searches in a list; a larger table is joined.
+MOST_RATES = 4_096
 
 
 @dataclass(frozen=True)
@@ -192,12 +196,45 @@ def invest_rejects(result: DataFrame) -> DataFrame:
     return result.where("reject_reason IS NOT NULL")
 
 
-def with_key_rate(df: DataFrame, rates: DataFrame, at: str = "at") -> DataFrame:
-    """Key rate in force at each row's instant; ``rates``: valid_from, key_rate."""
-    one = F.lit(0).alias("_one")
-    r = rates.select(one, "valid_from", "key_rate")
-    out = asof_last(df.select("*", one), r, ["_one"], at, "valid_from", "key_rate", name="key_rate")
-    return out.drop("_one")
+def _instants(rates: DataFrame) -> DataFrame:
+    """One row per instant; of several rates the highest holds."""
+    return rates.where("valid_from IS NOT NULL").groupBy("valid_from").agg(F.max("key_rate").alias("key_rate"))
+
+
+def rate_intervals(rates: DataFrame) -> DataFrame:
+    """valid_from, valid_to, key_rate: when each rate is in force, open at the end."""
+    by_year = _instants(rates).withColumn("_y", F.year("valid_from"))
+    # the next instant of the year, or the first one of a later year; there are no more of these than years
+    firsts = by_year.groupBy("_y").agg(F.min("valid_from").alias("_f")).agg(F.collect_list("_f"))
+    nxt = F.lead("valid_from").over(Window.partitionBy("_y").orderBy("valid_from"))
+    held = by_year.withColumns({"_next": nxt, "_firsts": firsts.scalar()})
+    later = F.array_min(F.filter("_firsts", lambda f: F.year(f) > F.col("_y")))
+    return held.select("valid_from", F.coalesce("_next", later).alias("valid_to"), "key_rate")
+
+
+def with_key_rate(df: DataFrame, rates: DataFrame, at: str = "at", most: int = MOST_RATES) -> DataFrame:
+    """Key rate in force at each row's instant; ``rates``: valid_from, key_rate. NULL before the first.
+
+    A table of at most ``most`` rates (they are counted) becomes a sorted list that every row searches by halving: no join
+    and no shuffle. A larger one is joined as intervals, cut at month borders to meet the rows by month.
+    """
+    found = _instants(rates).limit(most + 1).collect()
+    if len(found) <= most:
+        found = sorted((r.valid_from, r.key_rate) for r in found)
+        kind = rates.schema["key_rate"].dataType
+        if not found:
+            return df.withColumn("key_rate", F.lit(None).cast(kind))
+        instants, values = F.array(*[F.lit(v) for v, _ in found]), F.array(*[F.lit(k).cast(kind) for _, k in found])
+        # NULL instants have no rate
+        place = F.when(F.col(at).isNotNull(), not_above(instants, len(found), F.col(at).cast(rates.schema["valid_from"].dataType)))
+        return df.withColumn("key_rate", F.get(values, place - 1))
+    month = F.date_trunc("month", F.col(at))
+    span = df.agg(F.max(at).alias("last")).collect()[0]["last"]
+    held = rate_intervals(rates).where(F.col("valid_from") <= F.lit(span)).withColumn("_to", F.least(F.coalesce("valid_to", F.lit(span)), F.lit(span)))
+    months = F.sequence(F.date_trunc("month", "valid_from"), F.date_trunc("month", "_to"), F.expr("INTERVAL 1 MONTH"))
+    held = held.select("valid_from", "valid_to", "key_rate", F.explode(months).alias("_month"))
+    inside = (F.col(at) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
+    return df.join(held, (month == F.col("_month")) & inside, "left").drop("valid_from", "valid_to", "_month")
 
 
 def interest_price_simple(psm: Column, area: Column, bargain_discount: float = 0.07, target: float = 0.12) -> Column:

@@ -149,3 +149,12 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     cols = [F.array(*qs).alias(array)] if array else [q.alias(n) for q, n in zip(qs, names)]
     out_keys = [] if const else keys
     return found.select(*out_keys, F.col("_total").alias("n"), *cols)
+
+
+def not_above(ordered: Column, n: int, value: Column) -> Column:
+    """How many of the ``n`` entries of an ascending array are not above the value: a search in halving steps."""
+    steps = [1 << k for k in range(max(n, 1).bit_length() - 1, -1, -1)]
+
+    def step(at: Column, by: Column) -> Column:
+        return F.when((at + by <= n) & (F.get(ordered, at + by - 1) <= value), at + by).otherwise(at)
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), step)
