@@ -16,7 +16,7 @@ from hearthmark.session import cut_lineage, shared_folder
 BLANKS = "[\\x20\\x09-\\x0D]"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-__all__ = ["BLANKS", "WORD", "count_words", "cut_lineage", "fresh_folder", "kept_rows", "map_batches", "split_words", "table", "text_or_empty"]
+__all__ = ["BLANKS", "WORD", "count_words", "cut_lineage", "fresh_folder", "kept_once", "kept_rows", "map_batches", "split_words", "table", "text_mark", "text_or_empty"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,3 +64,24 @@ def kept_rows(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose doc_id is among ``ids``, all columns as they are; a null id matches a null id."""
     wanted = ids.select(F.col("doc_id").alias("__kept_id"))
     return docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["__kept_id"]), "left_semi")
+
+
+def text_mark(text: str | Column = "text") -> Column:
+    """Tells rows of one id apart that hold different texts."""
+    return F.xxhash64(text_or_empty(text))
+
+
+def kept_once(docs: DataFrame, winners: DataFrame) -> DataFrame:
+    """One row of ``docs`` for each of ``winners`` (doc_id, mark, copies), all columns as they are; a null id matches a null id.
+
+    ``winners``: written, no repeats; ``copies`` tells how many rows have that id and mark. Only those rows are reduced that
+    repeat both, and on the map side first.
+    """
+    w = winners.select(F.col("doc_id").alias("__kept_id"), F.col("mark").alias("__kept_mark"), F.col("copies").alias("__copies"))
+
+    def hits(only: DataFrame, how: str) -> DataFrame:
+        return docs.join(only, docs["doc_id"].eqNullSafe(only["__kept_id"]) & (text_mark(docs["text"]) == only["__kept_mark"]), how)
+    if w.where("__copies > 1").isEmpty():
+        return hits(w, "left_semi")
+    repeated = hits(w.where("__copies > 1"), "inner").dropDuplicates(["__kept_id", "__kept_mark"]).select(*[docs[c] for c in docs.columns])
+    return hits(w.where("__copies = 1"), "left_semi").union(repeated)

@@ -12,14 +12,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthmark.llm.common import BLANKS, cut_lineage, kept_rows, text_or_empty
+from hearthmark.llm.common import BLANKS, cut_lineage, kept_once, text_mark, text_or_empty
 
 BUCKET_KEYS = 20_000   # keys of a bucket on average; digests are even, so this bounds the memory of a task
 LOAD = 2               # bits per key of a level
 MAX_LEVELS = 64
+TURNS = 1_024           # parts of a group of copies
 
 
 # --- the hash of one bucket (numpy only) ---
@@ -76,8 +77,8 @@ def normal_text(text: str | Column) -> Column:
 
 
 def digested(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (32 bytes) of the text without blanks, n (code points of the original)."""
-    return docs.select("doc_id", F.unhex(F.sha2(normal_text("text"), 256)).alias("digest"), F.char_length(text_or_empty("text")).alias("n"))
+    """doc_id, digest (32 bytes) of the text without blanks, n (code points of the original), mark (of the original)."""
+    return docs.select("doc_id", F.unhex(F.sha2(normal_text("text"), 256)).alias("digest"), F.char_length(text_or_empty("text")).alias("n"), text_mark().alias("mark"))
 
 
 GROUP = "digest binary, keep_id long, n int, size long"
@@ -147,7 +148,7 @@ def decided(history: DataFrame, batch: DataFrame) -> DataFrame:
     """
     old = cut_lineage(groups(history))
     new = groups(batch)
-    buckets = bucket_count(old.sparkSession, old.count())
+    buckets = bucket_count(old.sparkSession, max(old.count(), batch.count()))
     found = lookup(new, index(old, buckets), buckets)
     own = F.struct((-F.col("n")).alias("n"), F.col("keep_id").isNotNull().alias("known"), F.col("keep_id").alias("id"))
     theirs = F.struct((-F.col("old_n")).alias("n"), F.col("old_id").isNotNull().alias("known"), F.col("old_id").alias("id"))
@@ -159,32 +160,41 @@ def decided(history: DataFrame, batch: DataFrame) -> DataFrame:
     return both.groupBy("digest").agg(last).select("digest", "g.keep_id", "g.size")
 
 
-def classes(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
-    """Per document: doc_id, keep_id, group_size, kept, text_sha256. The first ``history_share`` of the id range is the history.
-
-    Texts are equal when they are so without blanks (null: empty). The longest original stays, then the smallest id; a
-    null id comes before all others. Rows that share the id of the row that stays are kept with it. Empty table: no rows.
-    """
+def _judged(docs: DataFrame, history_share: float) -> DataFrame:
+    """doc_id, digest, mark, keep_id, size, mine (the row has the id that stays), turn (its part of the group), kept."""
     rows = cut_lineage(digested(docs))
     span = rows.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
     border = 0 if span.lo is None else int(span.lo + (span.hi - span.lo + 1) * history_share)
     early = F.coalesce(F.col("doc_id") < border, F.lit(False))
     # written first: as a plain scan its side of the join is dealt out anew, and the planner can split a crowded digest
     answer = cut_lineage(decided(rows.where(early), rows.where(~early))).withColumnRenamed("digest", "of")
-    out = rows.join(answer, F.col("digest") == F.col("of"))
-    return out.select("doc_id", "keep_id", F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-                      F.lower(F.hex("digest")).alias("text_sha256"))
+    out = rows.join(answer, F.col("digest") == F.col("of")).withColumn("mine", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    # the rows of the id that stays are few and meet in one turn; a crowd of others is dealt out over many
+    out = out.withColumn("turn", F.when(F.col("mine"), -1).otherwise(F.pmod(F.xxhash64("doc_id", "mark"), F.lit(TURNS))))
+    nth = F.row_number().over(Window.partitionBy("digest", "turn").orderBy(F.desc("n"), F.asc("mark")))
+    return out.withColumn("kept", F.col("mine") & (nth == 1))
+
+
+def classes(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
+    """Per document: doc_id, keep_id, group_size, kept, text_sha256. The first ``history_share`` of the id range is the history.
+
+    Texts are equal when they are so without blanks (null: empty). The longest original stays, then the smallest id; a
+    null id comes before all others. Of rows that share the id of the row that stays one is kept, the longest. Very long
+    texts are hashed whole by the engine. Empty table: no rows.
+    """
+    return _judged(docs, history_share).select("doc_id", "keep_id", F.col("size").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_repeats(docs: DataFrame, history_share: float = 0.5) -> DataFrame:
-    """The documents that stay, with the columns they came with; rows that share the id of the one that stays, stay with it."""
-    winners = classes(docs, history_share).where("kept").select("doc_id").distinct()
-    return kept_rows(docs, winners)
+    """One document of each group, with the columns it came with, also where ids repeat."""
+    copies = F.count("*").over(Window.partitionBy("digest", "turn", "mark"))
+    winners = _judged(docs, history_share).withColumn("copies", copies).where("kept").select("doc_id", "mark", "copies")
+    return kept_once(docs, cut_lineage(winners))
 
 
 def oracle_sql() -> str:
     return f"""
     WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '{BLANKS}+', '', 'g')) AS text_sha256 FROM documents),
-    g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size
+    g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS nth, count(*) OVER (PARTITION BY text_sha256) AS group_size
           FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
-    SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM g"""
+    SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM g"""

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import test_shingles
 from compare import compare, duck
 from pyspark.sql import functions as F
 from test_units import PAGE, plain_base, plain_fingerprint
@@ -164,12 +165,13 @@ def test_token_files(spark, docs, none):
     assert token_files.round_trip(none, BYTE_BPE).collect() == []
 
 
-def test_exact_dedup(docs, none):
+def test_exact_dedup(spark, docs, none):
     got = [r for r in exact_dedup.classes(docs).collect()]
     assert len(got) == len(ROWS)
     by = {r.doc_id: r for r in got}
     assert by[1].keep_id == by[12].keep_id == by[9].keep_id == 9 and by[1].group_size == 4 and not by[1].kept
     assert by[4].keep_id == by[2].keep_id == by[3].keep_id == 4   # the longest original of the empty ones
+    assert sum(r.kept for r in got) == len({r.text_sha256 for r in got})
     for share in (0.0, 1.0):
         assert sorted(map(str, exact_dedup.classes(docs, share).collect())) == sorted(map(str, got))
     out = exact_dedup.drop_repeats(docs)
@@ -177,6 +179,14 @@ def test_exact_dedup(docs, none):
     assert exact_dedup.classes(none).collect() == [] and exact_dedup.drop_repeats(none).collect() == []
 
 
+def test_exact_dedup_where_ids_repeat(spark):
+    rows = [(1, "long text"), (1, "other"), (2, "other  "), (3, "x"), (3, "x"), (None, "n"), (None, "n "), (None, None), (4, "x")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    left = exact_dedup.drop_repeats(table).collect()
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == [("1", "long text"), ("2", "other  "), ("3", "x"), ("None", ""), ("None", "n ")]
+    assert sorted((str(r.doc_id), r.kept) for r in exact_dedup.classes(table).collect() if r.doc_id in (3, 4)) == [("3", False), ("3", True), ("4", False)]
+
+
 def test_pii(spark, docs, none):
     rows = table(spark)
     got = {r.doc_id: r for r in QUERIES["op8_pii"](spark, SF).collect()}
@@ -219,8 +229,9 @@ def plain_pipeline(spark):
         key = re.sub(BLANK, "", r["text"])
         best[key] = min(best.get(key, (0, 1 << 60)), (-len(r["text"]), r["doc_id"]))
     rows = [r for r in rows if best[re.sub(BLANK, "", r["text"])][1] == r["doc_id"]]
-    comp = plain_components(rows)
-    rows = [r for r in rows if comp[r["doc_id"]][1] == r["doc_id"]]
+    texts = [(r["doc_id"], r["text"]) for r in rows]
+    comp = test_shingles.plain_components([i for i, _ in texts], test_shingles.plain_links(texts))
+    rows = [r for r in rows if comp[r["doc_id"]] == r["doc_id"]]
     frame = spark.createDataFrame([(r["doc_id"], r["text"], r["source"]) for r in rows], "doc_id long, text string, source string")
     taken = {r.doc_id: r.taken // max(1, r["size"]) for r in mixing.mix(frame).collect()}
     return sorted(r["doc_id"] for r in rows for _ in range(taken[r["doc_id"]]))
@@ -239,4 +250,4 @@ def test_pipeline(spark, docs, none):
 
 def test_entry_has_one_query_for_each_operator():
     names = list(__spark_entry__.queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
