@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthmark.operators.latest import with_latest_price
 from hearthmark.operators.market import ts
-from hearthmark.operators.nearest import Box, nearest
+from hearthmark.operators.nearest import HAIR, LAST_CLASS, NO_LANE, Box, nearest
 
 SUBJECT = ["subject_id", "lat", "lon", "area_total", "rooms", "floor", "total_floors", "building_type", "building_year", "exclude_id"]
 
@@ -60,8 +60,14 @@ def find_candidates(subjects: DataFrame, points: DataFrame, rules: CompRules = C
         return (r.isNull() | (cls == r) | ((cls == r + 1) & (hi <= a + slack))
                 | ((cls >= 0) & (cls == r - 1) & (lo >= a - slack)))
 
+    # lanes are room counts, the last one for all beyond; a subject without a count looks into all
+    top = LAST_CLASS + 1
+    lane = F.when(F.col("rooms") < 0, NO_LANE).otherwise(F.least(F.col("rooms").cast("int"), F.lit(top)))
+    every = F.array(*[F.lit(k) for k in range(NO_LANE, top + 1)])
+    near = F.array_distinct(F.transform(F.array(r - 1, r, r + 1), lambda k: F.when(k < 0, NO_LANE).otherwise(F.least(k.cast("int"), F.lit(top)))))
     subjects = subjects.where(_known(F.col("lat")) & _known(F.col("lon")))
-    return nearest(subjects, points, 3 * rules.k, rooms_ok & not_self, sure, ["rooms", "area_total"], rules.box, F.col("rooms"))
+    return nearest(subjects, points, 3 * rules.k, rooms_ok & not_self, sure, ["rooms", "area_total"], rules.box, F.col("rooms"),
+                   lane=lane, lanes=F.when(r.isNull(), every).otherwise(near))
 
 
 def same_class() -> Column:
@@ -161,13 +167,20 @@ def deal_points(deals: DataFrame, as_of: str, rules: CompRules = CompRules()) ->
                      F.col("deal_price").alias("price"), "deal_date", "street")
 
 
+# Deals of like area: steps of the logarithm, of which a subject's span meets one or two.
+DEAL_LANE = 0.42
+
+
 def deal_candidates(subjects: DataFrame, points: DataFrame, rules: CompRules = CompRules()) -> DataFrame:
     """The 3k nearest deals of similar area."""
     a, ca, share = F.col("area_total"), F.col("c_area_total"), rules.deal_area_share
     fits = ca.between(a * (1 - share), a * (1 + share))
     subjects = subjects.where(_known(F.col("lat")) & _known(F.col("lon")))
+    def lane(area: Column) -> Column:
+        return F.floor(F.log(area) / DEAL_LANE).cast("int")
+    lanes = F.when(a > 0, F.sequence(lane(a * (1 - share) * (1 - HAIR)), lane(a * (1 + share) * (1 + HAIR)))).otherwise(F.array().cast("array<int>"))
     return nearest(subjects, points, 3 * rules.k, fits, lambda cls, lo, hi: (lo >= a * (1 - share)) & (hi <= a * (1 + share)),
-                   ["area_total"], rules.box)
+                   ["area_total"], rules.box, lane=lane(F.col("area_total")), lanes=lanes)
 
 
 def deal_class_filter(candidates: DataFrame, rules: CompRules = CompRules()) -> DataFrame:

@@ -1,9 +1,10 @@
 """Nearest eligible points for a whole table of subjects, without a spatial index.
 
-Points are keyed by grid cells of several sizes.  A dense neighbourhood is searched in
-small cells, a sparse one in the largest cells, whose 3 x 3 block covers the search box.
-Which size is enough follows from counts alone, so the result is the exact nearest-n and
-the pairs looked at per subject stay near a multiple of n however crowded a place is.
+Points are keyed by grid cells of several sizes and by a lane (their rooms, or a step of area), so that a subject meets only
+those of the lanes that may suit it. A dense neighbourhood is searched in small cells, a sparse one in the largest cells,
+whose 3 x 3 block covers the search box. Which size is enough follows from counts alone, so the result is the exact
+nearest-n, and the pairs looked at per subject stay near a multiple of n however crowded a place is, or are all that the
+lanes hold where eligible points are rare.
 """
 
 from __future__ import annotations
@@ -32,10 +33,13 @@ SEARCH_LEVELS = (0, 2, 4, 6, 8)
 SHAPE_BOUNDS = (0.6, 1.7)
 # Close to the date line neighbours may lie across it: search the whole box there, on both sides.
 DATE_LINE = 175.0
-# For nearest points at any distance: the whole globe as the box, and cells of at most about two
-# degrees, where distances are still as good as flat.
-GLOBE, GLOBE_LEVELS = Box(260.0, 364.0), (0, 7, 9, 11, 13)
-AREA_BIN, AREA_BINS, CLASSES = 5.0, 64, 11
+# Areas are counted in steps of a tenth, the last of them open; larger classes than the last share one.
+AREA_STEP, LAST_STEP, LAST_CLASS = 0.0953, 120, 10
+NO_AREA, OTHER_CLASS, NO_LANE = -1, LAST_CLASS + 1, -1
+# Borders of steps are not exact in floating point.
+HAIR = 1e-9
+
+Condition = Callable[[Column, Column, Column], Column]
 
 
 def _size(extent: float, level: int | Column) -> Column:
@@ -55,39 +59,35 @@ def collapse_piles(points: DataFrame, attrs: Sequence[str], keep: int, key: str
     return points.withColumn("_pile", F.row_number().over(w)).where(F.col("_pile") <= keep).drop("_pile")
 
 
-def _counted(levels: Sequence[int]) -> Column:
-    return F.array(*[F.lit(j + 2) for j in levels if j > 0])
+def _area_step(area: Column) -> Column:
+    step = F.when(area > 1.0, F.least(F.floor(F.log(area) / AREA_STEP), F.lit(LAST_STEP))).when(area.isNotNull(), F.lit(0))
+    return F.coalesce(step, F.lit(NO_AREA)).cast("int")
+
+
+def _meets(condition: Condition, e: Column) -> Column:
+    """``condition`` of a histogram entry: its class (null if it shares the last one) and the areas it reaches from and to."""
+    return F.coalesce(condition(F.when(e["_r"] != OTHER_CLASS, e["_r"]), e["_lo"], e["_hi"]), F.lit(False))
 
 
 def _block_histograms(points: DataFrame, box: Box, cls: Column, levels: Sequence[int]) -> DataFrame:
-    """Per (level, cell): how many points of each (class, area bin) the 3 x 3 block holds."""
-    area = F.col("area_total") if "area_total" in points.columns else F.lit(0.0)
-    p = points.select("lat", "lon", F.coalesce(cls.cast("int"), F.lit(-1)).alias("_r"), F.floor(area / AREA_BIN).cast("int").alias("_b"))
-    p = p.where(F.col("_r").between(-1, CLASSES - 1) & F.col("_b").between(0, AREA_BINS - 1))
-    own = (p.withColumn("level", F.explode(_counted(levels))).select("level", "_r", "_b", *_cells(box, F.col("level"), "lat", "lon"))
+    """Per (level, cell): how many points of each class and area step the 3 x 3 block holds."""
+    area = F.col("area_total") if "area_total" in points.columns else F.lit(None)
+    kind = F.coalesce(cls.cast("int"), F.lit(-1))
+    p = points.select("lat", "lon", F.when(kind > LAST_CLASS, OTHER_CLASS).otherwise(kind).alias("_r"), _area_step(area).alias("_b"))
+    counted = F.array(*[F.lit(j + 2) for j in levels if j > 0])
+    own = (p.withColumn("level", F.explode(counted)).select("level", "_r", "_b", *_cells(box, F.col("level"), "lat", "lon"))
            .groupBy("level", "cy", "cx", "_r", "_b").agg(F.count(F.lit(1)).alias("_n")))
     near = (own.withColumn("_c", F.explode(block(F.col("cy"), F.col("cx"))))
             .groupBy("level", F.col("_c.cy").alias("cy"), F.col("_c.cx").alias("cx"), "_r", "_b").agg(F.sum("_n").alias("_n")))
-    # at most (CLASSES + 1) * AREA_BINS entries per cell
-    return near.groupBy("level", "cy", "cx").agg(F.collect_list(F.struct("_r", "_b", "_n")).alias("_hist"))
-
+    lo = F.when(F.col("_b") == 0, F.lit(float("-inf"))).when(F.col("_b") > 0, F.exp(F.col("_b") * AREA_STEP) * (1 - HAIR))
+    hi = F.when(F.col("_b") == LAST_STEP, F.lit(float("inf"))).when(F.col("_b") >= 0, F.exp((F.col("_b") + 1) * AREA_STEP) * (1 + HAIR))
+    # at most (LAST_CLASS + 3) * (LAST_STEP + 2) entries per cell
+    return near.groupBy("level", "cy", "cx").agg(F.collect_list(F.struct("_r", lo.alias("_lo"), hi.alias("_hi"), "_n")).alias("_hist"))
 
-def nearest(subjects: DataFrame, points: DataFrame, n: int, eligible: Column,
-            sure: Callable[[Column, Column, Column], Column], attrs: Sequence[str], box: Box = Box(),
-            cls: Column | None = None, levels: Sequence[int] = SEARCH_LEVELS, round_box: bool = False) -> DataFrame:
-    """The ``n`` nearest eligible points per subject inside the box, by (distance, id).
-
-    With ``round_box`` the box must hold a circle of radius ``box.lat`` degrees: its width follows the latitude of the
-    subject, up to the whole parallel. Longitudes are compared the short way round, so boxes reach over the date line.
 
-    subjects: subject_id, lat, lon, ...; points: id, lat, lon, [area_total], ....
-    ``cls``: small integer class of a point (0..10), e.g. its room count.
-    ``eligible``: condition over subject columns and point columns prefixed ``c_``; besides
-    subject values it may use only ``c_id`` inequality and the point columns in ``attrs``.
-    ``sure(class, lo, hi)``: true only if every point of that class (-1 = none) with an area
-    in [lo, hi) is eligible for the subject; it merely picks the cell size.
-    Point columns come out prefixed ``c_``, with ``distance_km`` and ``rank``.
-    """
+def candidate_pairs(subjects: DataFrame, points: DataFrame, n: int, sure: Condition, attrs: Sequence[str], box: Box, cls: Column | None,
+                    levels: Sequence[int], round_box: bool, lane: Column | None, lanes: Column | None) -> DataFrame:
+    """The pairs that ``nearest`` looks at."""
     need = n + 1  # one spare: the subject itself may be excluded
     pts = collapse_piles(points, attrs, need)
     s = subjects.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -101,33 +101,47 @@ def nearest(subjects: DataFrame, points: DataFrame, n: int, eligible: Column,
     hist = _block_histograms(pts, box, F.lit(-1) if cls is None else cls, levels).withColumnRenamed("level", "_lv")
     shape = F.cos(F.radians("lat")) * (box.lon / box.lat)
     plain = shape.between(*SHAPE_BOUNDS) & (F.abs("lon") <= DATE_LINE)
-    look = s.where(plain).withColumn("_lv", F.explode(_counted(levels)))
+    look = s.where(plain).withColumn("_lv", F.explode(F.array(*[F.lit(j + 2) for j in levels if j > 0])))
     look = look.select("*", *_cells(box, F.col("_lv"), "lat", "lon")).join(hist, ["_lv", "cy", "cx"])
-    lo = lambda e: e["_b"] * AREA_BIN
-    fits = F.aggregate(F.filter("_hist", lambda e: F.coalesce(sure(e["_r"], lo(e), lo(e) + AREA_BIN), F.lit(False))),
-                       F.lit(0).cast("long"), lambda acc, e: acc + e["_n"])
-    best = (look.where(fits >= need).groupBy("subject_id").agg((F.max("_lv") - 2).alias("_level")))
+    fits = F.aggregate(F.filter("_hist", lambda e: _meets(sure, e)), F.lit(0).cast("long"), lambda acc, e: acc + e["_n"])
+    best = look.where(fits >= need).groupBy("subject_id").agg((F.max("_lv") - 2).alias("_level"))
     placed = s.join(best, "subject_id", "left").withColumn("_level", F.coalesce("_level", F.lit(0)))
     # a box over the date line is asked for on both sides; only searches of the whole box are that close to it
-    if box.lon < 180.0:
-        over = F.abs("lon") + F.col("_reach") > 180.0
-        placed = placed.withColumn("_at", F.explode(F.when(over, F.array(F.col("lon"), F.col("lon") - F.signum("lon") * 360.0)).otherwise(F.array("lon"))))
-    else:
-        placed = placed.withColumn("_at", F.col("lon"))
+    over = F.abs("lon") + F.col("_reach") > 180.0
+    placed = placed.withColumn("_at", F.explode(F.when(over, F.array(F.col("lon"), F.col("lon") - F.signum("lon") * 360.0)).otherwise(F.array("lon"))))
     # at level 0 a round box may be several cells wide
     step = F.when(F.col("_level") == 0, F.greatest(F.ceil(F.col("_reach") / _size(box.lon, 0)), F.lit(1))).otherwise(F.lit(1)).cast("long")
     asked = (placed.select("*", *_cells(box, F.col("_level"), "lat", "_at"))
              .withColumn("cy", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)))
-             .withColumn("cx", F.explode(F.sequence(F.col("cx") - step, F.col("cx") + step))))
-
-    c = pts.select(*[F.col(x).alias(f"c_{x}") for x in pts.columns])
-    c = c.withColumn("_level", F.explode(F.array(*[F.lit(j) for j in levels])))
+             .withColumn("cx", F.explode(F.sequence(F.col("cx") - step, F.col("cx") + step)))
+             .withColumn("_lane", F.explode(F.array(F.lit(0)) if lanes is None else lanes)))
+    c = pts.withColumn("_lane", F.lit(0) if lane is None else F.coalesce(lane.cast("int"), F.lit(NO_LANE)))
+    c = c.select("_lane", *[F.col(x).alias(f"c_{x}") for x in pts.columns]).withColumn("_level", F.explode(F.array(*[F.lit(j) for j in levels])))
     c = c.select("*", *_cells(box, F.col("_level"), "c_lat", "c_lon"))
-    pairs = asked.join(c, ["_level", "cy", "cx"]).where(
-        (F.abs(F.col("c_lat") - F.col("lat")) <= box.lat) & (F.abs(F.col("c_lon") - F.col("_at")) <= F.col("_reach"))
-        & (F.col("c_lon") - F.col("_at") > -180.0) & eligible if box.lon < 180.0 else
-        (F.abs(F.col("c_lat") - F.col("lat")) <= box.lat) & (F.abs(F.col("c_lon") - F.col("lon")) <= box.lon) & eligible)
-    pairs = pairs.drop("_level", "cy", "cx", "_at", "_reach").withColumn(
-        "distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")))
+    return asked.join(c, ["_level", "cy", "cx", "_lane"]).drop("_level", "cy", "cx", "_lane")
+
+
+def nearest(subjects: DataFrame, points: DataFrame, n: int, eligible: Column, sure: Condition, attrs: Sequence[str], box: Box = Box(),
+            cls: Column | None = None, levels: Sequence[int] = SEARCH_LEVELS, round_box: bool = False, lane: Column | None = None,
+            lanes: Column | None = None) -> DataFrame:
+    """The ``n`` nearest eligible points per subject inside the box, by (distance, id).
+
+    With ``round_box`` the box must hold a circle of radius ``box.lat`` degrees: its width follows the latitude of the
+    subject, up to the whole parallel. Longitudes are compared the short way round, so boxes reach over the date line.
+
+    subjects: subject_id, lat, lon, ...; points: id, lat, lon, [area_total], ....
+    ``cls``: small integer class of a point, e.g. its room count.
+    ``eligible``: condition over subject columns and point columns prefixed ``c_``; besides
+    subject values it may use only ``c_id`` inequality and the point columns in ``attrs``.
+    ``sure(class, lo, hi)``: true only if every point of that class (-1 = none) with an area in [lo, hi) is eligible for the
+    subject; it merely picks the cell size. It gets NULL for a class beyond the last and for a missing area.
+    ``lane``: whole number of a point (NULL counts as NO_LANE); ``lanes``: array of all those that may hold eligible points for
+    a subject, without repeats.
+    Point columns come out prefixed ``c_``, with ``distance_km`` and ``rank``.
+    """
+    pairs = candidate_pairs(subjects, points, n, sure, attrs, box, cls, levels, round_box, lane, lanes)
+    pairs = pairs.where((F.abs(F.col("c_lat") - F.col("lat")) <= box.lat) & (F.abs(F.col("c_lon") - F.col("_at")) <= F.col("_reach"))
+                        & (F.col("c_lon") - F.col("_at") > -180.0) & eligible).drop("_at", "_reach")
+    pairs = pairs.withColumn("distance_km", haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")))
     w = Window.partitionBy("subject_id").orderBy("distance_km", "c_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hearthmark.operators import geography as geo
 from hearthmark.operators import skew
-from hearthmark.operators.nearest import GLOBE, GLOBE_LEVELS, SEARCH_LEVELS, Box, nearest
+from hearthmark.operators.nearest import SEARCH_LEVELS, Box, candidate_pairs, nearest
 
 
 @pytest.fixture(scope="module")
@@ -72,13 +72,21 @@ def places(spark, n, seed, pile):
     return spark.range(n).select("id", lat.alias("lat"), lon.alias("lon"), (20 + h % 90).cast("double").alias("area_total"), (g % 4).cast("int").alias("rooms"))
 
 
-@pytest.mark.parametrize("box,levels", [(Box(), SEARCH_LEVELS), (GLOBE, GLOBE_LEVELS)])
-def test_nearest_is_exact(spark, box, levels):
-    pts = places(spark, 3000, 1, 2).cache()
-    subj = places(spark, 200, 99, 1).withColumnRenamed("id", "subject_id").cache()
+def rooms_rule():
     ok = (F.col("c_rooms") == F.col("rooms")) | ((F.col("c_rooms") == F.col("rooms") + 1) & (F.col("c_area_total") <= F.col("area_total") + 10))
     sure = lambda c, lo, hi: (c == F.col("rooms")) | ((c == F.col("rooms") + 1) & (hi <= F.col("area_total") + 10))
-    got = nearest(subj, pts, 9, ok, sure, ["rooms", "area_total"], box, F.col("rooms"), levels).select("subject_id", "c_id", "rank")
+    return ok, sure
+
+
+@pytest.mark.parametrize("by_lane", [True, False])
+def test_nearest_is_exact(spark, by_lane):
+    box = Box()
+    pts = places(spark, 3000, 1, 2).withColumn("rooms", F.when(F.col("id") % 40 == 0, 30).when(F.col("id") % 41 == 0, None).otherwise(F.col("rooms"))).withColumn(
+        "area_total", F.when(F.col("id") % 50 == 0, 1e6).when(F.col("id") % 60 == 0, 0.5).otherwise(F.col("area_total"))).cache()
+    subj = places(spark, 200, 99, 1).withColumnRenamed("id", "subject_id").withColumn("rooms", F.when(F.col("subject_id") % 20 == 0, 29).otherwise(F.col("rooms"))).cache()
+    ok, sure = rooms_rule()
+    lanes = {"lane": F.col("rooms"), "lanes": F.array(F.col("rooms"), F.col("rooms") + 1)} if by_lane else {}
+    got = nearest(subj, pts, 9, ok, sure, ["rooms", "area_total"], box, F.col("rooms"), **lanes).select("subject_id", "c_id", "rank")
     c = pts.select(*[F.col(x).alias(f"c_{x}") for x in pts.columns])
     d = geo.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon"))
     inside = (F.abs(F.col("c_lat") - F.col("lat")) <= box.lat) & (F.abs(F.col("c_lon") - F.col("lon")) <= box.lon)
@@ -87,14 +95,23 @@ def test_nearest_is_exact(spark, box, levels):
     assert rows(got) == rows(want)
 
 
-def test_nearest_uses_small_cells_where_dense(spark):
-    """A hot core must not be paired with everything in the box."""
-    pts, subj = places(spark, 20000, 1, 2), places(spark, 500, 7, 1).withColumnRenamed("id", "subject_id")
+def test_a_rare_class_in_a_crowded_place_meets_few_points(spark):
+    """12,000 points around one place, a dozen of them with five rooms: five-room subjects meet those alone, not the crowd."""
+    pts = places(spark, 12_000, 1, 0).withColumn("rooms", F.when(F.col("id") % 1000 == 7, 5).otherwise(F.col("rooms"))).withColumn("area_total", F.col("area_total") + F.col("id") % 7 / 10)
+    subj = places(spark, 300, 7, 0).where("lat < 55.78 AND lat > 55.74").withColumnRenamed("id", "subject_id").withColumn(
+        "rooms", F.when(F.col("subject_id") % 3 == 0, 5).otherwise(F.col("rooms"))).cache()
+    pairs = candidate_pairs(subj, pts, 9, rooms_rule()[1], ["rooms", "area_total"], Box(), F.col("rooms"), SEARCH_LEVELS, False,
+                            F.col("rooms"), F.array(F.col("rooms"), F.col("rooms") + 1))
+    per = pairs.groupBy("subject_id", "rooms").count().groupBy("rooms").agg(F.max("count").alias("most"), F.avg("count").alias("mean")).collect()
+    # some subjects lie just outside of the crowd
+    assert subj.count() > 100 and {r.rooms: r.most for r in per}[5] <= 12 and max(r["mean"] for r in per) < 1_000
+
+
+def test_piles_are_cut(spark):
     from hearthmark.operators import nearest as nn
+    pts, subj = places(spark, 20000, 1, 2), places(spark, 500, 7, 1).withColumnRenamed("id", "subject_id")
     kept = nn.collapse_piles(pts, ["rooms", "area_total"], 10)
     assert kept.where("lat = 55.75 AND lon = 37.61").count() < 4000  # the pile alone held 8000
-    hist = nn._block_histograms(kept, Box(), F.col("rooms"), SEARCH_LEVELS)
-    assert {r.level for r in hist.select("level").distinct().collect()} == {4, 6, 8, 10}
     assert nearest(subj, pts, 9, F.lit(True), lambda c, lo, hi: F.lit(True), [], Box()).groupBy("subject_id").count().where("count > 9").count() == 0
 
 
