@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 DEFAULT = "allow"
-SAMPLE = 16_384      # keys that the cut points are taken from
+SAMPLE = 16_384      # keys, on average, that the cut points are taken from
 RANGES_PER_PARTITION = 2
 RULES_SCHEMA = "host string, path string, verdict string"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,8 +53,10 @@ def reversed_host(host: Column) -> Column:
 
 
 def cut_points(keys: DataFrame, ranges: int, sample: int = SAMPLE) -> list[str]:
-    """Sorted keys that part the rows into about ``ranges`` equal ranges; at most ``sample`` keys reach the driver."""
-    drawn = sorted(r.key for r in keys.select("key").orderBy(F.xxhash64("key"), "key").limit(sample).collect())
+    """Sorted keys that part the rows into about ``ranges`` equal ranges; about ``sample`` keys reach the driver, by their hash."""
+    share = sample / max(1, keys.count())
+    some = keys if share >= 1 else keys.where(F.xxhash64("key", F.lit(1)) < int((2 * share - 1) * (1 << 63)))
+    drawn = sorted(r.key for r in some.select("key").collect())
     return sorted({drawn[len(drawn) * k // ranges] for k in range(1, ranges)}) if drawn else []
 
 
