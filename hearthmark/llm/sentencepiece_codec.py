@@ -190,6 +190,8 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
+# Text encoded at a time in a worker: all of its words, and the encodings of those not met before, are held at once.
+SLICE = 1 << 20
 SCHEMA = "doc_id long, token_ids array<int>, n_tokens long, n_byte_tokens long, ids_crc32 long, agrees boolean, round_trip boolean"
 
 
@@ -212,7 +214,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
              pa.array([c.decode(x) == t for x, t in zip(ids, texts)])],
             ["doc_id", "token_ids", "n_tokens", "n_byte_tokens", "ids_crc32", "agrees", "round_trip"])
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    return map_batches(d, run, SCHEMA)
+    return map_batches(d, run, SCHEMA, SLICE)
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -221,4 +223,4 @@ def decoded(tokens: DataFrame, path: str) -> DataFrame:
         c = codec(path)
         texts = [None if x is None else c.decode(np.array(x, np.int64)) for x in batch.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
-    return map_batches(tokens.select("doc_id", "token_ids"), run, "doc_id long, text string")
+    return map_batches(tokens.select("doc_id", "token_ids"), run, "doc_id long, text string", SLICE)
