@@ -8,8 +8,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthmark.functions.address import district_from_address, street_house_key
+from hearthmark.functions.address import district_from_address, lookup_text, street_house_key
 from hearthmark.functions.geo import cell, haversine_km
+from hearthmark.operators.containment import containing
 from hearthmark.operators.cover import cover, holders
 from hearthmark.operators.market import ts
 from hearthmark.operators.nearest import Box, nearest
@@ -257,15 +258,23 @@ def impute_building_info(subjects: DataFrame, listings: DataFrame, rings: tuple[
 
 
 def geocode_local(queries: DataFrame, listings: DataFrame) -> DataFrame:
-    """Coordinates of the latest listing with the same street and house.
+    """Coordinates of the latest listing with the same street and house; without a house number, of the latest listing
+    whose address contains the rest of the text.
 
-    Both sides are reduced to a (street, house) key; the known places are one row per key.
+    Both sides are reduced to a (street, house) key; the known places are one row per key. Texts without a number are looked
+    up by their rarest gram (``containing``), ignoring case. A text of which nothing is left finds no place.
     """
-    known = (listings.where("lat IS NOT NULL AND lon IS NOT NULL").withColumn("_k", street_house_key(F.col("address"))).where("_k IS NOT NULL")
-             .groupBy("_k").agg(F.max_by(F.struct("lat", "lon", "address"), F.struct("last_seen", "id")).alias("_p")))
-    q = queries.withColumn("_k", street_house_key(F.col("address")))
-    return q.join(known, "_k", "left").select(*queries.columns, F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"),
-                                              F.col("_p.address").alias("address_formatted"))
+    places = listings.where("lat IS NOT NULL AND lon IS NOT NULL")
+    latest = F.max_by(F.struct("lat", "lon", "address"), F.struct("last_seen", "id")).alias("_p")
+    known = places.withColumn("_k", street_house_key(F.col("address"))).where("_k IS NOT NULL").groupBy("_k").agg(latest)
+    q = queries.withColumns({"_k": street_house_key(F.col("address")), "_text": lookup_text(F.col("address"))})
+    at_house = q.where("_k IS NOT NULL").join(known, "_k", "left")
+    streets = q.where("_k IS NULL")
+    named = places.withColumn("_low", F.lower("address"))
+    found = containing(streets, named, "_text", "_low").join(named, F.col("text") == F.col("_low")).groupBy("pattern").agg(latest)
+    on_street = streets.join(found, F.col("_text") == F.col("pattern"), "left")
+    return at_house.select(*queries.columns, "_p").unionByName(on_street.select(*queries.columns, "_p")).select(
+        *queries.columns, F.col("_p.lat").alias("lat"), F.col("_p.lon").alias("lon"), F.col("_p.address").alias("address_formatted"))
 
 
 def jitter(key: Column, salt: str, width: float) -> Column:

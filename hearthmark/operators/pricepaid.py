@@ -188,3 +188,25 @@ def query_rollup(rollup: DataFrame, grain: str, cond: Column, area: str = "town"
     for p in probs:
         out = out.withColumn(f"q{round(p * 100)}", F.kll_sketch_get_quantile_double("_s", F.lit(float(p))))
     return out.drop("_s") if probs else out
+
+
+def rank_error(sketch_k: int) -> float:
+    """Share of ranks by which a sketched quantile is off in at most one of a hundred cases."""
+    return 2.446 / sketch_k ** 0.9433
+
+
+def quantile_ranks(df: DataFrame, grain: str, probs: Sequence[float], sketch_k: int = 400) -> DataFrame:
+    """How far the quantiles merged from a rollup are from the true ranks in ``df``, per grain.
+
+    For each probability: the share of rows below the sketched value (``below_p``) and up to it (``upto_p``), and whether the
+    probability lies between them, give or take twice the ``rank_error`` (``ok_p``). One pass over the rows; the
+    quantiles are one row per grain and are joined by size.
+    """
+    sketched = query_rollup(build_rollup(df, grain, sketch_k), grain, F.lit(True), probs=probs)
+    names = {p: str(round(p * 100)) for p in probs}
+    rows = null_safe_join(df.select(GRAINS[grain]().alias(grain), "price"), sketched.select(grain, *[f"q{n}" for n in names.values()]), [grain])
+    share = lambda cond: F.count_if(cond) / F.count("price")
+    ranks = rows.groupBy(grain).agg(F.count("price").alias("n"), *[
+        share(test).alias(name) for n in names.values() for test, name in ((F.col("price") < F.col(f"q{n}"), f"below_{n}"), (F.col("price") <= F.col(f"q{n}"), f"upto_{n}"))])
+    slack = 2 * rank_error(sketch_k)
+    return ranks.withColumns({f"ok_{n}": (F.col(f"below_{n}") <= p + slack) & (F.col(f"upto_{n}") >= p - slack) for p, n in names.items()})

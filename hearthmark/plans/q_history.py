@@ -149,6 +149,14 @@ def _(t):
     return history.history_search(hist(t), "street 7,", 2).select("valuation_id", "created_at", "total")
 
 
+@query("history_of_address", """
+    SELECT valuation_id, estimated_price, created_at, round(estimated_price - lag(estimated_price) OVER (ORDER BY created_at, valuation_id), 2) AS change
+    FROM history WHERE coalesce(address_normalized, address) = 'street 7'""")
+def _(t):
+    v = history.valuations_of_address(hist(t), "street 7")
+    return r(v.select("valuation_id", "estimated_price", "created_at", "change"), 2, "change")
+
+
 @query("listing_detail", """
     SELECT l.id, l.current_price, CAST(coalesce(h.n, 0) AS INT) AS points, h.last_price FROM all_priced l LEFT JOIN (
         SELECT id, count(*) AS n, arg_max(price, seen_at) AS last_price FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seen_at DESC, price DESC) AS rn FROM listing_prices)
@@ -286,6 +294,12 @@ def _(t):
     return r(r(out, 3, "estimated_price_per_sqm", "market_price_per_sqm"), 1, "interest_price")
 
 
+@query("value_properties_all")
+def _(t):
+    # every listing and every column: those without a comparable or an area, the nearby deals, warnings and costs as well
+    return valuation.value_properties(subjects(t), context(t))
+
+
 @query("subjects_from_text", """
     SELECT c_custkey AS subject_id, CAST(c_custkey % 4 + 1 AS INT) AS rooms, 30.5 + c_custkey % 50 AS area_total, CAST(c_custkey % 9 + 1 AS INT) AS floor, CASE WHEN c_custkey % 2 = 0 THEN 17 ELSE 12 END AS total_floors,
            round(k.lat, 6) AS lat, k.house_year AS building_year, k.building_type FROM customer LEFT JOIN (

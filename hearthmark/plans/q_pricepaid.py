@@ -180,3 +180,8 @@ def _(t):
 @query("paid_rollup_quantiles")
 def _(t):
     return pp.query_rollup(pp.build_rollup(t.price_paid, "type"), "type", cond(), "district", [0.25, 0.5, 0.75]).select("type", "q25", "q50", "q75")
+
+
+@query("paid_rollup_quantile_ranks", "SELECT type, count(price) AS n, true AS ok_25, true AS ok_50, true AS ok_75 FROM price_paid GROUP BY type")
+def _(t):
+    return pp.quantile_ranks(t.price_paid, "type", [0.25, 0.5, 0.75]).select("type", "n", "ok_25", "ok_50", "ok_75")

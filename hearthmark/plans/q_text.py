@@ -134,6 +134,45 @@ def _(t):
                                       F.min("id").alias("first_id")).drop("house_key")
 
 
+@query("same_street_groups", "SELECT s, count(*) AS listings, count(DISTINCT h * 10 + b) AS houses, min(id) AS first_id FROM addr_parts GROUP BY s")
+def _(t):
+    p = spelled(t).select("id", adr.parse_address(F.col("clean")).alias("p")).select("id", "p.street_key", "p.house_key")
+    s = F.col("first_id") % 60
+    return p.groupBy("street_key").agg(F.count(F.lit(1)).alias("listings"), F.countDistinct("house_key").alias("houses"), F.min("id").alias("first_id")).select(
+        s.alias("s"), "listings", "houses", "first_id")
+
+
+@query("same_place_flags", """
+    SELECT id, b % 2 = 0 AND h % 3 > 0 AS same_house, h % 3 > 0 AS same_street FROM addr_parts""")
+def _(t):
+    # the other spelling drops the building for odd ones, and names another street for each third house
+    i = F.col("id")
+    n = (i % 90 + 1).cast("string")
+    one = F.concat(F.lit("Москва, улица Кленовая, дом "), n, F.when(i % 4 % 2 == 1, F.lit("К2")).otherwise(F.lit("")))
+    other = F.concat(F.when((i % 90 + 1) % 3 > 0, F.lit("г. Москва, р-н Лефортово, Кленовая ул., ")).otherwise(F.lit("Москва, Осиновая ул., ")), n)
+    a, b = F.col("a"), F.col("b")
+    return t.listings.select("id", one.alias("a"), other.alias("b")).select("id", adr.same_place(a, b).alias("same_house"), adr.same_place(a, b, "street_key").alias("same_street"))
+
+
+@query("address_spellings", f"""
+    SELECT id, CASE id % 4 WHEN 0 THEN 'ЮЗАО' WHEN 1 THEN NULL WHEN 2 THEN 'НАО' ELSE 'ЗелАО' END AS okrug,
+           CASE WHEN id % 4 < 3 THEN concat('Зона', {TR.format('d')}) END AS district,
+           CASE id % 4 WHEN 0 THEN concat('Нижняя Хвойн', {TR.format('s')}, 'ая') WHEN 1 THEN concat('Хвойн', {TR.format('s')}, 'ая') WHEN 3 THEN concat('мкр. ', CAST(s AS VARCHAR)) END AS street,
+           CASE id % 4 WHEN 0 THEN 'ш' WHEN 1 THEN 'ул' END AS street_type, CAST(h AS VARCHAR) AS house,
+           CASE id % 4 WHEN 0 THEN '2' WHEN 3 THEN CAST(h AS VARCHAR) END AS building, CASE id % 4 WHEN 0 THEN '1' END AS structure FROM addr_parts""")
+def _(t):
+    i = F.col("id")
+    st = lambda c: c.cast("string")
+    letters = lambda c: F.translate(st(c), "0123456789", "абвгдежзик")
+    zone, street, house = F.concat(F.lit("Зона"), letters(i % 25)), F.concat(F.lit("Хвойн"), letters(i % 60), F.lit("ая")), st(i % 90 + 1)
+    text = F.when(i % 4 == 0, F.concat(F.lit("Москва, ЮЗАО, р-н "), zone, F.lit(", Нижняя "), street, F.lit(" шоссе, "), house, F.lit("К2С1"))) \
+        .when(i % 4 == 1, F.concat(F.lit("Москва, район "), zone, F.lit(", улица "), street, F.lit(", д. "), house)) \
+        .when(i % 4 == 2, F.concat(F.lit("Москва, НАО (Новомосковский), "), zone, F.lit(" деревня, "), house)) \
+        .otherwise(F.concat(F.lit("Москва, ЗелАО, мкр. "), st(i % 60), F.lit("-й, к"), house))
+    p = t.listings.select("id", text.alias("text")).select("id", adr.parse_address(F.col("text")).alias("p"))
+    return p.select("id", "p.okrug", "p.district", "p.street", "p.street_type", "p.house", "p.building", "p.structure")
+
+
 @query("address_grouping", """
     SELECT CAST(p_partkey % 40 AS INT) AS street, count(*) AS spellings, count(DISTINCT p_partkey % 3) AS forms FROM part GROUP BY 1""")
 def _(t):
@@ -176,7 +215,17 @@ def _(t):
     text = F.when(i % 3 == 0, F.concat(st(i % 5 + 1), F.lit("-комнатная квартира, "), area, F.lit(" м2, "), st(F.col("floor")), F.lit("/"), st(F.col("total_floors")), F.lit(" этаж, "), tail)) \
         .when(i % 3 == 1, F.concat(st(i % 5 + 1), F.lit("-комнатная квартира, "), F.replace(area, F.lit("."), F.lit(",")), F.lit(" кв.м, "), st(F.col("floor")), F.lit("/"), st(F.col("total_floors")), F.lit(" этаж, "), tail)) \
         .otherwise(F.concat(F.lit("Студия "), area, F.lit(" м², "), st(F.col("floor")), F.lit(" этаж, "), tail))
-    return t.listings.select("id", parsing.parse_property_text(text).alias("p")).select("id", "p.*")
+    return t.listings.select("id", text.alias("text")).select("id", parsing.parse_property_text(F.col("text")).alias("p")).select("id", "p.*")
+
+
+@query("title_facts", """
+    SELECT id, CASE WHEN id % 3 < 2 THEN area_total END AS area, CASE WHEN id % 3 <> 2 THEN CAST(id % 5 + 1 AS INT) END AS rooms FROM listings""")
+def _(t):
+    i = F.col("id")
+    area, rooms = F.format_string("%.0f", "area_total"), (i % 5 + 1).cast("string")
+    title = F.when(i % 3 == 0, F.concat(rooms, F.lit("-комнатная квартира, "), area, F.lit(" кв. м"))).when(i % 3 == 1, F.concat(F.lit("Лот: "), rooms, F.lit("к. кв., площадью "), area)) \
+        .otherwise(F.lit("Нежилое помещение"))
+    return t.listings.select("id", title.alias("text")).select("id", parsing.parse_title(F.col("text")).alias("p")).select("id", "p.*")
 
 
 @query("register_texts", """
@@ -188,19 +237,20 @@ def _(t):
     text = F.concat(F.lit("Кадастровый номер: 77:01:"), F.lpad(st(i), 7, "0"), F.lit(":"), st(i % 900 + 1), F.lit("\nАдрес: г Москва, ул Лесная, д "), st(i % 60),
                     F.lit("\nПлощадь, кв.м: "), F.format_string("%.1f", F.col("area_total") + 0.3), F.lit("\nЭтаж: "), st(F.col("floor")), F.lit("\nЭтажность: "), st(F.col("total_floors")),
                     F.lit("\nГод постройки: "), st(F.col("house_year")))
-    return t.listings.select("id", parsing.parse_register_text(text).alias("p")).select("id", "p.*")
+    return t.listings.select("id", text.alias("text")).select("id", parsing.parse_register_text(F.col("text")).alias("p")).select("id", "p.*")
 
 
 @query("offer_texts", """
     SELECT id, CAST(id % 5 + 1 AS INT) AS rooms, area_total AS area, floor, total_floors, house_year AS building_year, CASE id % 2 WHEN 0 THEN 'panel' ELSE 'brick' END AS building_type,
-           CASE WHEN id % 2 = 0 THEN (5 + id % 20) * 1000000.0 ELSE 5000000.0 + id END AS price FROM listings WHERE area_total > 0""")
+           CASE WHEN id % 2 = 0 THEN (5 + id % 20) * 1000000.0 ELSE 5000000.0 + id END AS price FROM listings""")
 def _(t):
     i = F.col("id")
     st = lambda c: c.cast("string")
-    text = F.concat(st(i % 5 + 1), F.lit("-комн. кв. "), F.format_string("%.0f", "area_total"), F.lit(" м², "), st(F.col("floor")), F.lit("/"), st(F.col("total_floors")), F.lit(" этаж, дом "),
+    area = F.coalesce(F.concat(F.format_string("%.0f", "area_total"), F.lit(" м², ")), F.lit(""))
+    text = F.concat(st(i % 5 + 1), F.lit("-комн. кв. "), F.when(F.col("area_total").isNotNull(), area).otherwise(F.lit("")), st(F.col("floor")), F.lit("/"), st(F.col("total_floors")), F.lit(" этаж, дом "),
                     F.when(i % 2 == 0, "панельный").otherwise("кирпичный"), F.lit(", "), st(F.col("house_year")), F.lit(" года, цена "),
                     F.when(i % 2 == 0, F.concat(st(5 + i % 20), F.lit(" млн"))).otherwise(F.concat(st(5000000 + i), F.lit(" руб"))))
-    return t.listings.where("area_total > 0").select("id", parsing.parse_offer_text(text).alias("p")).select("id", "p.rooms", "p.area", "p.floor", "p.total_floors", "p.building_year", "p.building_type", "p.price")
+    return t.listings.select("id", text.alias("text")).select("id", parsing.parse_offer_text(F.col("text")).alias("p")).select("id", "p.rooms", "p.area", "p.floor", "p.total_floors", "p.building_year", "p.building_type", "p.price")
 
 
 @query("number_texts", """
@@ -353,6 +403,66 @@ def _(t):
     return pages.extract_from_html(p).select("offer_id", "rooms", "area_total", "floor", "total_floors", "price", "seller_type")
 
 
+snippet("card_rows", f"""
+    SELECT id AS offer_id, id // 7 AS page, CASE WHEN id % 2 = 0 THEN concat('https://example.test/sale/flat/', CAST(id AS VARCHAR), '/') ELSE concat('https://site.test/sale/flat/', CAST(id AS VARCHAR), '/') END AS offer_url,
+           CAST(CASE WHEN id % 6 = 0 THEN 0 ELSE id % 6 END AS INT) AS rooms, CASE WHEN id % 2 = 0 THEN (3 + id % 9) * 1000000.0 + 500000 ELSE 4000000.0 + id END AS price,
+           CASE WHEN id % 5 < 4 THEN {CLEAN} END AS address, CASE id % 11 WHEN 0 THEN 'apartment' WHEN 1 THEN 'share' END AS property_type,
+           CASE WHEN id % 13 = 0 OR id % 13 = 1 THEN 'newbuilding' END AS building_status, 'Агентство' AS seller_type
+    FROM addr_parts WHERE id % 17 <> 16""")
+
+
+@query("page_offers", """
+    SELECT page, offer_id, offer_url, rooms, price, address, property_type, building_status, seller_type,
+           row_number() OVER (PARTITION BY page ORDER BY offer_id) > 0 AS on_page FROM card_rows""")
+def _(t):
+    return pages.page_offers(list_pages(t), site="https://site.test").select(
+        "page", "offer_id", "offer_url", "rooms", "price", "address", "property_type", "building_status", "seller_type", (F.col("card_no") >= 0).alias("on_page"))
+
+
+def list_pages(t):
+    """List pages of seven listings each; one card in seventeen lacks its link."""
+    i = F.col("id")
+    st = lambda c: c.cast("string")
+    label = lambda x: F.concat(F.lit('<a data-name="GeoLabel" href="/geo/">'), x, F.lit("</a>"))
+    parts = F.split("clean", ", ")
+    labels = F.array_join(F.transform(parts, label), "<span>, </span>")
+    holder = F.concat(F.lit('<div data-name="SpecialGeo"><span>'), F.array_join(parts, "</span><span>"), F.lit("</span></div>"))
+    by_class = F.concat(F.lit('<ul class="x1--address--y2"><li>'), F.array_join(parts, "</li><li>"), F.lit("</li></ul>"))
+    address = F.when(i % 5 < 2, labels).when(i % 5 == 2, holder).when(i % 5 == 3, by_class).otherwise(F.lit('<a data-name="GeoLabel">Москва</a>'))
+    link = F.when(i % 17 == 16, F.lit("/about/")).when(i % 2 == 0, F.concat(F.lit("https://example.test/sale/flat/"), st(i), F.lit("/"))).otherwise(F.concat(F.lit("/sale/flat/"), st(i), F.lit("/")))
+    facts = F.concat(F.when(i % 6 == 0, "Студия").otherwise(F.concat(st(i % 6), F.lit("-комн. квартира"))), F.lit(", 40,5 м², 3/9 этаж"))
+    marks = F.when(i % 4 == 0, F.concat(F.lit('<span data-mark="OfferTitle">'), facts, F.lit("</span>"))).otherwise(
+        F.concat(F.lit('<span data-mark="OfferTitle">Рассрочка 0%</span><span data-mark="OfferSubtitle">'), facts, F.lit("</span>")))
+    price = F.when(i % 2 == 0, F.concat(F.lit('<b data-mark="MainPrice">'), st(3 + i % 9), F.lit(",5 млн ₽</b>"))).otherwise(
+        F.concat(F.lit('<b data-mark="DiscountPrice">'), st(4000000 + i), F.lit("&nbsp;₽</b><s data-mark='MainPrice'>9 999 999 ₽</s>")))
+    kind = F.concat(F.when(i % 11 == 0, "Апартаменты. ").when(i % 11 == 1, "Доля в праве. ").otherwise(""),
+                    F.when(i % 13 == 0, "Дом строится. ").when(i % 13 == 1, "Жилой комплекс Заря. ").when(i % 13 == 2, "Жилой комплекс Заря, дом сдан. ").otherwise(""))
+    card = F.concat(F.lit('<article data-name="LinkArea"><a href="'), link, F.lit('">'), marks, F.lit("</a>"), price, address, F.lit("<p>"), kind, F.lit('</p><div data-mark="OfferCardSeller">Агентство</div></article>'))
+    rows = spelled(t).select("id", F.expr("id div 7").alias("page"), card.alias("card"))
+    cards = rows.groupBy("page").agg(F.sort_array(F.collect_list(F.struct("id", "card"))).alias("cards"))
+    return cards.select("page", F.concat(F.lit("<html><body><nav><a href='/sale/'>Все</a></nav>"), F.array_join(F.col("cards")["card"], "\n"), F.lit("</body></html>")).alias("html"))
+
+
+@query("page_details", """
+    SELECT id, CASE WHEN id % 3 = 0 THEN id % 30 + 10.5 WHEN id % 3 = 1 THEN id % 40 + 12.0 END AS area_living, CASE WHEN id % 3 < 2 THEN 8.5 + id % 4 END AS area_kitchen,
+           CASE WHEN id % 7 <> 0 THEN CAST(1950 + id % 70 AS INT) END AS house_year, CASE WHEN id % 5 = 0 THEN 'П-44' END AS house_series, id % 2 = 0 AS balcony, id % 4 = 1 AS loggia,
+           id % 6 = 0 AS house_has_elevator, id % 9 = 0 AS house_has_parking,
+           CASE id % 4 WHEN 0 THEN 'евроремонт' WHEN 1 THEN 'косметический' WHEN 2 THEN 'без ремонта' END AS renovation, CASE id % 3 WHEN 0 THEN 'смежные' WHEN 1 THEN 'раздельные' END AS rooms_layout
+    FROM listings""")
+def _(t):
+    i = F.col("id")
+    st = lambda c: c.cast("string")
+    fact = lambda name, value: F.concat(F.lit(f'<div data-name="ObjectFactoidsItem"><span>{name}</span><span>'), value, F.lit(" м²</span></div>"))
+    say = lambda cond, text: F.when(cond, F.lit(f"<p>{text}</p>")).otherwise(F.lit(""))
+    facts = F.concat(F.lit("<section>"), fact("Общая площадь", F.lit("99,9")), fact("Жилая площадь", F.concat(st(i % 30 + 10), F.lit(",5"))), fact("Площадь кухни", F.concat(st(8 + i % 4), F.lit(",5"))), F.lit("</section>"))
+    plain = F.concat(F.lit("<p>Общая площадь 77 м², жилая площадь: "), st(i % 40 + 12), F.lit(" м², площадь кухни "), st(8 + i % 4), F.lit(".5 м²</p>"))
+    html = F.concat(F.lit("<html><script>var балкон = 'лифт';</script>"), F.when(i % 3 == 0, facts).when(i % 3 == 1, plain).otherwise(F.lit("<p>Площадь 60 м²</p>")),
+                    F.when(i % 7 != 0, F.concat(F.lit("<li>Год постройки: "), st(1950 + i % 70), F.lit("</li>"))).otherwise(F.lit("<li>Год постройки: 1066</li>")),
+                    say(i % 5 == 0, "Серия: П-44"), say(i % 2 == 0, "Есть Балкон"), say(i % 4 == 1, "Лоджия"), say(i % 6 == 0, "Лифт"), say(i % 9 == 0, "подземный паркинг"),
+                    say(i % 4 == 0, "Евро"), say(i % 4 == 1, "Косметический"), say(i % 4 == 2, "без ремонта, хороший вид"), say(i % 3 == 0, "комнаты смежные"), say(i % 3 == 1, "Раздельные"), F.lit("</html>"))
+    return pages.page_details(t.listings.select("id", html.alias("html"))).drop("html")
+
+
 @query("targets", """
     SELECT 'shop' AS source, concat('ext', CAST(p_partkey AS VARCHAR)) AS external_id, concat('https://shop.test/', CAST(p_partkey AS VARCHAR)) AS url, 3 AS priority FROM part WHERE p_partkey % 5 > 1""")
 def _(t):
