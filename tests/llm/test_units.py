@@ -275,3 +275,56 @@ def test_wrappers_with_chrome_words_keep_their_article(head, tail):
 def test_a_section_named_related_inside_of_an_article_stays():
     text = "<article><h1>T</h1><p>First paragraph of the paper with many words in it.</p><section id='related-work'><p>Others did this before in many ways.</p></section></article>"
     assert "Others did this before" in html_text.main_text(text)
+
+
+STORY = [f"Paragraph {k} of the story has a good many words, so that it is the text of the page." for k in range(8)]
+VOICES = "".join(f"<p>Reader {k} disagrees with all of this, and says so at much greater length than the story itself does.</p>" for k in range(12))
+
+
+def story(n=8):
+    return "".join(f"<p>{p}</p>" for p in STORY[:n])
+
+
+@pytest.mark.parametrize("chrome", [f"<div id='comments'>{VOICES}</div>", f"<div class='sidebar'>{VOICES}</div>", f"<form>{VOICES}</form>", f"<div class='post-comments'>{VOICES}</div>",
+                                    f"<div class='comments'><article>{VOICES}</article></div>", f"<section class='comments'>{VOICES}</section>"])
+@pytest.mark.parametrize("tag", ["article", "div", "main"])
+def test_chrome_of_any_length_stays_out(chrome, tag):
+    for before, behind in (("", chrome), (chrome, "")):
+        assert html_text.main_text(f"<html><body>{before}<{tag}>{story(2)}</{tag}>{behind}</body></html>").split("\n\n") == STORY[:2]
+    assert html_text.main_text(f"<body><article>{story(2)}{chrome}</article></body>").split("\n\n") == STORY[:2]
+
+
+def test_unnamed_text_does_not_outvote_an_article():
+    assert html_text.main_text(f"<body><article>{story(2)}</article><div>{VOICES}</div></body>").split("\n\n") == STORY[:2]
+
+
+def test_titles_and_ends_are_kept():
+    end = "<ul><li>one</li><li>two</li><li>three</li><li>four</li></ul><p>Fin.</p>"
+    want = [*STORY, "one", "two", "three", "four", "Fin."]
+    for a, b in (("", ""), ("<div>", "</div>"), ("<div class='x'><div>", "</div></div>"), ("<table><tr><td>", "</td></tr></table>")):
+        assert html_text.main_text(f"<body>{a}{story()}{end}{b}</body>").split("\n\n") == want
+        assert html_text.main_text(f"<body><div class='post-header'><h1>T</h1><p>by X</p></div>{a}{story()}{end}{b}</body>").split("\n\n") == ["T", *want]
+    parts = "".join(f"<div>{p}</div>" for p in STORY)
+    assert html_text.main_text(f"<body><nav>a</nav><div id='all'><div id='text'>{parts}<div>Fin.</div></div></div></body>").split("\n\n") == [*STORY, "Fin."]
+    assert html_text.main_text(f"<body><article><header><h1>T</h1><p>by X</p></header>{story()}</article></body>").split("\n\n") == ["T", *STORY]
+    assert html_text.main_text(f"<body><div class='header'><h1>Site</h1></div><div>{story()}</div></body>").split("\n\n") == STORY
+
+
+def test_deep_and_broken_pages():
+    assert html_text.main_text("<div class='ad'>" * 3000 + "<article>" + story(1)) == STORY[0]
+    assert html_text.main_text("<article>" * 2000 + story(1)) == STORY[0]
+    assert html_text.main_text(f"<div class='comments'>{VOICES}") == ""
+
+
+def test_pages_of_known_text():
+    """Pages put together from known blocks and chrome in random order, against the blocks."""
+    rng = random.Random(12)
+    chrome = ["<nav><a href='/'>Home</a></nav>", "<div class='ad'>Buy now and save a lot of money today, all of you</div>", f"<div id='comments'>{VOICES}</div>", "<aside>Also see this</aside>",
+              "<div class='site-footer'>All rights reserved by the owner of this page and site</div>", "<form><p>Sign up to our letter, which comes each day</p><input></form>", "<script>x()</script>"]
+    for _ in range(300):
+        blocks = [rng.choice(STORY) if rng.random() < 0.7 else rng.choice(["Short.", "A & B", "1 < 2"]) for _ in range(rng.randint(3, 9))] + [STORY[0]]
+        blocks[0] = STORY[1]
+        inner = "".join(f"<{t}>{b.replace('&', '&amp;').replace('<', '&lt;')}</{t}>" for b in blocks for t in [rng.choice(["p", "h2", "blockquote"])])
+        tag = rng.choice(["article", "div", "main", "section"])
+        around = ["".join(rng.sample(chrome, rng.randint(0, 4))) for _ in range(2)]
+        assert html_text.main_text(f"<html><body>{around[0]}<{tag}>{inner}</{tag}>{around[1]}</body></html>").split("\n\n") == blocks
