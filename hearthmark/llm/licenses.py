@@ -1,7 +1,8 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
 A block is a run of consecutive tokens of the whole text, as long as the template and a quarter more (SLACK), so that it
-does not matter where lines break. A template meets a block if at least THRESHOLD of its distinct tokens stand in it.
+does not matter where lines break. A template meets a block if at least THRESHOLD of its distinct tokens stand in it, those
+that name the license (REQUIRED) among them. Tokens that tell of another license (BARRED) part blocks: no block holds one.
 Tokens are ordered by how many documents hold them, rare ones first. A block can only meet a template of t tokens, a of
 them needed, if it holds one of the template's t - a + 1 rarest tokens (prefix), so only the surroundings of those are
 looked at; if they hold at least a of its tokens (length), and enough of them behind the first common one (position),
@@ -48,10 +49,24 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
 )
 
+# Tokens of a label's templates that no notice lacks: what names the license.
+REQUIRED = {
+    "gpl": "gnu general public license", "lgpl": "gnu lesser general public license", "apache": "apache license", "mit": "mit license", "mpl": "mozilla public license",
+    "cc-by": "creative commons attribution", "cc-by-nc": "cc by nc creative commons attribution noncommercial", "cc-by-sa": "cc by sa creative commons attribution sharealike",
+}
+# Tokens that make another license of a label's notice.
+_TERMS = "noncommercial nc sharealike sa noderivatives noderivs nd non share no"
+BARRED = {
+    "gpl": "lesser affero library", "lgpl": "affero", "cc-by": _TERMS,
+    "cc-by-nc": "sharealike sa noderivatives noderivs nd", "cc-by-sa": "noncommercial nc noderivatives noderivs nd",
+}
+
 # ASCII letters in lower case, digits and all other bytes of UTF-8 stay; every other ASCII character parts words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -68,6 +83,8 @@ class Ordered:
     needed: list[int]
     labels: list[str]
     width: list[int]
+    required: list[frozenset[int]]
+    barred: list[frozenset[bytes]]
     prefix: dict[int, list[tuple[int, int]]]
     prefix_words: frozenset[bytes]
 
@@ -85,46 +102,38 @@ def ordered(templates, frequency: dict[bytes, int], threshold: float = THRESHOLD
         for i, x in enumerate(r[:len(r) - a + 1]):
             prefix[x].append((k, i))
     width = [math.ceil((1 + SLACK) * len(tokens(t.encode()))) for _, t in templates]
-    return Ordered(rank, ranks, needed, [label for label, _ in templates], width, dict(prefix), frozenset(words[x] for x in prefix))
+    required = [frozenset(rank[w] for w in tokens(REQUIRED.get(label, "").encode()) if w in s) for (label, _), s in zip(templates, sets)]
+    barred = [frozenset(tokens(BARRED.get(label, "").encode())) for label, _ in templates]
+    return Ordered(rank, ranks, needed, [label for label, _ in templates], width, required, barred, dict(prefix), frozenset(words[x] for x in prefix))
 
 
-def block_matches(block: bytes, o: Ordered) -> list[tuple[int, float]]:
-    """(template, containment) of every template that the block meets."""
-    held = sorted({o.rank[w] for w in tokens(block) if w in o.rank})
-    seen, found = set(), []
-    for j, x in enumerate(held):
-        for k, i in o.prefix.get(x, ()):
-            if k in seen:
-                continue
-            seen.add(k)
-            r, a = o.ranks[k], o.needed[k]
-            if len(held) < a or 1 + min(len(r) - i - 1, len(held) - j - 1) < a:
-                continue
-            common = len(set(r).intersection(held))
-            if common >= a:
-                found.append((k, common / len(r)))
-    return found
-
+def most_in_window(places: list[tuple[int, int]], width: int, required: frozenset[int], stops: list[int]) -> int:
+    """Most distinct tokens in ``width`` places next to each other that hold all ``required`` ones and no stop; 0 if there are none.
 
-def most_in_window(places: list[tuple[int, int]], width: int) -> int:
-    """Most distinct tokens in ``width`` places next to each other. ``places``: (place, token) in order."""
+    ``places``: (place, token) in order; ``stops``: places in order. Of the windows that end at a place only the longest matters.
+    """
     held: Counter[int] = Counter()
-    most = first = 0
+    most = first = bar = 0
+    last_stop = -1
     for at, x in places:
         held[x] += 1
-        while places[first][0] <= at - width:
+        while bar < len(stops) and stops[bar] < at:
+            last_stop, bar = stops[bar], bar + 1
+        while places[first][0] <= max(at - width, last_stop):
             gone = places[first][1]
             held[gone] -= 1
             if not held[gone]:
                 del held[gone]
             first += 1
-        most = max(most, len(held))
+        if len(held) > most and required <= held.keys():
+            most = len(held)
     return most
 
 
 def text_matches(words: list[bytes], o: Ordered) -> list[tuple[int, float]]:
     """(template, best containment) of every template that some block of the text meets."""
     held = [(at, o.rank[w]) for at, w in enumerate(words) if w in o.rank]
+    present = {x for _, x in held}
     spots = defaultdict(list)   # template -> places of its prefix tokens
     for at, x in held:
         for k, _ in o.prefix.get(x, ()):
@@ -132,6 +141,9 @@ def text_matches(words: list[bytes], o: Ordered) -> list[tuple[int, float]]:
     found = []
     for k, places in sorted(spots.items()):
         r, a, width = o.ranks[k], o.needed[k], o.width[k]
+        if not o.required[k] <= present:
+            continue
+        stops = [at for at, w in enumerate(words) if w in o.barred[k]] if o.barred[k] else []
         mine, most, at = set(r), 0, 0
         while at < len(places):
             # surroundings of prefix tokens that lie close together
@@ -143,7 +155,7 @@ def text_matches(words: list[bytes], o: Ordered) -> list[tuple[int, float]]:
             common = {x for _, x in near}
             if len(common) < a or len(r) - bisect_left(r, min(common)) < a:
                 continue
-            most = max(most, most_in_window(near, width))
+            most = max(most, most_in_window(near, width, o.required[k], stops[bisect_left(stops, low - width + 1):bisect_left(stops, high + width)]))
         if most >= a:
             found.append((k, most / len(r)))
     return found
@@ -181,7 +193,8 @@ def scanned(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD,
     """Per document: doc_id, n_words, n_base (places of phrases), first_word, last_word, base_labels, labels, score.
 
     labels adds those of the templates that a block meets. score: the best containment of a template met, 1 where a
-    phrase stands, else 0. Null and empty texts have no words and no labels. Repeated rows get equal results.
+    phrase stands, else 0. Null and empty texts have no words and no labels, an empty table gives none. Texts are read whole,
+    however long. Repeated rows get equal results; other columns are not looked at.
     """
     o = ordered(templates, token_frequencies(docs, templates), threshold)
 
@@ -206,19 +219,27 @@ def scanned(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD,
 
 
 def oracle_sql() -> str:
-    """Every line against every template, without filters: equal where no notice wraps and no line scatters its words."""
+    """Every window of every text against every template, without prefix, length and position filters."""
     word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     names = " UNION ALL ".join(f"SELECT {p.split()!r} AS p, '{label}' AS label" for p, label in PHRASES.items())
-    sets = " UNION ALL ".join(f"SELECT {sorted(set(t.split()))!r} AS ts, '{label}' AS label" for label, t in TEMPLATES)
+
+    def row(label: str, t: str) -> str:
+        ws = t.split()
+        needs, bars = [w for w in REQUIRED.get(label, "").split() if w in ws], BARRED.get(label, "").split()
+        return (f"SELECT '{label}' AS label, {sorted(set(ws))!r} AS ts, {needs!r}::VARCHAR[] AS req, {bars!r}::VARCHAR[] AS bar, "
+                f"CAST(ceil({1 + SLACK} * {len(ws)}) AS BIGINT) AS width, CAST(greatest(1, ceil({THRESHOLD} * {len(set(ws))} - 1e-9)) AS BIGINT) AS a")
+    sets = " UNION ALL ".join(row(*t) for t in TEMPLATES)
     return f"""
-    WITH d AS (SELECT doc_id, {low} AS t FROM documents),
-    w AS (SELECT doc_id, t, regexp_extract_all(t, '{word}') AS ws FROM d),
+    WITH w AS (SELECT doc_id, regexp_extract_all({low}, '{word}') AS ws FROM documents),
     names AS ({names}), sets AS ({sets}),
     hits AS (SELECT doc_id, label, unnest(list_filter(range(1, len(ws) - len(p) + 2), lambda i: ws[i:i + len(p) - 1] = p)) - 1 AS i FROM w, names),
     base AS (SELECT doc_id, count(*) AS n, min(i) AS first_word, max(i) AS last_word FROM hits GROUP BY doc_id),
-    lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{word}')) AS ls FROM w),
-    met AS (SELECT doc_id, label, len(list_intersect(ls, ts)) / len(ts) AS share FROM lines, sets WHERE len(list_intersect(ls, ts)) >= ceil({THRESHOLD} * len(ts) - 1e-9)),
+    near AS (SELECT doc_id, ws, list_filter(range(1, len(ws) + 1), lambda i: list_contains(ts, ws[i])) AS starts,
+                    list_filter(range(1, len(ws) + 1), lambda i: list_contains(bar, ws[i])) AS stops, sets.* FROM w, sets
+             WHERE len(list_intersect(ws, ts)) >= a AND list_has_all(ws, req)),
+    runs AS (SELECT doc_id, label, ts, req, a, unnest(list_transform(starts, lambda i: ws[i:least(i + width - 1, coalesce(list_min(list_filter(stops, lambda s: s >= i)) - 1, len(ws)))])) AS run FROM near),
+    met AS (SELECT doc_id, label, len(list_intersect(run, ts)) / len(ts) AS share FROM runs WHERE len(list_intersect(run, ts)) >= a AND list_has_all(run, req)),
     best AS (SELECT doc_id, max(share) AS share FROM met GROUP BY doc_id),
     bl AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT DISTINCT doc_id, label FROM hits) GROUP BY doc_id),
     al AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS s FROM (SELECT doc_id, label FROM hits UNION SELECT doc_id, label FROM met) GROUP BY doc_id)
