@@ -7,10 +7,11 @@
     hashes of GRAM words. A suffix automaton per anchor counts the copies of each substring; streaming a passage through
     it gives the matching statistics, and a window is repeated if its whole length is matched by a state that occurs
     twice. Copies of a passage were added up before, so a passage that fills a third of the corpus is one row here.
-    Anchors with very many different passages are split further, by the hash of each window.
+    The windows of anchors with very many different passages are added up as well, and their distinct windows dealt out by hash.
 3.  The answers go to the documents as ranges of windows; their words are removed as maximal spans.
 
-An automaton is handed to the task of its shard only; its size is bounded by MAX_PASSAGES.
+An automaton is handed to the task of its shard only. It holds at most MAX_PASSAGES distinct passages or, of an anchor with
+more, one in SPLITS of the distinct windows; copies of a window, however many, are one row there.
 """
 
 from __future__ import annotations
@@ -19,8 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthmark.llm.common import cut_lineage, map_batches, text_or_empty
@@ -248,8 +248,12 @@ def _passages(chosen: DataFrame, window: int) -> DataFrame:
     return map_batches(chosen.select(*KEYS, "text", "anchors"), run, "doc_id long, text_hash long, anchor long, lo int, tokens binary", SLICE)
 
 
-def _shards(distinct: DataFrame, length: int, most: int) -> DataFrame:
-    """Rows (anchor, split, passage, first window, tokens, copies): whole passages, or single windows of crowded anchors."""
+def _shards(distinct: DataFrame, length: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Sequences to look for, (anchor, split, sequence, tokens, copies), and which passage holds them, (of, first, sequence).
+
+    A sequence is a whole passage, or a distinct window of a crowded anchor. Copies of a window in different passages are
+    added up on the map side, so that a window in a third of the corpus is one row of its shard.
+    """
     # the sum keeps the columns of both uses of ``distinct`` alike, so that it is shuffled once
     sizes = distinct.groupBy("anchor").agg(F.count("tokens").alias("n"), F.sum("copies").alias("copies"))
     crowded = sizes.where((F.col("n") > most) & (F.col("copies") > most)).select(F.col("anchor").alias("crowded"))
@@ -258,20 +262,26 @@ def _shards(distinct: DataFrame, length: int, most: int) -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for r in batch.to_pylist():
-            if r["crowded"] is None:
-                out.append((r["anchor"], 0, r["passage"], 0, r["tokens"], r["copies"]))
-                continue
             for k in range(len(r["tokens"]) // 8 - length + 1):
-                one = r["tokens"][8 * k:8 * (k + length)]
-                out.append((r["anchor"], xxhash.xxh64_intdigest(one) % SPLITS, r["passage"], k, one, r["copies"]))
-        kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)],
-                                          ["anchor", "split", "passage", "first", "tokens", "copies"])
-    return map_batches(d, run, "anchor long, split int, passage binary, first int, tokens binary, copies long")
+                out.append((r["anchor"], r["passage"], k, r["tokens"][8 * k:8 * (k + length)], r["copies"]))
+        kinds = [pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], ["anchor", "of", "first", "tokens", "copies"])
+    windows = map_batches(d.where("crowded IS NOT NULL"), run, "anchor long, of binary, first int, tokens binary, copies long", SLICE)
+    split = F.pmod(F.xxhash64("tokens"), F.lit(SPLITS)).cast("int")
+    single = windows.groupBy("anchor", "tokens").agg(F.sum("copies").alias("copies")).select("anchor", split.alias("split"), _name("tokens").alias("sequence"), "tokens", "copies")
+    whole = d.where("crowded IS NULL")
+    sequences = whole.select("anchor", F.lit(0).alias("split"), F.col("passage").alias("sequence"), "tokens", "copies").unionByName(single)
+    holders = whole.select(F.col("passage").alias("of"), F.lit(0).alias("first"), F.col("passage").alias("sequence")).unionByName(
+        windows.select("of", "first", _name("tokens").alias("sequence")))
+    return sequences, holders
+
+
+def _name(tokens: str) -> Column:
+    return F.unhex(F.md5(tokens))
 
 
 def _answers(rows: DataFrame, length: int) -> DataFrame:
-    """Rows (passage, first window, one byte a window: 1 if repeated) with a repeat; a shard holds many anchors, one after the other."""
+    """Rows (sequence, one byte a window: 1 if repeated) with a repeat; a shard holds many anchors, one after the other."""
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("anchor", "ascending"), ("split", "ascending")])
         keys = np.rec.fromarrays([t["anchor"].to_numpy(), t["split"].to_numpy()])
@@ -282,10 +292,10 @@ def _answers(rows: DataFrame, length: int) -> DataFrame:
             sequences = [np.frombuffer(x, np.uint64).tolist() for x in tokens[a:b]]
             flags += map(bytes, repeats(sequences, copies[a:b], length))
         keep = pa.array([b"\1" in f for f in flags], pa.bool_())
-        return pa.table({"passage": t["passage"], "first": t["first"], "flags": pa.array(flags, pa.binary())}).filter(keep)
+        return pa.table({"sequence": t["sequence"], "flags": pa.array(flags, pa.binary())}).filter(keep)
     shards = SHARDS_PER_PARTITION * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("anchor", "split"), F.lit(shards)).cast("int")
-    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "passage binary, first int, flags binary")
+    return rows.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "sequence binary, flags binary")
 
 
 def covered(n_words: int, ranges: list[tuple[int, bytes]], window: int) -> np.ndarray:
@@ -310,9 +320,10 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, most: int = MAX_PASS
     chosen = _beside(docs, mine, "inner")
     found = _passages(chosen, window)
     length = window - gram_words(window) + 1
-    name = F.unhex(F.md5("tokens")).alias("passage")
+    name = _name("tokens").alias("passage")
     distinct = found.groupBy("anchor", "tokens").agg(F.count("*").alias("copies")).select("*", name)
-    answers = _answers(_shards(distinct, length, most), length).withColumnRenamed("passage", "of")
+    sequences, holders = _shards(distinct, length, most)
+    answers = holders.join(_answers(sequences, length), "sequence")
     hits = found.select(*KEYS, "lo", name).join(answers, F.col("passage") == F.col("of"))
     return hits.groupBy(*KEYS).agg(F.collect_list(F.struct((F.col("lo") + F.col("first")).alias("first"), "flags")).alias("ranges"))
 
