@@ -1,5 +1,7 @@
 """Golden tables and properties of merges, geography, investment, streams and plans."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from hearthmark.sources import files
 from hearthmark.sources.tables import AS_OF
 from hearthmark.streaming import monitor as stream
 
+SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
+
 
 def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
@@ -170,3 +174,17 @@ def test_key_rate_of_every_instant(spark, most):
     assert "BroadcastNestedLoopJoin" not in plan and "Cartesian" not in plan and "hashpartitioning(0" not in plan
     assert most == 3 or "Exchange" not in plan
     assert inv.with_key_rate(rows.selectExpr("id", "cast(at as timestamp_ntz) at"), rates.limit(0)).where("key_rate IS NOT NULL").count() == 0
+
+
+def test_valuation_of_all_listings(spark, tables):
+    """The whole result: what comparables do not value is valued by the grid alone."""
+    from hearthmark.plans.catalog import QUERIES
+    from hearthmark.plans.q_history import subjects
+    areas = {r.subject_id: r.area_total for r in subjects(tables).collect()}
+    rows = QUERIES["value_properties_all"](spark, SF).collect()
+    assert rows and len({r.subject_id for r in rows}) == len(rows) and all(r.subject_id in areas for r in rows)
+    for r in rows:
+        if r.comparables_count == 0:
+            assert r.method_used == "grid_only" and r.market_price is None and r.grid_weight == 1.0
+            assert r.estimated_price is None or abs(r.estimated_price - r.estimated_price_per_sqm * areas[r.subject_id]) < 1e-6
+        assert r.deals_count >= 0 and (r.building_info_warning is None) == (r.total_floors is not None and r.building_year is not None)
