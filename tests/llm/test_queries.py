@@ -2,7 +2,6 @@
 
 import hashlib
 import os
-import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -80,24 +79,6 @@ def test_substring_dedup(spark, docs, none, most):
     assert substring_dedup.removed(none, most=most).collect() == []
 
 
-def test_a_passage_of_a_third_of_all_documents(spark, monkeypatch):
-    """Copies of a window meet as one row of a shard, whatever stands before and behind it."""
-    rng = random.Random(4)
-    shared = " ".join(f"shared{k}" for k in range(40))
-    near = lambda: " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(30))
-    texts = [f"{near()} {shared} {near()}" for _ in range(600)] + [near() + " " + near() for _ in range(1200)]
-    most = {}
-    plain = substring_dedup._answers
-
-    def answers(rows, length):
-        most["n"] = rows.groupBy("anchor", "split").count().agg({"count": "max"}).collect()[0][0]
-        return plain(rows, length)
-    monkeypatch.setattr(substring_dedup, "_answers", answers)
-    got = substring_dedup.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=32).collect()
-    assert sorted((r.n_words, r.n_removed) for r in got) == [(60, 0)] * 1200 + [(100, 40)] * 600
-    assert most["n"] <= 40
-
-
 def plain_components(rows):
     fps = [plain_fingerprint(r["text"]) for r in rows]
     label = list(range(len(rows)))
