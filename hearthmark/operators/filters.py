@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthmark.operators.containment import matching
 from hearthmark.operators.market import ts
 
 # Days back per named period.
@@ -120,23 +121,21 @@ def filter_any_substring(df: DataFrame, col: str, needles: Sequence[str]) -> Dat
     return df.where(reduce(lambda a, b: a | b, [F.lower(col).contains(n.lower()) for n in needles], F.lit(False)))
 
 
-def search_address(listings: DataFrame, queries: Sequence[Mapping[str, str]], min_hits: int = 1) -> DataFrame:
+def search_address(listings: DataFrame, queries: DataFrame, min_hits: int = 1) -> DataFrame:
     """Addresses matching each query, and for queries with too few hits the broader pattern.
 
-    ``queries``: query_id, pattern, broad_pattern (ILIKE patterns).  Addresses are reduced to distinct values with their counts and newest listing first,
-    so the pattern work grows with the number of addresses, not of listings.
+    ``queries``: query_id (unique), pattern, broad_pattern (ILIKE patterns).  Addresses are reduced to distinct values with
+    their counts and newest listing first, so the work grows with the number of addresses, not of listings, and the
+    plan is the same for any number of queries.
     """
     addr = listings.groupBy("address").agg(
         F.count(F.lit(1)).alias("listings"), F.max_by("id", F.struct("last_seen", "id")).alias("newest_id"))
-
-    def hits(field: str) -> DataFrame:
-        found = F.array_compact(F.array(*[F.when(F.col("address").ilike(p[field]), F.lit(p["query_id"])) for p in queries]))
-        return addr.withColumn("query_id", F.explode(found))
-
-    exact = hits("pattern").withColumn("broad", F.lit(False))
-    enough = exact.groupBy("query_id").agg(F.sum("listings").alias("n")).where(F.col("n") >= min_hits).select("query_id")
-    broad = hits("broad_pattern").withColumn("broad", F.lit(True)).join(F.broadcast(enough), "query_id", "left_anti")
-    return exact.join(F.broadcast(enough), "query_id", "left_semi").unionByName(broad)
+    both = F.array(F.struct(F.lit(False).alias("broad"), "pattern"), F.struct(F.lit(True).alias("broad"), F.col("broad_pattern").alias("pattern")))
+    asked = queries.select("query_id", F.inline(both))
+    hits = asked.join(matching(asked, addr, "pattern", "address"), "pattern").withColumnRenamed("text", "address").join(addr, "address")
+    enough = hits.where("NOT broad").groupBy("query_id").agg(F.sum("listings").alias("n")).where(F.col("n") >= min_hits)
+    told = hits.join(enough.select("query_id", F.lit(True).alias("_enough")), "query_id", "left")
+    return told.where(F.col("broad") != F.coalesce("_enough", F.lit(False))).select("query_id", "address", "listings", "newest_id", "broad")
 
 
 def top_n(df: DataFrame, keys: Sequence[str], n: int = 10, name: str = "cnt") -> DataFrame:

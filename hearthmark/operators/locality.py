@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthmark.operators.geography import places, radius_pairs
+from hearthmark.operators.market import in_localities
 
 # Renovation class -> price coefficient.
 RENOVATION_COEFS = {1: 0.85, 2: 1.00, 3: 1.10, 4: 1.20}
@@ -28,18 +28,16 @@ class LocalityRules:
     last_floor: float = 0.97
 
 
-def locality_estimate(subjects: DataFrame, listings: DataFrame, prices: DataFrame, localities: Mapping[str, str], fallback: str,
+def locality_estimate(subjects: DataFrame, listings: DataFrame, prices: DataFrame, localities: DataFrame, fallback: str,
                       rules: LocalityRules = LocalityRules()) -> DataFrame:
     """Upper-middle price per m2 of the newest comparable points of the locality, floor-adjusted.
 
-    subjects: subject_id, locality, area_total, rooms, floor, total_floors.  ``localities``: name ->
-    address pattern.  Without a comparable the newest points of ``fallback`` are used.
+    subjects: subject_id, locality, area_total, rooms, floor, total_floors.  ``localities``: locality,
+    pattern (ILIKE, of the address).  Without a comparable the newest points of ``fallback`` are used.
     Per (locality, rooms, area) only the newest 20 points can matter, so the join sees those
     alone, and subjects enter it once per distinct (locality, rooms, area).
     """
-    tags = F.array_compact(F.array(*[F.when(F.col("address").ilike(p), F.lit(n)) for n, p in localities.items()]))
-    pts = (listings.where("area_total > 0").select("id", "rooms", F.col("area_total").alias("c_area"), "last_seen", tags.alias("_t"))
-           .withColumn("locality", F.explode("_t")).drop("_t")
+    pts = (in_localities(listings.where("area_total > 0").select("id", "rooms", F.col("area_total").alias("c_area"), "last_seen", "address"), localities).drop("address")
            .join(prices.where("price > 0").select("id", "seen_at", "price"), "id")
            .withColumn("psm", F.col("price") / F.col("c_area")))
     newest = [F.desc("last_seen"), F.asc("id"), F.desc("seen_at"), F.asc("price")]

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthmark.operators.containment import matching
 from hearthmark.operators.latest import with_latest_price
 from hearthmark.operators.skew import exact_quantiles, null_safe_join, top_rows
 
@@ -256,12 +257,18 @@ def scrape_health(sources: DataFrame, runs: DataFrame, as_of: str, days: int = 7
                  F.sum("cost").alias("total_cost")))
 
 
-def locality_stats(listings: DataFrame, prices: DataFrame, patterns: Mapping[str, str], every_point: bool = True) -> DataFrame:
-    """Counts and price levels of listings whose address matches each locality pattern."""
+def in_localities(listings: DataFrame, patterns: DataFrame) -> DataFrame:
+    """Listings beside each ``locality`` with an ILIKE pattern that their address matches; patterns: locality, pattern."""
+    met = patterns.join(matching(patterns, listings, "pattern", "address"), "pattern")
+    return listings.join(met.select("locality", F.col("text").alias("address")).distinct(), "address")
+
+
+def locality_stats(listings: DataFrame, prices: DataFrame, patterns: DataFrame, every_point: bool = True) -> DataFrame:
+    """Counts and price levels of listings whose address matches each locality pattern (locality, pattern)."""
+    listings = in_localities(listings, patterns)
     rows = (listings.join(prices.withColumnRenamed("price", "current_price"), "id") if every_point
             else with_latest_price(listings, prices, "left"))
-    hits = F.array(*[F.when(F.col("address").ilike(p), F.lit(n)) for n, p in patterns.items()])
-    return (with_ppsm(rows).withColumn("locality", F.explode(F.array_compact(hits))).groupBy("locality")
+    return (with_ppsm(rows).groupBy("locality")
             .agg(F.countDistinct("id").alias("listings"), F.count(F.lit(1)).alias("points"),
                  F.avg("price_per_sqm").alias("avg_price_per_sqm"), exact_avg("current_price").alias("avg_price")))
 

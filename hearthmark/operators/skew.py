@@ -108,9 +108,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
                     names: Sequence[str] | None = None, array: str | None = None) -> DataFrame:
     """Exact interpolated quantiles per key without gathering any key in one place.
 
-    Pass 1 counts rows per (key, value bucket) - a hash aggregate with map-side combine.
-    The bucket counts tell which bucket holds each wanted rank; pass 2 reads only those
-    buckets, merges equal values and walks the ranks inside one bucket.
+    Rows are counted per (key, value) - a hash aggregate with map-side combine, the only pass over
+    ``df`` - and these counts per value bucket.  The bucket counts tell which bucket holds each wanted
+    rank; the ranks are walked inside one bucket of value counts.
     Keys whose values are all NULL are absent.  Result: keys, ``n`` and either one
     column per prob (``names``) or one array column (``array``).
     """
@@ -121,7 +121,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     v = (df.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
          .withColumn("_b", _value_bucket(F.col("_v"))))
     per_key = Window.partitionBy(*keys)
-    counts = (v.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    values = v.groupBy(*keys, "_b", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = (values.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
               .withColumn("_total", F.sum("_n").over(per_key))
               .withColumn("_before", F.sum("_n").over(per_key.orderBy("_b")) - F.col("_n")))
     # rounding absorbs 0.95 * 100 = 94.99999999999999 and its kind
@@ -130,12 +131,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seque
     hits = (counts
             .withColumn("_want", F.filter(want, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_n"))))
             .where(F.size("_want") > 0).select(*keys, "_b", "_want", "_before", "_total"))
-    picked = null_safe_join(v, hits, [*keys, "_b"])
+    picked = null_safe_join(values, hits, [*keys, "_b"])
     cell = Window.partitionBy(*keys, "_b")
-    walk = (picked.groupBy(*keys, "_b", "_v")
-            .agg(F.count(F.lit(1)).alias("_n"), F.first("_want").alias("_want"),
-                 F.first("_before").alias("_before"), F.first("_total").alias("_total"))
-            .withColumn("_hi", F.col("_before") + F.sum("_n").over(cell.orderBy("_v")))
+    walk = (picked.withColumn("_hi", F.col("_before") + F.sum("_n").over(cell.orderBy("_v")))
             .withColumn("_mine", F.filter("_want", lambda r: (r >= F.col("_hi") - F.col("_n")) & (r < F.col("_hi"))))
             .where(F.size("_mine") > 0))
     # at most 2 * len(probs) entries per key

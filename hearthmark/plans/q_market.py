@@ -322,7 +322,7 @@ def _(t):
     JOIN (VALUES ('first street', '%STREET 1,%'), ('tens', '%street 1_,%'), ('town', 'town%')) v(locality, pat) ON l.address ILIKE v.pat
     GROUP BY locality""")
 def _(t):
-    pats = {"first street": "%STREET 1,%", "tens": "%street 1_,%", "town": "town%"}
+    pats = t.spark.sql("VALUES ('first street', '%STREET 1,%'), ('tens', '%street 1_,%'), ('town', 'town%') AS v(locality, pattern)")
     return r(market.locality_stats(t.listings, t.listing_prices, pats))
 
 

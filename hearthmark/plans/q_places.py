@@ -335,7 +335,7 @@ PLACES = {"one": "%street 1%", "two": "%street 2%", "five": "%street 5_,%", "non
 def _(t):
     names = F.array(*[F.lit(x) for x in PLACES])
     s = t.listings.select(F.col("id").alias("subject_id"), F.element_at(names, (F.col("id") % 4 + 1).cast("int")).alias("locality"), "area_total", "rooms", "floor", "total_floors")
-    pats = {k: v for k, v in PLACES.items() if k != "none"}
+    pats = t.spark.createDataFrame([(k, v) for k, v in PLACES.items() if k != "none"], "locality string, pattern string")
     return r(r(loc.locality_estimate(s, t.listings, t.listing_prices, pats, "two"), 3, "price_sqm"), 4, "price", "min_price", "max_price")
 
 

@@ -81,11 +81,27 @@ def _(t):
     SELECT * FROM e WHERE query_id IN (SELECT query_id FROM ok)
     UNION ALL SELECT query_id, a.*, true FROM a JOIN q ON address ILIKE broad_pattern WHERE query_id NOT IN (SELECT query_id FROM ok)""")
 def _(t):
-    q = [dict(query_id="q1", pattern="%street 7, 1_", broad_pattern="%street 7,%"),
-         dict(query_id="q2", pattern="%street 99,%", broad_pattern="%street 9,%")]
+    q = t.spark.sql("VALUES ('q1', '%street 7, 1_', '%street 7,%'), ('q2', '%street 99,%', '%street 9,%') AS q(query_id, pattern, broad_pattern)")
     return filters.search_address(t.listings, q)
 
 
+@query("search_addresses", """
+    WITH a AS (SELECT address, count(*) AS listings, arg_max(id, (last_seen, id)) AS newest_id FROM listings GROUP BY address),
+         q AS (SELECT c_custkey AS query_id, concat('%STREET ', c_custkey % 70, ', _', c_custkey % 10) AS pattern, concat('town%eet ', c_custkey % 60, ',%') AS broad_pattern FROM customer),
+         p AS (SELECT DISTINCT pattern FROM (SELECT pattern FROM q UNION ALL SELECT broad_pattern FROM q)),
+         m AS (SELECT p.pattern, a.* FROM p JOIN a ON a.address ILIKE p.pattern),
+         e AS (SELECT query_id, m.address, m.listings, m.newest_id, false AS broad FROM q JOIN m ON m.pattern = q.pattern),
+         ok AS (SELECT query_id FROM e GROUP BY query_id HAVING sum(listings) >= 2)
+    SELECT * FROM e WHERE query_id IN (SELECT query_id FROM ok)
+    UNION ALL SELECT query_id, m.address, m.listings, m.newest_id, true FROM q JOIN m ON m.pattern = q.broad_pattern WHERE query_id NOT IN (SELECT query_id FROM ok)""")
+def _(t):
+    k = F.col("c_custkey")
+    num = lambda m: (k % m).cast("string")
+    q = t.customer.select(k.alias("query_id"), F.concat(F.lit("%STREET "), num(70), F.lit(", _"), num(10)).alias("pattern"),
+                          F.concat(F.lit("town%eet "), num(60), F.lit(",%")).alias("broad_pattern"))
+    return filters.search_address(t.listings, q, 2)
+
+
 @query("page_with_total", """
     SELECT id, (SELECT count(*) FROM listings WHERE rooms = 3) AS total FROM listings WHERE rooms = 3 ORDER BY area_total DESC, id LIMIT 30""")
 def _(t):

@@ -9,6 +9,7 @@ from hearthmark.plans.q_market import r
 from hearthmark.plans.registry import query, snippet
 from hearthmark.sources import files, offers, pages
 from hearthmark.sources.tables import AS_OF
+from hearthmark.streaming.monitor import work_folder
 
 # --- risk tags with a plain ASCII rule pack -------------------------------------------
 
@@ -472,8 +473,21 @@ def _(t):
 
 
 @query("ordered_details", """
-    SELECT id, CAST(0 AS BIGINT) AS page, count(*) AS items, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents, arg_min(price, seen_at) AS first_price FROM listing_prices GROUP BY id""")
+    SELECT id, page, count(*) AS items, CAST(sum(CAST(round(price * 100) AS BIGINT)) AS BIGINT) AS cents, arg_min(price, seen_at) AS first_price
+    FROM (SELECT *, CAST((row_number() OVER (PARTITION BY id ORDER BY seen_at, price) - 1) // 20 AS BIGINT) AS page FROM listing_prices) GROUP BY id, page""")
 def _(t):
-    d = files.collect_ordered(t.listing_prices, ["id"], ["seen_at", "price"], ["seen_at", "price"], F.date_trunc("year", "seen_at"))
+    d = files.collect_ordered(t.listing_prices, ["id"], ["seen_at", "price"], ["seen_at", "price"], F.date_trunc("year", "seen_at"), 20)
     items = F.from_json("json", "array<struct<seen_at:string,price:double>>")
     return d.select("id", "page", "items", F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + F.round(x["price"] * 100).cast("long")).alias("cents"), F.get(items, F.lit(0))["price"].alias("first_price"))
+
+
+@query("replaced_dates", """
+    SELECT CAST(date_trunc('month', seen_at) AS DATE) AS date, count(*) * CASE WHEN year(seen_at) = 2000 THEN 10 ELSE 1 END AS points, max(price) AS top_price
+    FROM listing_prices GROUP BY CAST(date_trunc('month', seen_at) AS DATE), year(seen_at)""")
+def _(t):
+    """A run writes the levels of every month, a second one replaces those of one year; read back from the files."""
+    path = work_folder(t.spark)
+    levels = t.listing_prices.groupBy(F.trunc("seen_at", "month").alias("date")).agg(F.count(F.lit(1)).alias("points"), F.max("price").alias("top_price"))
+    files.write_snapshot(levels, path)
+    files.write_snapshot(levels.where("year(date) = 2000").withColumn("points", F.col("points") * 10), path)
+    return t.spark.read.schema("points long, top_price double, date date").parquet(path).select("date", "points", "top_price")

@@ -33,7 +33,7 @@ def write_snapshot(df: DataFrame, path: str, date_col: str = "date") -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(path)
 
 
-def collect_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], bucket: Column, page: int = 1000) -> DataFrame:
+def collect_ordered(df: DataFrame, keys: Sequence[str], order: Sequence[str], fields: Sequence[str], bucket: Column, page: int) -> DataFrame:
     """Nested JSON arrays of a key's rows in order, in pages of at most ``page`` items.
 
     Small keys come as one page; a key of any size stays whole over several pages.

@@ -121,3 +121,22 @@ def test_radius_pairs(spark):
     c = b.select(*[F.col(x).alias(f"c_{x}") for x in b.columns])
     want = a.crossJoin(c).where(geo.haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")) * 1000 <= 1200).select("id", "c_id")
     assert rows(got) == rows(want)
+
+
+def test_patterns_meet_what_ilike_meets(spark):
+    """Wildcards, escapes, short and empty patterns, NULLs and repeated rows."""
+    from hearthmark.operators.containment import matching
+    pats = ["%", "", "_", "%street 1%", "%STREET _,%", "a_", "%_b%", "__", "100\\%", "%\\_x%", "Ж%", "%nowhere%", None, "%street 1%"]
+    texts = ["", "a", "ab", "Street 1, 2", "street 12", "Main STREET 3, 4", "100%", "1000", "a_x", "abx", "жук", None, "ab"]
+    p, t = (spark.createDataFrame([(x,) for x in xs], f"{c} string") for xs, c in ((pats, "pattern"), (texts, "text")))
+    want = p.dropna().distinct().crossJoin(t.dropna().distinct()).where(F.ilike("text", "pattern"))
+    assert rows(matching(p, t).select("pattern", "text")) == rows(want)
+    assert matching(p.limit(0), t).count() == 0 and matching(p, t.limit(0)).count() == 0
+
+
+def test_quantiles_scan_once(tables):
+    """The facts below a quantile are read once: its second use of them is a reused shuffle."""
+    q = skew.exact_quantiles(tables.lineitem, ["l_returnflag"], "l_extendedprice", [0.5], ["m"])
+    q.collect()
+    plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
