@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import AtomicType
 
 from hearthmark.operators.latest import latest_prices
 from hearthmark.operators.market import ts
-from hearthmark.operators.skew import lagged, null_safe_join
+from hearthmark.operators.skew import SPLIT_ROWS, lagged, next_instant, null_safe_join
 
 # Detail columns of a listing that a later NULL must not erase.
 LISTING_DETAILS = (
@@ -120,7 +120,7 @@ def apply_marks(listings: DataFrame, marks: DataFrame) -> DataFrame:
             .drop("error", "contact", "risk"))
 
 
-def append_price_changes(prices: DataFrame, batch: DataFrame, grain: str = "month") -> DataFrame:
+def append_price_changes(prices: DataFrame, batch: DataFrame, depth: int = SPLIT_ROWS) -> DataFrame:
     """Rows of ``batch`` to append: those whose price differs from the one before (in time) per id.
 
     Points at or before the newest stored instant of the id are ignored: facts only grow.
@@ -129,7 +129,7 @@ def append_price_changes(prices: DataFrame, batch: DataFrame, grain: str = "mont
     s = stored.select("id", F.col("seen_at").alias("_at"), F.col("price").alias("_price"))
     fresh = batch.select("id", "seen_at", "price").join(s, "id", "left").where(
         F.col("_at").isNull() | (F.col("seen_at") > F.col("_at")))
-    seq = lagged(fresh, ["id"], "seen_at", ["price"], ["price"], grain)
+    seq = lagged(fresh, ["id"], "seen_at", ["price"], ["price"], depth)
     before = F.coalesce("prev_price", "_price")
     return seq.where(before.isNull() | (before != F.col("price"))).select("id", "seen_at", "price")
 
@@ -163,9 +163,9 @@ def mark_inactive(products: DataFrame, as_of: str, days: int = 7, seen: str = "l
     return products.withColumn("is_active", F.col("is_active") & (F.col(seen) >= ts(as_of) - F.expr(f"INTERVAL {days} DAYS")))
 
 
-def price_change_rollup(prices: DataFrame, grain: str = "month") -> DataFrame:
+def price_change_rollup(prices: DataFrame, depth: int = SPLIT_ROWS) -> DataFrame:
     """Initial and last price, number of changes and percent change per id."""
-    steps = lagged(prices, ["id"], "seen_at", ["price"], (), grain)
+    steps = lagged(prices, ["id"], "seen_at", ["price"], (), depth)
     agg = steps.groupBy("id").agg(
         F.min_by("price", "seen_at").alias("initial_price"), F.max_by("price", "seen_at").alias("price"),
         F.count_if(F.col("prev_price") != F.col("price")).alias("price_change_count"))
@@ -190,28 +190,17 @@ def derive_lot_columns(lots: DataFrame, as_of: str) -> DataFrame:
 
 
 def versioned_history(events: DataFrame, keys: Sequence[str], tracked: Sequence[str], at: str,
-                      grain: str = "month") -> DataFrame:
+                      depth: int = SPLIT_ROWS) -> DataFrame:
     """Type-2 history: one row per run of equal tracked values, [valid_from, valid_to)."""
     # values are compared as they are, NULL like any other
     rows = events.select(*keys, at, *tracked).withColumn("_fp", F.struct(*tracked))
-    first = lagged(rows, keys, at, ["_fp"], ["_fp"], grain)
+    first = lagged(rows, keys, at, ["_fp"], ["_fp"], depth)
     starts = first.where(F.col("prev__fp").isNull() | ~F.col("prev__fp").eqNullSafe(F.col("_fp"))).drop("prev__fp")
-    nxt = _lead(starts, keys, at, grain)
+    nxt = next_instant(starts, keys, at, depth)
     return nxt.select(*keys, *tracked, F.col(at).alias("valid_from"), F.col("_next").alias("valid_to"),
                       F.col("_next").isNull().alias("is_current"))
 
 
-def _lead(df: DataFrame, keys: Sequence[str], at: str, grain: str) -> DataFrame:
-    """Next instant per key, bucketed like ``lagged``."""
-    b = df.withColumn("_bucket", F.date_trunc(grain, F.col(at)))
-    cell = [*keys, "_bucket"]
-    inner = b.withColumn("_in", F.lead(at).over(Window.partitionBy(*cell).orderBy(at)))
-    heads = b.groupBy(*cell).agg(F.min(at).alias("_head"))
-    carry = heads.select(*cell, F.lead("_head").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
-    out = null_safe_join(inner, carry, cell, "left")
-    return out.withColumn("_next", F.coalesce("_in", "_carry")).drop("_in", "_carry", "_bucket")
-
-
 def run_stats(before: DataFrame, after: DataFrame, keys: Sequence[str], compare: Sequence[str],
               closed: Column | None = None) -> DataFrame:
     """Found / new / updated / closed counts from two snapshots.

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hearthmark.session import cut_lineage
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` where NULL matches NULL; keys are kept once (from the left)."""
@@ -41,23 +43,73 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+# Rows of a key up to which it stays whole in one task; larger keys are cut into splits of about so many rows.
+SPLIT_ROWS = 1_000_000
+# Split points up to which they are broadcast, and the most of one key (a power of two).
+BROADCAST_POINTS = 65_536
+MOST_SPLITS = 1 << 20
+
+
+def split_points(df: DataFrame, keys: Sequence[str], ts: str, depth: int = SPLIT_ROWS) -> DataFrame | None:
+    """(keys, ``_starts``): the instants at which a key of more than ``depth`` rows is cut; None if no key is that large.
+
+    Rows are counted per key and, of large keys alone, per minute; a new split starts where the running count passes a
+    multiple of ``depth``. So a split holds ``depth`` rows and at most one minute more, however they are spread over time.
+    """
+    keys = list(keys)
+    v = df.select(*keys, F.col(ts).alias("_t"))
+    large = cut_lineage(v.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > depth))
+    if large.isEmpty():
+        return None
+    cells = null_safe_join(v, large, keys).groupBy(*keys, F.date_trunc("minute", "_t").alias("_c")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy("_c")) - F.col("_n")
+    starts = cells.withColumn("_split", F.floor(before / depth)).where("_split > 0").groupBy(*keys, "_split").agg(F.min("_c").alias("_start"))
+    return cut_lineage(starts.groupBy(*keys).agg(F.sort_array(F.collect_list("_start")).alias("_starts")))
+
+
+def in_splits(df: DataFrame, points: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """``df`` with ``_bucket``, the number of split points of the key that are not after the row; 0 for keys without."""
+    few = points.agg(F.sum(F.size("_starts"))).first()[0] or 0
+    j = null_safe_join(df, F.broadcast(points) if few <= BROADCAST_POINTS else points, keys, "left")
+    at = F.when(F.col("_starts").isNotNull(), not_above(F.col("_starts"), MOST_SPLITS, F.col(ts))).otherwise(0)
+    out = j.withColumn("_bucket", at).drop("_starts")
+    # after a shuffled join a large key would stay where the join put it
+    return out if few <= BROADCAST_POINTS else out.repartition(*keys, "_bucket")
+
+
 def lagged(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str], order: Sequence[str] = (),
-           grain: str = "month", prefix: str = "prev_") -> DataFrame:
-    """``lag`` of ``values`` per key in (ts, order) order, bucketed by ``grain`` of ``ts``."""
+           depth: int = SPLIT_ROWS, prefix: str = "prev_") -> DataFrame:
+    """``lag`` of ``values`` per key in (ts, order) order; keys of more than ``depth`` rows are cut in time."""
     keys, order = list(keys), [ts, *order]
-    b = df.withColumn("_bucket", F.date_trunc(grain, F.col(ts)))
+    points = split_points(df, keys, ts, depth)
+    if points is None:
+        last = F.lag(F.struct(*values)).over(Window.partitionBy(*keys).orderBy(*order))
+        return df.withColumn("_in", last).select(*df.columns, *[F.col("_in")[v].alias(f"{prefix}{v}") for v in values])
+    b = in_splits(df, points, keys, ts)
     cell = [*keys, "_bucket"]
     inner = b.withColumn("_in", F.lag(F.struct(*values)).over(Window.partitionBy(*cell).orderBy(*order)))
-    if len(order) == 1:  # instants are unique per key: a plain hash aggregate will do
-        tails = b.groupBy(*cell).agg(F.struct(*[F.max_by(v, ts).alias(v) for v in values]).alias("_tail"))
-    else:
-        tails = b.groupBy(*cell).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"))
-    carry = tails.select(*cell, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
+    tails = b.groupBy(*cell).agg(F.max_by(F.struct(*values), F.struct(*order)).alias("_tail"))
+    carry = tails.select(*cell, F.lag("_tail").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry")).where("_bucket > 0")
     out = null_safe_join(inner, carry, cell, "left")
     prev = F.coalesce(F.col("_in"), F.col("_carry"))
     return out.select(*df.columns, *[prev[v].alias(f"{prefix}{v}") for v in values])
 
 
+def next_instant(df: DataFrame, keys: Sequence[str], ts: str, depth: int = SPLIT_ROWS, name: str = "_next") -> DataFrame:
+    """``df`` beside the next instant of the key, cut like ``lagged``."""
+    keys = list(keys)
+    points = split_points(df, keys, ts, depth)
+    if points is None:
+        return df.withColumn(name, F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts)))
+    b = in_splits(df, points, keys, ts)
+    cell = [*keys, "_bucket"]
+    inner = b.withColumn("_in", F.lead(ts).over(Window.partitionBy(*cell).orderBy(ts)))
+    heads = b.groupBy(*cell).agg(F.min(ts).alias("_head"))
+    carry = heads.select(*cell, F.lead("_head").over(Window.partitionBy(*keys).orderBy("_bucket")).alias("_carry"))
+    out = null_safe_join(inner, carry, cell, "left")
+    return out.select(*df.columns, F.coalesce("_in", "_carry").alias(name))
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, rank: str = "rank") -> DataFrame:
     """1-based position of each row inside its key.  ``bucket`` must not decrease along ``order``."""
     keys = list(keys)
@@ -71,24 +123,27 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Col
 
 
 def asof_last(left: DataFrame, facts: DataFrame, keys: Sequence[str], at: str, fact_at: str, value: str,
-              order: Sequence[str] = (), grain: str = "month", name: str = "value_at") -> DataFrame:
+              order: Sequence[str] = (), depth: int = SPLIT_ROWS, name: str = "value_at") -> DataFrame:
     """``left`` beside the newest fact value at or before ``at`` per key.
 
-    Facts and subjects are interleaved in time and scanned once; nothing is paired up.
+    Facts and subjects are interleaved in time and scanned once, large keys in splits of time; nothing is paired up.
     """
     keys = list(keys)
     f = facts.select(*keys, F.col(fact_at).alias("_t"), F.struct(F.col(fact_at), *order, value).alias("_f"))
     s = left.select(*keys, F.col(at).alias("_t")).distinct()
-    both = f.unionByName(s, allowMissingColumns=True).withColumn("_bucket", F.date_trunc(grain, "_t"))
-    cell = [*keys, "_bucket"]
+    both = f.unionByName(s, allowMissingColumns=True)
+    points = split_points(both, keys, "_t", depth)
+    both = both.withColumn("_bucket", F.lit(0)) if points is None else in_splits(both, points, keys, "_t")
+    cell = keys if points is None else [*keys, "_bucket"]
     # RANGE frame: facts at the very instant count as known
     w = Window.partitionBy(*cell).orderBy("_t").rangeBetween(Window.unboundedPreceding, 0)
-    asked = both.withColumn("_in", F.max("_f").over(w)).where(F.col("_f").isNull()).drop("_f")
-    tails = both.groupBy(*cell).agg(F.max("_f").alias("_tail"))
-    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carry = tails.select(*cell, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
-    known = null_safe_join(asked, carry, cell, "left").select(
-        *keys, F.col("_t").alias(at), F.coalesce("_in", "_carry")[value].alias(name))
+    known = both.withColumn("_in", F.max("_f").over(w)).where(F.col("_f").isNull()).drop("_f")
+    if points is not None:
+        tails = both.groupBy(*cell).agg(F.max("_f").alias("_tail"))
+        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carry = tails.select(*cell, F.last("_tail", ignorenulls=True).over(before).alias("_carry"))
+        known = null_safe_join(known, carry, cell, "left").withColumn("_in", F.coalesce("_in", "_carry"))
+    known = known.select(*keys, F.col("_t").alias(at), F.col("_in")[value].alias(name))
     return null_safe_join(left, known, [*keys, at], "left")
 
 

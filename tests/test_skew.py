@@ -39,10 +39,14 @@ def test_global_quantile(facts):
     assert got == pytest.approx(facts.agg(F.percentile("v", 0.5)).collect()[0][0])
 
 
-def test_lagged(facts):
+SPLITS = pytest.mark.parametrize("depth", [100, skew.SPLIT_ROWS])
+
+
+@SPLITS
+def test_lagged(facts, depth):
     w = Window.partitionBy("k").orderBy("at", "id")
     want = facts.select("k", "id", F.lag("v").over(w).alias("prev_v"))
-    got = skew.lagged(facts, ["k"], "at", ["v"], ["id"]).select("k", "id", "prev_v")
+    got = skew.lagged(facts, ["k"], "at", ["v"], ["id"], depth).select("k", "id", "prev_v")
     assert rows(got) == rows(want)
 
 
@@ -53,10 +57,11 @@ def test_ranked(facts):
     assert rows(got) == rows(want)
 
 
-def test_asof_last(facts):
+@SPLITS
+def test_asof_last(facts, depth):
     left = facts.where("id % 9 = 0").select("k", "id", (F.col("at") + F.expr("INTERVAL 5 HOURS")).alias("t"))
     fact = facts.where("id % 9 <> 0 AND v IS NOT NULL").groupBy("k", "at").agg(F.max("v").alias("v"))
-    got = skew.asof_last(left, fact, ["k"], "t", "at", "v").select("id", "value_at")
+    got = skew.asof_last(left, fact, ["k"], "t", "at", "v", (), depth).select("id", "value_at")
     j = left.join(fact.withColumnRenamed("k", "fk"), F.col("k").eqNullSafe(F.col("fk")) & (F.col("at") <= F.col("t")), "left")
     want = j.groupBy("id").agg(F.max_by("v", "at").alias("value_at"))
     assert rows(got) == rows(want)
@@ -140,3 +145,29 @@ def test_quantiles_scan_once(tables):
     q.collect()
     plan = q._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+@SPLITS
+def test_next_instant(facts, depth):
+    w = Window.partitionBy("k").orderBy("at")
+    once = facts.dropDuplicates(["k", "at"]).cache()
+    want = once.select("id", F.lead("at").over(w).alias("_next"))
+    assert rows(skew.next_instant(once, ["k"], "at", depth).select("id", "_next")) == rows(want)
+
+
+def test_a_third_in_one_key_is_cut_evenly(spark):
+    """Key 0 has a third of 30,000 rows, 9,000 of them on one day; its splits are alike in size, other keys stay whole."""
+    i = F.col("id")
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.when(i % 30 < 27, F.make_dt_interval(F.lit(0), F.lit(0), i % 1440)).otherwise(F.make_dt_interval(i % 900))
+    df = spark.range(30_000).select(F.when(i % 3 == 0, 0).otherwise(i % 997 + 1).alias("k"), "id", at.alias("at")).cache()
+    points = skew.split_points(df, ["k"], "at", 500)
+    sizes = skew.in_splits(df, points, ["k"], "at").groupBy("k", "_bucket").count().collect()
+    hot = [r["count"] for r in sizes if r.k == 0]
+    assert sum(hot) == 10_000 and len(hot) >= 18 and max(hot) <= 520 and all(r._bucket == 0 for r in sizes if r.k != 0)
+    # beyond the bound of the broadcast the join is a shuffled one, with the same answer
+    skew.BROADCAST_POINTS, kept = 0, skew.BROADCAST_POINTS
+    try:
+        assert sorted(skew.in_splits(df, points, ["k"], "at").groupBy("k", "_bucket").count().collect()) == sorted(sizes)
+    finally:
+        skew.BROADCAST_POINTS = kept
+    assert skew.split_points(df.limit(0), ["k"], "at", 500) is None
