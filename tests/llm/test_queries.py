@@ -137,6 +137,26 @@ def test_mix_comes_near_its_targets(spark):
     assert all(abs(r.taken - r.target) <= r.most for r in rows)
 
 
+def plain_targets(sizes):
+    """Targets by sources in order, by resharing the excess until no source is above twice its size."""
+    left, share, out = 1.5 * sum(sizes), set(range(len(sizes))), [0.0] * len(sizes)
+    while share:
+        level = left / sum((5, 2, 1)[k % 3] for k in share)
+        over = {k for k in share if level * (5, 2, 1)[k % 3] >= 2 * sizes[k]}
+        for k in over or share:
+            out[k] = 2.0 * sizes[k] if over else level * (5, 2, 1)[k % 3]
+        left, share = left - sum(out[k] for k in over), share - over if over else set()
+    return out
+
+
+@pytest.mark.parametrize("sizes", [[100, 100, 100], [7, 100, 90, 80, 300, 1], [50, 0, 30, 1000, 20, 10, 60], [5], [0, 0], [1, 1000, 1000, 1]])
+def test_targets_are_those_of_resharing(spark, sizes):
+    rows = [(k, "w " * n, None if k and k == len(sizes) - 1 else f"s{k}") for k, n in enumerate(sizes)]
+    got = {r.doc_id: r for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert [got[k].source_size for k in range(len(sizes))] == sizes
+    assert [got[k].target for k in range(len(sizes))] == pytest.approx(plain_targets(sizes))
+
+
 def test_quality(docs, none):
     got = {r.doc_id: r for r in quality.report(docs).collect()}
     assert got[2].n_words == 0 and got[2].base_failed and not got[2].kept
