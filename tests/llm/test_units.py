@@ -128,6 +128,23 @@ def test_byte_level_pieces_are_those_of_whole_texts():
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in ODD_TEXTS]
 
 
+def test_byte_level_pieces_are_looked_up_once_for_all_texts():
+    from tokenizers import Tokenizer
+    tok, shared = Tokenizer.from_file(BYTE_BPE), token_files.byte_level_encoder(BYTE_BPE)
+    asked = Counter()
+
+    class Counted(shared.memory):
+        def __getitem__(self, piece):
+            asked[piece] += 1
+            return super().__getitem__(piece)
+    enc = type(shared)(shared.encode_new, shared.marked, shared.dtype, Counted, 50)
+    texts = ["", *[f"the \u00e9{k} and the  \u4e16\u754c{'x' * (k % 3)}.\n\n {k}\t!?&& z" if k % 5 == 0 else f"a wo{k}rd, {k % 7}\nand it's" for k in range(300)],
+             "a\0b c", "", " ", "x ", "\u00e9t\u00e9%%% don't'... x'' $$$ a_b_ 's 'll. \u0661.- (a) b') \u00aa^", "&&& \u4e16\u754c*** ~a~"]
+    for some in (texts, texts[::3], [], ["", ""]):
+        assert [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(some)] == [tok.encode(t, add_special_tokens=False).ids for t in some]
+        assert some is not texts or asked[" and"] == 1
+
+
 def test_sentencepiece_parity_and_decoding():
     c = sentencepiece_codec.Codec(PIECE_MODEL)
     ids = [x.tolist() for x in c.encode(ODD_TEXTS)]
