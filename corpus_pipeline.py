@@ -24,7 +24,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (0.8 of their 5-word shingles), the one with the smallest id."""
+    """One document of each group of near copies (0.8 of their 5-word shingles), the one with the smallest id.
+
+    Copies are proposed by op2's search (SimHash, vantage-point trees) and by MinHash bands, and compared in full.
+    """
     return shingles.keep_one(docs)
 
 

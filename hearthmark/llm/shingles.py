@@ -1,15 +1,20 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands for candidates, exact comparison of the sets.
+"""Near copies by Jaccard similarity of word shingles: SimHash and MinHash bands for candidates, exact comparison of the sets.
 
 1.  A document is the set of hashes of its runs of SHINGLE words. Documents with one set are one node.
-2.  BANDS keys of ROWS minima each: two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS,
+2.  Nodes whose SimHash fingerprints are at most CLOSE bits apart are found as in op2, by ``simhash.near_links`` (vantage-point
+    trees), over shingles of this module. Trees do not reach all pairs that are LEAST alike (some ten bits apart), so keys of
+    MinHash bands find the rest: BANDS keys of ROWS minima each: two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS,
     which is 0.998 at 0.8. Keys that one node alone has are dropped before anything is written.
-3.  First every node is compared with the smallest of the nodes that it shares a key with. What is linked by then is one
+3.  Then every node is compared with the smallest of the nodes that it shares a key with. What is linked by then is one
     component. Then, in buckets that still hold several components, every node is compared with LEADERS nodes of other
-    components, which is all of them in all but crowded buckets.
+    components, which is all of them in all but crowded buckets. Nodes are paired only if their odd sketches allow it: bit k of
+    a sketch tells whether an odd number of hashes fall on k, so the sketches of two sets differ in no more bits than the sets
+    in hashes, and sets that differ in more than (1 - LEAST) / (1 + LEAST) of all their hashes are not alike.
 4.  In crowded buckets that are still open, a node more than a fifth of whose shingles no other node there has cannot have
     a near copy, and is left out; this holds without exception, and leaves few. The others are compared with all nodes of
-    other components. So no pair of a bucket is left out but those that are linked already or cannot be alike, and a large
-    group of near copies costs rows in proportion to its size.
+    other components, by their sketches and by what they share with any other. So no pair of a bucket is left out but those
+    that are linked already or cannot be alike. What is left to be compared in full is about as much as is alike; sketches of
+    a crowded bucket that is still open meet each other all the same. Sets of over a thousand shingles fill their sketches.
 5.  A link holds if the sets, read in full, are at least LEAST alike. Sets of one node are sent to a part of the pairs of
     another once, and its partners stream past. Components are those of ``simhash.components``.
 """
@@ -25,13 +30,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthmark.llm.common import fresh_folder, kept_once, map_batches, text_mark, text_or_empty
-from hearthmark.llm.simhash import components
+from hearthmark.llm.simhash import components, fingerprint, near_links
 from hearthmark.llm.substring_dedup import run_hashes, word_hashes
 
 SHINGLE = 5
 LEAST = 0.8     # similarity of a link
 BANDS = 16
 ROWS = 5
+CLOSE = 7       # differing bits of fingerprints that are compared in full; up to 7 the trees visit as many shards as with 4
+SKETCH = 512    # bits of an odd sketch
+PARTS = [f"sketch_{k}" for k in range(SKETCH // 64)]
 LEADERS = 32    # nodes of a bucket that all others of it are compared with before any are compared with all
 PARTNERS = 4_096  # pairs of one node in one sorted run
 CHUNK = 2_048   # shingles hashed at once
@@ -69,18 +77,27 @@ def band_keys(held: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(m.tobytes(), k) for k, m in enumerate(mixed)], np.uint64)
 
 
+def odd_sketch(held: np.ndarray) -> np.ndarray:
+    """SKETCH bits as longs: bit k is set if an odd number of hashes fall on k."""
+    odd = np.bincount((held >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _long(values) -> pa.Array:
     return pa.array(np.fromiter(values, np.uint64).view(np.int64))
 
 
 def nodes(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, mark (of the text), node (hash of the set), size (of the set), keys of every document."""
+    """doc_id, mark (of the text), node (hash of the set), size, keys and sketch (of the set), fp (SimHash of the text) of every document."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = shingle_sets(batch.column(1).to_pylist(), shingle)
+        texts = batch.column(1).to_pylist()
+        sets = shingle_sets(texts, shingle)
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), _long(xxhash.xxh64_intdigest(s.tobytes()) for s in sets), pa.array([len(s) for s in sets], pa.int32()),
-                                           pa.array([band_keys(s).view(np.int64).tolist() for s in sets], pa.list_(pa.int64()))], ["doc_id", "mark", "node", "size", "keys"])
+                                           pa.array([band_keys(s).view(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
+                                           pa.array([odd_sketch(s).tolist() for s in sets], pa.list_(pa.int64())), _long(fingerprint(t, shingle) for t in texts)],
+                                          ["doc_id", "mark", "node", "size", "keys", "sketch", "fp"])
     return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"), text_mark().alias("mark")), run,
-                       "doc_id long, mark long, node long, size int, keys array<long>", SLICE)
+                       "doc_id long, mark long, node long, size int, keys array<long>, sketch array<long>, fp long", SLICE)
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -143,26 +160,42 @@ def _size_fits(x: str, y: str, least: float) -> Column:
     return F.least(x, y) >= (least - 1e-9) * F.greatest(x, y)
 
 
+def _may_link(one: str, other: str, least: float) -> Column:
+    """Sketches of sets that are alike differ in no more bits than the sets in hashes."""
+    bits = sum((F.bit_count(F.col(f"{one}.{p}").bitwiseXOR(F.col(f"{other}.{p}"))) for p in PARTS), F.lit(0))
+    return bits <= (1 - least) / (1 + least) * (F.col(f"{one}.size") + F.col(f"{other}.size")) + 1e-6
+
+
+def close_fingerprints(distinct: DataFrame) -> DataFrame:
+    """Pairs (a > b) of nodes that connect all those whose fingerprints are at most CLOSE bits apart: op2's search."""
+    fps = _written(distinct.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    near = near_links(fps.select("fp"), CLOSE)
+    one, other = fps.select(F.col("fp").alias("a"), F.col("node").alias("x")), fps.select(F.col("fp").alias("b"), F.col("node").alias("y"))
+    apart = near.join(one, "a").join(other, "b").select(*_pairs("x", "y"))
+    alike = distinct.select("fp", "node").join(fps.select("fp", F.col("node").alias("least")), "fp").where("node <> least").select(*_pairs("node", "least"))
+    return apart.union(alike)
+
+
 def shared_keys(distinct: DataFrame) -> DataFrame:
-    """key, node, size, head (smallest node of the bucket) of the keys that several nodes have."""
-    rows = distinct.select("node", "size", F.explode("keys").alias("key"))
+    """key, node, size, sketch, head (smallest node of the bucket) of the keys that several nodes have."""
+    rows = distinct.select("node", "size", *[F.get("sketch", F.lit(k)).alias(p) for k, p in enumerate(PARTS)], F.explode("keys").alias("key"))
     heads = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1").select("key", "head")
-    return _written(rows.join(heads, "key").select("key", "node", "size", "head"), "keys")
+    return _written(rows.join(heads, "key").select("key", "node", "size", *PARTS, "head"), "keys")
 
 
 def _open_buckets(rows: DataFrame, near: DataFrame, more_than: int) -> DataFrame:
-    """key, node, size, root of the buckets of over ``more_than`` nodes that hold several components."""
+    """key, node, size, sketch, root of the buckets of over ``more_than`` nodes that hold several components."""
     root = components(near).select("node", "root")
-    named = rows.select("key", "node", "size").join(root, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
+    named = rows.select("key", "node", "size", *PARTS).join(root, "node", "left").select("key", "node", "size", *PARTS, F.coalesce("root", "node").alias("root"))
     buckets = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(f"low < high AND n > {more_than}")
     return _written(named.join(buckets.select("key"), "key", "left_semi"), "open")
 
 
 def _other_components(named: DataFrame, others: DataFrame, least: float) -> DataFrame:
-    """Pairs (a > b) of a node and one of ``others`` in one bucket, but of different components."""
-    o = others.select(F.col("key").alias("k"), F.col("node").alias("other"), F.col("root").alias("of"), F.col("size").alias("large"))
-    pairs = named.join(o, (F.col("key") == F.col("k")) & (F.col("root") != F.col("of")) & _size_fits("size", "large", least))
-    return pairs.select(*_pairs("node", "other")).distinct()
+    """Pairs (a > b) of a node and one of ``others`` in one bucket, but of different components, that may be alike."""
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _size_fits("x.size", "y.size", least)
+    pairs = named.alias("x").join(others.alias("y"), fits)
+    return pairs.select(*_pairs("x.node", "y.node")).distinct()
 
 
 def _leaders(named: DataFrame) -> DataFrame:
@@ -172,7 +205,7 @@ def _leaders(named: DataFrame) -> DataFrame:
 
 
 def may_be_alike(docs: DataFrame, wanted: DataFrame, first: DataFrame, shingle: int, least: float) -> DataFrame:
-    """Of the nodes ``wanted`` (node, size), those that share at least ``least`` of their shingles with any of the others."""
+    """Of the nodes ``wanted`` (node, size), those that share at least ``least`` of their shingles with any of the others; most: so many."""
     held = sets_of(docs, first.join(wanted, "node", "left_semi"), shingle)
 
     def split(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -181,20 +214,22 @@ def may_be_alike(docs: DataFrame, wanted: DataFrame, first: DataFrame, shingle:
         return pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(flat)], ["node", "shingle"])
     alone = map_batches(held, split, "node long, shingle long", SLICE).groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
     own = alone.groupBy("node").agg(F.count("*").alias("own"))
-    return wanted.join(own, "node", "left").where(F.col("size") - F.coalesce("own", F.lit(0)) >= (least - 1e-9) * F.col("size")).select("node")
+    most = wanted.join(own, "node", "left").withColumn("most", F.col("size") - F.coalesce("own", F.lit(0)))
+    return most.where(F.col("most") >= (least - 1e-9) * F.col("size")).select("node", "most")
 
 
 def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Links (a > b) that connect the nodes of near copies. ``distinct``: node, doc_id, size, keys; no node twice."""
+    """Links (a > b) that connect the nodes of near copies. ``distinct``: node, doc_id, size, keys, sketch, fp; no node twice."""
     first = distinct.select("node", "doc_id")
+    near = verified(docs, close_fingerprints(distinct).distinct(), first, shingle, least)
     rows = shared_keys(distinct)
-    near = verified(docs, rows.where("node > head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b")), first, shingle, least)
+    near = near.union(verified(docs, rows.where("node > head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b")), first, shingle, least))
     named = _open_buckets(rows, near, 1)
     pairs = _other_components(named, _leaders(named), least)
     near = near.union(verified(docs, pairs, first, shingle, least))
     crowded = _open_buckets(named, near, LEADERS)
     able = _written(may_be_alike(docs, crowded.select("node", "size").distinct(), first, shingle, least), "able")
-    rest = crowded.join(able, "node", "left_semi")
+    rest = crowded.join(able, "node")
     return near.union(verified(docs, _other_components(rest, rest, least), first, shingle, least)).distinct()
 
 
@@ -210,7 +245,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> Da
 def _rooted(docs: DataFrame, shingle: int, least: float) -> tuple[DataFrame, DataFrame]:
     """doc_id, mark, root of every document; and node, root, doc_id (the smallest of the node)."""
     d = _written(nodes(docs, shingle), "nodes")
-    distinct = d.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"))
+    distinct = d.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"),
+                                   F.min("fp").alias("fp"))
     root = components(links(docs, distinct, shingle, least))
     named = _written(d.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(root, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root")), "roots")
     return d.select("doc_id", "mark", "node").join(named.select("node", "root"), "node"), named

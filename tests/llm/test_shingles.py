@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+
 import corpus_pipeline
 from hearthmark.llm import shingles
 
@@ -75,6 +77,41 @@ def test_a_large_group_and_its_fringe(spark):
     assert got == plain_components([i for i, _ in rows], links)
 
 
+def test_sketches_never_differ_more_than_sets():
+    rng = random.Random(5)
+    for n in (1, 20, 300, 3000):
+        base = [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+        one, other = shingles.shingle_sets([" ".join(edited(base, share, rng)) for share in (0.02, 0.05)])
+        apart = len(np.setxor1d(one, other))
+        bits = int(np.bitwise_count(shingles.odd_sketch(one) ^ shingles.odd_sketch(other)).sum())
+        assert bits <= apart and (apart - bits) % 2 == 0 and (apart > 100 or bits >= 0.7 * apart)
+
+
+def _crowd(n):
+    """Near copies of one text, most of them too far from each other to be linked."""
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(150)]
+    out = [(0, " ".join(base))]
+    for k in range(1, n):
+        words = list(base)
+        for at in rng.sample(range(5, 145), 2 if k % 9 == 0 else 6):
+            words[at] = f"n{k}x{at}"
+        out.append((k, " ".join(words)))
+    return out
+
+
+def test_fingerprints_propose_links(spark, monkeypatch):
+    monkeypatch.setattr(shingles, "shared_keys", lambda d: plain(d.limit(0)))
+    plain = _plain_keys
+    rows = _crowd(60)
+    got = {r.doc_id: r.component_id for r in shingles.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    held = plain_components([i for i, _ in rows], plain_links(rows))
+    assert any(c != i for i, c in got.items()) and all(held[i] == held[c] for i, c in got.items())
+
+
+_plain_keys = shingles.shared_keys
+
+
 def test_stage_drops_copies_beyond_four_bits(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
