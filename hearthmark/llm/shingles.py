@@ -193,7 +193,9 @@ def _open_buckets(rows: DataFrame, near: DataFrame, more_than: int) -> DataFrame
 
 def _other_components(named: DataFrame, others: DataFrame, least: float) -> DataFrame:
     """Pairs (a > b) of a node and one of ``others`` in one bucket, but of different components, that may be alike."""
-    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _size_fits("x.size", "y.size", least)
+    fits = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & _size_fits("x.size", "y.size", least) & _may_link("x", "y", least)
+    if "most" in others.columns:
+        fits &= F.least("x.most", "y.most") >= least / (1 + least) * (F.col("x.size") + F.col("y.size")) - 1e-6
     pairs = named.alias("x").join(others.alias("y"), fits)
     return pairs.select(*_pairs("x.node", "y.node")).distinct()
 

@@ -100,6 +100,19 @@ def _crowd(n):
     return out
 
 
+def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    made, plain = [], shingles.verified
+
+    def counted(docs, pairs, *rest):
+        made.append(pairs.count())
+        return plain(docs, pairs, *rest)
+    monkeypatch.setattr(shingles, "verified", counted)
+    rows = _crowd(600)
+    got = {r.doc_id: r.component_id for r in shingles.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == plain_components([i for i, _ in rows], plain_links(rows))
+    assert sum(made) < 20 * len(rows)
+
+
 def test_fingerprints_propose_links(spark, monkeypatch):
     monkeypatch.setattr(shingles, "shared_keys", lambda d: plain(d.limit(0)))
     plain = _plain_keys
