@@ -6,8 +6,9 @@
     MinHash bands find the rest: BANDS keys of ROWS minima each: two sets of similarity s share a key with probability 1 - (1 - s ** ROWS) ** BANDS,
     which is 0.998 at 0.8. Keys that one node alone has are dropped before anything is written.
 3.  Then every node is compared with the smallest of the nodes that it shares a key with. What is linked by then is one
-    component. Then, in buckets that still hold several components, every node is compared with LEADERS nodes of other
-    components, which is all of them in all but crowded buckets. Nodes are paired only if their odd sketches allow it: bit k of
+    component. Then, in buckets that still hold several components, every node is compared with FEW nodes of other components,
+    and in those that are open after that with LEADERS, which is all of them in all but crowded buckets. From one step to the
+    next goes one pair for each node of a component, not its links. Nodes are paired only if their odd sketches allow it: bit k of
     a sketch tells whether an odd number of hashes fall on k, so the sketches of two sets differ in no more bits than the sets
     in hashes, and sets that differ in more than (1 - LEAST) / (1 + LEAST) of all their hashes are not alike.
 4.  In crowded buckets that are still open, a node more than a fifth of whose shingles no other node there has cannot have
@@ -40,6 +41,7 @@ ROWS = 5
 CLOSE = 7       # differing bits of fingerprints that are compared in full; up to 7 the trees visit as many shards as with 4
 SKETCH = 512    # bits of an odd sketch
 PARTS = [f"sketch_{k}" for k in range(SKETCH // 64)]
+FEW = 2         # nodes of a bucket that all others of it are compared with first; most that are alike are one component then
 LEADERS = 32    # nodes of a bucket that all others of it are compared with before any are compared with all
 PARTNERS = 4_096  # pairs of one node in one sorted run
 CHUNK = 2_048   # shingles hashed at once
@@ -183,12 +185,13 @@ def shared_keys(distinct: DataFrame) -> DataFrame:
     return _written(rows.join(heads, "key").select("key", "node", "size", *PARTS, "head"), "keys")
 
 
-def _open_buckets(rows: DataFrame, near: DataFrame, more_than: int) -> DataFrame:
-    """key, node, size, sketch, root of the buckets of over ``more_than`` nodes that hold several components."""
+def _open_buckets(rows: DataFrame, near: DataFrame, more_than: int) -> tuple[DataFrame, DataFrame]:
+    """key, node, size, sketch, root of the buckets of over ``more_than`` nodes that hold several components; and the components
+    as pairs (a > b) of a node and its root, one for each node but the root, however many links there are."""
     root = components(near).select("node", "root")
-    named = rows.select("key", "node", "size", *PARTS).join(root, "node", "left").select("key", "node", "size", *PARTS, F.coalesce("root", "node").alias("root"))
+    named = _written(rows.select("key", "node", "size", *PARTS).join(root, "node", "left").select("key", "node", "size", *PARTS, F.coalesce("root", "node").alias("root")), "named")
     buckets = named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(f"low < high AND n > {more_than}")
-    return _written(named.join(buckets.select("key"), "key", "left_semi"), "open")
+    return _written(named.join(buckets.select("key"), "key", "left_semi"), "open"), root.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
 def _other_components(named: DataFrame, others: DataFrame, least: float) -> DataFrame:
@@ -200,10 +203,10 @@ def _other_components(named: DataFrame, others: DataFrame, least: float) -> Data
     return pairs.select(*_pairs("x.node", "y.node")).distinct()
 
 
-def _leaders(named: DataFrame) -> DataFrame:
-    """Up to LEADERS nodes of each bucket: one of each component before the second of any."""
-    nth = named.selectExpr("*", "row_number() OVER (PARTITION BY key, root ORDER BY xxhash64(node, key), node) AS nth").where(f"nth <= {LEADERS}")
-    return nth.selectExpr("*", "row_number() OVER (PARTITION BY key ORDER BY nth, xxhash64(node, key), node) AS place").where(f"place <= {LEADERS}")
+def _leaders(named: DataFrame, most: int) -> DataFrame:
+    """Up to ``most`` nodes of each bucket: one of each component before the second of any."""
+    nth = named.selectExpr("*", "row_number() OVER (PARTITION BY key, root ORDER BY xxhash64(node, key), node) AS nth").where(f"nth <= {most}")
+    return nth.selectExpr("*", "row_number() OVER (PARTITION BY key ORDER BY nth, xxhash64(node, key), node) AS place").where(f"place <= {most}")
 
 
 def may_be_alike(docs: DataFrame, wanted: DataFrame, first: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -221,15 +224,15 @@ def may_be_alike(docs: DataFrame, wanted: DataFrame, first: DataFrame, shingle:
 
 
 def links(docs: DataFrame, distinct: DataFrame, shingle: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """Links (a > b) that connect the nodes of near copies. ``distinct``: node, doc_id, size, keys, sketch, fp; no node twice."""
+    """Pairs (a > b) that connect the nodes of near copies: links, and nodes with the smallest of their component. ``distinct``: node, doc_id, size, keys, sketch, fp; no node twice."""
     first = distinct.select("node", "doc_id")
     near = verified(docs, close_fingerprints(distinct).distinct(), first, shingle, least)
     rows = shared_keys(distinct)
     near = near.union(verified(docs, rows.where("node > head").groupBy(F.col("node").alias("a")).agg(F.min("head").alias("b")), first, shingle, least))
-    named = _open_buckets(rows, near, 1)
-    pairs = _other_components(named, _leaders(named), least)
-    near = near.union(verified(docs, pairs, first, shingle, least))
-    crowded = _open_buckets(named, near, LEADERS)
+    for most in (FEW, LEADERS):
+        rows, near = _open_buckets(rows, near, 1)
+        near = near.union(verified(docs, _other_components(rows, _leaders(rows, most), least), first, shingle, least))
+    crowded, near = _open_buckets(rows, near, LEADERS)
     able = _written(may_be_alike(docs, crowded.select("node", "size").distinct(), first, shingle, least), "able")
     rest = crowded.join(able, "node")
     return near.union(verified(docs, _other_components(rest, rest, least), first, shingle, least)).distinct()

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hearthmark.llm import shingles
@@ -113,6 +114,29 @@ def test_pairs_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
     assert sum(made) < 20 * len(rows)
 
 
+def test_links_of_a_crowd_do_not_grow_with_its_square(spark, monkeypatch):
+    """Documents of one edit are near copies of all others, those of two edits of no other: a third of all pairs are links."""
+    came, plain = [], shingles.components
+
+    def counted(links):
+        came.append(links.count())
+        return plain(links)
+    monkeypatch.setattr(shingles, "components", counted)
+    monkeypatch.setattr(shingles, "close_fingerprints", lambda d: d.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
+    rng = random.Random(8)
+    rows = []
+    for k in range(300):
+        words = [f"w{i}" for i in range(150)]
+        for at in rng.sample(range(5, 145, 5), 1 if k % 5 == 0 else 2):
+            words[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(words)))
+    links = plain_links(rows)
+    got = {r.doc_id: r.component_id for r in shingles.classes(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)).collect()}
+    print(len(links), "links, came to components:", came)
+    assert got == plain_components([i for i, _ in rows], links)
+    assert len(links) > 50 * len(rows) and max(came) < 20 * len(rows)
+
+
 def test_fingerprints_propose_links(spark, monkeypatch):
     monkeypatch.setattr(shingles, "shared_keys", lambda d: plain(d.limit(0)))
     plain = _plain_keys
