@@ -17,6 +17,7 @@ import __spark_entry__
 import corpus_pipeline
 from hearthmark.llm import exact_dedup, html_text, licenses, mixing, pii, quality, sentencepiece_codec, simhash, substring_dedup, token_files
 from hearthmark.llm.queries import BYTE_BPE, ORACLES, PIECE_MODEL, QUERIES
+from hearthmark.session import shared_folder
 
 SF = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
 BLANK = "[\x20\x09-\x0d]+"
@@ -207,6 +208,20 @@ def test_exact_dedup_where_ids_repeat(spark):
     assert sorted((str(r.doc_id), r.kept) for r in exact_dedup.classes(table).collect() if r.doc_id in (3, 4)) == [("3", False), ("3", True), ("4", False)]
 
 
+def test_exact_dedup_writes_its_answer_and_the_winners_only(spark, docs):
+    folder = shared_folder(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    at = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    written = lambda: {d for d in os.listdir(at) if d.startswith("rdd-")}
+    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    before, held = written(), kept()
+    left = exact_dedup.drop_repeats(docs)
+    assert len(written() - before) == 2   # other frames were read twice, but need no files that all executors see
+    assert not kept() - held
+    assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r.doc_id) for r in exact_dedup.classes(docs).collect() if r.kept)
+
+
 def test_pii(spark, docs, none):
     rows = table(spark)
     got = {r.doc_id: r for r in QUERIES["op8_pii"](spark, SF).collect()}
