@@ -9,6 +9,7 @@ from hearthmark.functions.address import pick
 from hearthmark.operators.filters import page_with_total
 from hearthmark.operators.latest import with_latest_price
 from hearthmark.operators.market import exact_avg, ts
+from hearthmark.operators.nearest import per_subject
 from hearthmark.operators.price_history import rank_within
 from hearthmark.operators.skew import top_rows
 
@@ -20,8 +21,8 @@ def record_valuations(valuations: DataFrame, comps: DataFrame, as_of: str) -> tu
     """Rows to append: valuations with their time, and comparables ranked by price per m2."""
     v = valuations.withColumnRenamed("subject_id", "valuation_id").withColumn("created_at", ts(as_of))
     c = comps.select(F.col("subject_id").alias("valuation_id"), F.col("c_id").alias("listing_id"), F.col("c_price").alias("price"), "price_per_sqm",
-                     F.col("c_area_total").alias("area_total"), "distance_km", "similarity_score", "weight")
-    return v, rank_within(c, ["valuation_id"], [F.asc("price_per_sqm"), F.asc("listing_id")])
+                     F.col("c_area_total").alias("area_total"), "distance_km", "similarity_score", "weight", *per_subject(comps)[1:])
+    return v, rank_within(c, per_subject(c, "valuation_id"), [F.asc("price_per_sqm"), F.asc("listing_id")]).drop("_home")
 
 
 def history_summary(history: DataFrame) -> DataFrame:
@@ -76,13 +77,18 @@ def refine(valuations: DataFrame, comps: DataFrame, exclusions: DataFrame, as_of
     ``exclusions``: valuation_id, listing_id, reason.  With fewer than three comparables left
     the request is rejected and the valuation stays as it is.
     """
-    asked = exclusions.groupBy("valuation_id").agg(F.count(F.lit(1)).alias("excluded"), F.min("reason").alias("reason"))
-    left = (comps.join(asked.select("valuation_id"), "valuation_id", "left_semi")
-            .join(exclusions.select("valuation_id", "listing_id"), ["valuation_id", "listing_id"], "left_anti"))
-    n = left.groupBy("valuation_id").agg(F.count(F.lit(1)).alias("remaining"))
-    low = (top_rows(left, ["valuation_id"], [F.asc("price_per_sqm"), F.asc("listing_id")], bottom, "_r")
-           .groupBy("valuation_id").agg((F.sum("price_per_sqm") / bottom).alias("_psm")))
-    log = asked.join(n, "valuation_id", "left").join(low, "valuation_id", "left").withColumn("remaining", F.coalesce("remaining", F.lit(0)))
+    # both tables are read once; a valuation has few comparables, so all of one meet in one task
+    reason = exclusions.schema["reason"].dataType
+    given = comps.select("valuation_id", "listing_id", "price_per_sqm", F.lit(None).cast(reason).alias("reason"), F.lit(False).alias("_x"))
+    asked = exclusions.select("valuation_id", "listing_id", F.lit(None).cast(comps.schema["price_per_sqm"].dataType).alias("price_per_sqm"), "reason", F.lit(True).alias("_x"))
+    both = given.unionByName(asked).repartition("valuation_id")
+    hit = F.max("_x").over(Window.partitionBy("valuation_id", "listing_id")) & F.col("valuation_id").isNotNull() & F.col("listing_id").isNotNull()
+    both = both.withColumn("_stays", ~F.col("_x") & ~hit)
+    low = Window.partitionBy("valuation_id", "_stays").orderBy("price_per_sqm", "listing_id")
+    both = both.withColumn("_low", F.when(F.col("_stays") & (F.row_number().over(low) <= bottom), F.col("price_per_sqm")))
+    log = both.groupBy("valuation_id").agg(
+        F.count_if("_x").alias("excluded"), F.min("reason").alias("reason"), F.count_if("_stays").alias("remaining"),
+        (F.sum("_low") / bottom).alias("_psm")).where("excluded > 0")
     log = log.withColumn("accepted", F.col("remaining") >= 3)
     psm = F.when(F.col("accepted"), F.col("_psm") * bargain)
     log = log.join(valuations.select("valuation_id", "area_total", F.col("estimated_price").alias("original_price")), "valuation_id").select(
