@@ -29,25 +29,39 @@ TIME_FIELDS = ("addedTimestamp", "creationDate", "creationTs")
 
 def extract_offers(df: DataFrame, json_col: str) -> DataFrame:
     """One row per offer (VARIANT column ``offer``) of the first list found; responses without one give none."""
-    v = F.try_parse_json(F.col(json_col))
-    lists = F.coalesce(*[F.try_variant_get(v, p, "array<variant>") for p in OFFER_PATHS])
     keep = [c for c in df.columns if c != json_col]
-    return df.select(*keep, F.explode(lists).alias("offer"))
+    lists = F.coalesce(*[F.try_variant_get("_v", p, "array<variant>") for p in OFFER_PATHS])
+    return _once(df, keep, F.try_parse_json(F.col(json_col)), "_v").select(*keep, F.explode(lists).alias("offer"))
+
+
+def _once(df: DataFrame, keep: Sequence[str], value: Column, name: str) -> DataFrame:
+    """Columns beside ``value``, as the output of a generator: that is where the planner does not put the expression itself
+    wherever the column is read, to be evaluated time and again."""
+    return df.select(*keep, F.explode(F.array(value)).alias(name))
+
+
+# Fields read as texts, and those whose kind matters or that may be nested.
+TEXT_FIELDS = (*ID_FIELDS, *URL_FIELDS, *REGION_FIELDS, *DEAL_FIELDS, *ROOM_FIELDS, *FLOOR_FIELDS, *ADDRESS_FIELDS, *SELLER_FIELDS,
+               "buildingStatus", "building_status", "category", "title", "name", "description", "text", "propertyType", "property_type",
+               "roomType", "room_type")
+OPEN_FIELDS = ("totalSquare", "spaceTotal", "areaTotal", "area", "price", "geo", *TIME_FIELDS)
+SHAPE = "struct<" + ", ".join([*[f"{f}: string" for f in TEXT_FIELDS], *[f"{f}: variant" for f in OPEN_FIELDS]]) + ">"
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(v, f"$.{path}", kind)
+    """A text field, or a place in one of the open fields, of a ``SHAPE``."""
+    field, *inner = path.split(".")
+    return v[field] if field in TEXT_FIELDS else F.try_variant_get(v[field], ".".join(["$", *inner]), kind)
 
 
-def _truthy(v: Column, field: str) -> Column:
-    """Scalar as text, NULL for missing, null, empty, zero and false."""
-    s = _get(v, field)
-    return F.when(~s.isin("", "0", "0.0", "false"), s)
+def _first(v: Column, fields: Sequence[str]) -> Column:
+    """First text of the fields, passing over missing, null, empty, zero and false ones."""
+    return F.get(F.filter(F.array(*[_get(v, f) for f in fields]), lambda s: ~s.isin("", "0", "0.0", "false")), F.lit(0))
 
 
 def _or(v: Column, fields: Sequence[str]) -> Column:
     """First usable value; if none is, the last field as it is (it may be zero)."""
-    return F.coalesce(*[_truthy(v, f) for f in fields], _get(v, fields[-1]))
+    return F.coalesce(_first(v, fields), _get(v, fields[-1]))
 
 
 def _to_int(s: Column) -> Column:
@@ -56,7 +70,7 @@ def _to_int(s: Column) -> Column:
 
 
 def _kind(v: Column, field: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(v, f"$.{field}", "variant"))
+    return F.schema_of_variant(v[field])
 
 
 def _area(v: Column) -> Column:
@@ -83,12 +97,12 @@ def _seen_at(v: Column, as_of: str) -> Column:
 
 def map_offers(offers: DataFrame, as_of: str, col: str = "offer") -> DataFrame:
     """Listing fields and price point of every offer; what is not there stays NULL."""
-    v = F.col(col)
+    v = F.col("_o")
     low = lambda names: F.lower(F.coalesce(*[_get(v, n) for n in names], F.lit("")))
-    text = lambda fields: F.coalesce(*[_truthy(v, f) for f in fields], F.lit(""))
+    text = lambda fields: F.coalesce(_first(v, fields), F.lit(""))
     keep = [c for c in offers.columns if c != col]
-    return offers.select(
-        *keep, _to_int(F.coalesce(*[_truthy(v, f) for f in ID_FIELDS])).alias("id"), text(URL_FIELDS).alias("url"),
+    fields = [
+        _to_int(_first(v, ID_FIELDS)).alias("id"), text(URL_FIELDS).alias("url"),
         _to_int(_or(v, REGION_FIELDS)).cast("int").alias("region"), text(DEAL_FIELDS).alias("deal_type"),
         _to_int(_or(v, ROOM_FIELDS)).cast("int").alias("rooms"), _area(v).alias("area_total"), _to_int(_or(v, FLOOR_FIELDS)).cast("int").alias("floor"),
         text(ADDRESS_FIELDS).alias("address"), text(SELLER_FIELDS).alias("seller_type"),
@@ -98,4 +112,8 @@ def map_offers(offers: DataFrame, as_of: str, col: str = "offer") -> DataFrame:
         # what the routing rules read
         low(("buildingStatus", "building_status")).alias("building_status"), low(("category",)).alias("category"),
         low(("title", "name")).alias("title"), low(("description", "text")).alias("description"),
-        low(("propertyType", "property_type")).alias("property_type"), low(("roomType", "room_type")).alias("room_type"))
+        low(("propertyType", "property_type")).alias("property_type"), low(("roomType", "room_type")).alias("room_type")]
+    # the lambdas keep this step out of whole-stage code, whose one method would be too long for the JVM to compile
+    o = _once(offers, keep, F.try_variant_get(F.col(col), "$", SHAPE), "_o").select(*keep, *fields)
+    names = [c for c in o.columns if c not in keep]
+    return _once(o, keep, F.struct(*names), "_o").select(*keep, "_o.*")
